@@ -18,12 +18,9 @@ def lookup(rows: DataFrame, held: DataFrame, key: str, most_hot: int = 1000) ->
     names = [c for c in held.columns if c != key]
     hot_part = held.join(F.broadcast(hot), key, "left_semi").select(F.col(key).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in names))
     marked = rows.join(F.broadcast(hot_part), F.col(key) == F.col("_hot"), "left")
-    # Rows already answered, and rows without key, are spread by a key of their own that finds nothing.
-    spread = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key))
-    cold = held.select(F.col(key).alias("_cold"), *(F.col(c).alias(f"_cold_{c}") for c in names))
-    away = F.when(spread.isNull(), F.xxhash64(*[F.col(c) for c in rows.columns]))
-    cold = cold.withColumn("_away", F.lit(None).cast("long"))
-    joined = marked.withColumn("_key", spread).withColumn("_spread", F.coalesce(away, F.lit(0))).join(
-        cold.withColumn("_zero", F.lit(0).cast("long")), (F.col("_key") == F.col("_cold")) & (F.col("_spread") == F.col("_zero")), "left"
-    )
+    # Rows already answered, and rows without key, look for nothing; a second key spreads them over all tasks.
+    asking = F.when(F.col("_hot").isNull(), F.col(key))
+    marked = marked.withColumn("_key", asking).withColumn("_spread", F.when(asking.isNull(), F.xxhash64(*rows.columns)).otherwise(F.lit(0)))
+    cold = held.select(F.col(key).alias("_cold"), F.lit(0).cast("long").alias("_zero"), *(F.col(c).alias(f"_cold_{c}") for c in names))
+    joined = marked.join(cold, (F.col("_key") == F.col("_cold")) & (F.col("_spread") == F.col("_zero")), "left")
     return joined.select(*rows.columns, *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in names))
