@@ -30,7 +30,7 @@ from asofkit.operators.components import connected_components
 from asofkit.session import cut
 
 _WORD = re.compile(r"[^\W_]+")
-BUCKETS = 1 << 21
+BUCKETS = 1 << 22
 #: Words in at most so many sets are a band alone, up to the second number in twos, beyond it in threes.
 ALONE, IN_TWOS = 48, 4096
 BATCHES, BITS = 2, 64

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofkit.llm import lookalikes, near_duplicates
+from asofkit.llm import lookalikes, mixing, near_duplicates, tokens
 from asofkit.session import table
 
 
@@ -25,5 +25,21 @@ def p7_normalized(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.with_forms(table(spark, folder, "cluster_news_titles"), forms, ["row_ix"])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p7_found, p7_normalized)}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encoded(table(spark, folder, "documents"), ["doc_id"], "text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.short_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p7_found, p7_normalized, p8_ids, p9_found, p9_mix, p9_shares)}
 ORACLES: dict[str, str] = {}
