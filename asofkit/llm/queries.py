@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofkit.llm import lookalikes, mixing, near_duplicates, tokens
+from asofkit.llm import lookalikes, mixing, near_duplicates, quotas, splits, tokens
 from asofkit.session import table
 
 
@@ -41,5 +41,33 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p7_found, p7_normalized, p8_ids, p9_found, p9_mix, p9_shares)}
+def _pilot(spark: SparkSession, folder: str, targets: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "select_news_pilot"), table(spark, folder, targets)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quotas.unfilled(*_pilot(spark, folder, "pilot_targets"))
+
+
+def p2_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return quotas.sample(*_pilot(spark, folder, "pilot_targets"))
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    return quotas.report(*_pilot(spark, folder, "pilot_targets"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.leaking(table(spark, folder, "select_news_pilot"))
+
+
+def p6_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.assigned(*_pilot(spark, folder, "split_targets"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.report(*_pilot(spark, folder, "split_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_sample, p2_report, p3_found, p3_groups, p6_found, p6_splits, p6_report, p7_found, p7_normalized, p8_ids, p9_found, p9_mix, p9_shares)}
 ORACLES: dict[str, str] = {}
