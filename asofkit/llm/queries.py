@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from asofkit.llm import lookalikes, mixing, near_duplicates, quotas, splits, tokens
+from asofkit.llm import lookalikes, mixing, near_duplicates, pieces, quotas, splits, tokens
 from asofkit.session import table
 
 
@@ -69,5 +70,40 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return splits.report(*_pilot(spark, folder, "split_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sample, p2_report, p3_found, p3_groups, p6_found, p6_splits, p6_report, p7_found, p7_normalized, p8_ids, p9_found, p9_mix, p9_shares)}
-ORACLES: dict[str, str] = {}
+def _oversized_tables(spark: SparkSession, folder: str) -> DataFrame:
+    named = (("pipeline_sentiment", "text"), ("inspect_text_datasets", "content"))
+    a, b = (table(spark, folder, t).select(F.lit(t).alias("source_table"), "row_ix", F.col(c).alias("text")) for t, c in named)
+    return a.unionByName(b)
+
+
+def _limits() -> Column:
+    return F.when(F.col("source_table") == "pipeline_sentiment", 1800).otherwise(4000)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.item_lengths(_oversized_tables(spark, folder), ["source_table", "row_ix"]).filter(F.col("length") > _limits()).select("source_table", "row_ix")
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.split_items(_oversized_tables(spark, folder), ["source_table", "row_ix"], _limits())
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_sample, p2_report, p3_found, p3_groups, p4_found, p4_pieces, p6_found, p6_splits, p6_report, p7_found, p7_normalized, p8_ids, p9_found, p9_mix, p9_shares)}
+_CATEGORY = "nullif(lower(trim({0})), '')"
+
+ORACLES: dict[str, str] = {
+    "p2_found": f"""
+        WITH pool AS (
+            SELECT {_CATEGORY.format("split")} AS split, year(try_cast(nullif(trim(published_at), '') AS TIMESTAMPTZ) AT TIME ZONE 'UTC') AS pub_year,
+                   {_CATEGORY.format("selection_reason")} AS selection_reason, sample_id FROM select_news_pilot),
+        counts AS (SELECT split, pub_year, selection_reason, count(DISTINCT sample_id) AS n FROM pool GROUP BY ALL)
+        SELECT t.split, t.pub_year, t.selection_reason FROM pilot_targets t
+        LEFT JOIN counts c ON {_CATEGORY.format("t.split")} = c.split AND t.pub_year = c.pub_year AND {_CATEGORY.format("t.selection_reason")} = c.selection_reason
+        WHERE coalesce(c.n, 0) < greatest(CAST(t.min_rows AS DOUBLE), t.target_share * t.sample_rows)""",
+    "p4_found": """
+        SELECT 'pipeline_sentiment' AS source_table, row_ix FROM pipeline_sentiment
+        WHERE length(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) > 1800
+        UNION ALL
+        SELECT 'inspect_text_datasets', row_ix FROM inspect_text_datasets
+        WHERE length(trim(regexp_replace(content, '[ \\t\\r\\n]+', ' ', 'g'))) > 4000""",
+}
