@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from asofkit.session import cut
 
-RANGE, HALO, GRID = 65_536, 256, 128
+RANGE, HALO, SEEN, GRID = 65_536, 256, 128, 128
 WORD, SENTENCE, LINE, PARAGRAPH, SPEAKER, SECTION = range(6)
 
 _WHITE = " \t\r\n"
@@ -34,11 +34,13 @@ _SECTION_LINE = re.compile(
 _SPEAKER_LINE = re.compile(r"(?:Operator|Analyst|Moderator|[A-Z][\w.'’\-]*(?: [A-Z][\w.'’\-]*){1,4})(?:\s+[-–—]+\s+[^:\n]{1,60})?\s*(?::\s|\n)")
 
 
-def _kind(run: str, after: str) -> int:
-    """The kind of boundary between a white run (its last characters) and the text after it."""
+def _kind(before: str, after: str) -> int:
+    """The kind of boundary between a white run and the text after it; of a long run only the last `SEEN` characters count."""
+    text = before.rstrip(_WHITE)
+    run = before[len(text) :]
     lines = run.count("\n") + (run.count("\r") if "\n" not in run else 0)
     if not lines:
-        return SENTENCE
+        return SENTENCE if text and (not run or len(run) < SEEN) else WORD
     if _SECTION_LINE.match(after):
         return SECTION
     if _SPEAKER_LINE.match(after):
@@ -68,8 +70,8 @@ def read_range(before: str, text: str, after: str, at: int = 0) -> dict:
             continue
         if p >= end:
             break
-        run = m[0].lstrip(".!?…\"'”’)]")[-HALO:]
-        found[p] = _kind(run, whole[p : p + 200])
+        if kind := _kind(whole[max(0, p - SEEN) : p], whole[p : p + 200]):
+            found[p] = kind
     # One place between words in each step of a grid over the item, for where there is nothing better.
     step = -at % GRID
     for g in range(step, len(text), GRID):
