@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofkit.llm import lookalikes, mixing, near_duplicates, pieces, quotas, splits, tokens
+from asofkit.llm import lookalikes, mainbody, mixing, near_duplicates, pieces, quotas, splits, tokens
 from asofkit.session import table
 
 
+def _pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "pipeline_documents"), table(spark, folder, "outlet_zones")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mainbody.judged(*_pages(spark, folder)).filter("NOT main").select("row_ix", "line_no")
+
+
+def p1_main(spark: SparkSession, folder: str) -> DataFrame:
+    return mainbody.main_text(*_pages(spark, folder))
+
+
+def p1_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return mainbody.host_paths(mainbody.read_pages(*_pages(spark, folder)))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(table(spark, folder, "cluster_news_titles"))
 
@@ -88,7 +104,7 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split_items(_oversized_tables(spark, folder), ["source_table", "row_ix"], _limits())
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sample, p2_report, p3_found, p3_groups, p4_found, p4_pieces, p6_found, p6_splits, p6_report, p7_found, p7_normalized, p8_ids, p9_found, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_main, p1_paths, p2_found, p2_sample, p2_report, p3_found, p3_groups, p4_found, p4_pieces, p6_found, p6_splits, p6_report, p7_found, p7_normalized, p8_ids, p9_found, p9_mix, p9_shares)}
 _CATEGORY = "nullif(lower(trim({0})), '')"
 
 ORACLES: dict[str, str] = {
