@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofkit.llm import lookalikes, mainbody, mixing, near_duplicates, pieces, quotas, splits, tokens
+from asofkit.llm import abuse, lookalikes, mainbody, mixing, near_duplicates, pieces, quotas, splits, tokens
 from asofkit.session import table
 
 
@@ -104,7 +104,24 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split_items(_oversized_tables(spark, folder), ["source_table", "row_ix"], _limits())
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_main, p1_paths, p2_found, p2_sample, p2_report, p3_found, p3_groups, p4_found, p4_pieces, p6_found, p6_splits, p6_report, p7_found, p7_normalized, p8_ids, p9_found, p9_mix, p9_shares)}
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return abuse.scored(documents, abuse.fit(abuse.labelled_documents(documents, table(spark, folder, "abuse_labels"))))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder).filter("abusive").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder)
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates(_scored(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_main, p1_paths, p2_found, p2_sample, p2_report, p3_found, p3_groups, p4_found, p4_pieces, p6_found, p6_splits, p6_report, p7_found, p7_normalized, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 _CATEGORY = "nullif(lower(trim({0})), '')"
 
 ORACLES: dict[str, str] = {
