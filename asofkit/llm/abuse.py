@@ -324,13 +324,13 @@ def fit_documents(texts: list[str], labels: list[float], decay: float = 5e-4, sw
 
 
 def _best_threshold(scores: np.ndarray, y: np.ndarray, slack: float = 0.03) -> tuple[float, dict]:
-    """The threshold nearest 0.5 whose F1 on left out documents is within `slack` of the best: the whole fit has seen more and parts them further."""
+    """The threshold nearest 0.3 whose F1 on left out documents is within `slack` of the best: the whole fit has seen more and parts them further."""
     tried = []
     for t in np.linspace(0.05, 0.95, 37):
         hit = scores >= t
         tried.append((2 * float((hit & y).sum()) / max(1.0, hit.sum() + y.sum()), float(t)))
     best = max(tried)[0]
-    f1, t = min((x for x in tried if x[0] >= best - slack), key=lambda x: abs(x[1] - 0.5))
+    f1, t = min((x for x in tried if x[0] >= best - slack), key=lambda x: abs(x[1] - 0.3))
     return t, {"f1": f1, "best_f1": best, "n": int(len(y)), "positives": int(y.sum())}
 
 
