@@ -9,6 +9,7 @@ from datetime import date, datetime, timezone
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # The ranges and categories of an extraction record.
 RANGES = {
@@ -217,7 +218,11 @@ def sections(answer: str | None) -> dict[str, list[str] | str]:
     return out
 
 
-@F.pandas_udf("struct<positive_developments:array<string>,potential_concerns:array<string>,analysis:string,missing:array<string>>")
+_TEXTS = ArrayType(StringType())
+_SECTIONS = StructType([StructField("positive_developments", _TEXTS), StructField("potential_concerns", _TEXTS), StructField("analysis", StringType()), StructField("missing", _TEXTS)])
+
+
+@F.pandas_udf(_SECTIONS)
 def sections_udf(answer: pd.Series) -> pd.DataFrame:
     rows = [sections(a) for a in answer]
     return pd.DataFrame({**{k: [r[k] for r in rows] for k in _HEADS}, "missing": [[k for k in _HEADS if not r[k]] for r in rows]})
