@@ -54,7 +54,7 @@ def label_shares(rows: DataFrame, dimension: str, label: str, categories: list[t
 
 def repeat_consistency(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per key with several runs: runs, and whether all gave the same value; null is a value."""
-    v = F.coalesce(F.col(value).cast("string"), F.lit("\u0000"))
+    v = F.coalesce(F.col(value).cast("string"), F.lit("\u0001"))
     return rows.groupBy(*keys).agg(F.count("*").alias("runs"), (F.min(v) == F.max(v)).alias("consistent")).filter("runs > 1")
 
 

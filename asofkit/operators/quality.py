@@ -124,9 +124,9 @@ def flags(**conditions: Column) -> Column:
 
 def with_group_size(df: DataFrame, keys: list[str], name: str = "group_size") -> DataFrame:
     """df with the size of each row's group, by a count and a join, so that a large group isn't sorted in one task; null keys are a group."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias(name))
-    on = reduce(lambda a, b: a & b, [df[c].eqNullSafe(counts[c]) for c in keys])
-    return df.join(counts, on).select(*(df[c] for c in df.columns), name)
+    counts = df.groupBy(*(F.col(c).alias(f"_key_{i}") for i, c in enumerate(keys))).agg(F.count("*").alias(name))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_key_{i}")) for i, c in enumerate(keys)])
+    return df.join(counts, on).select(*df.columns, name)
 
 
 def first_seen(df: DataFrame, keys: list[str], position: str) -> DataFrame:

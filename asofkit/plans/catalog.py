@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from asofkit.plans import times
+from asofkit.plans import feature_queries, quality_queries, times
 
-_PARTS = (times,)
+_PARTS = (times, feature_queries, quality_queries)
 
 
 def queries() -> dict:
