@@ -45,6 +45,11 @@ def _no_constant(name):
 _STRICT = json.JSONDecoder(object_pairs_hook=_once, parse_constant=_no_constant)
 
 
+def strict_value(text: str):
+    """A text that is one JSON value and nothing else."""
+    return _STRICT.decode(text)
+
+
 def first_object(text: str) -> dict:
     """The first object in a text, whatever stands around it; an error for doubled keys, NaN, and unfinished objects."""
     at = text.find("{")
@@ -170,7 +175,7 @@ def annotations(lines: DataFrame) -> DataFrame:
             for n, line in zip(frame["line_no"], frame["value"]):
                 record, wrong = None, []
                 try:
-                    record = _STRICT.decode(line) if line and line.strip() else None
+                    record = strict_value(line) if line and line.strip() else None
                     wrong = check_annotation(record) if line and line.strip() else ["blank line"]
                 except ValueError as e:
                     wrong = [f"no JSON: {e}"]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from asofkit.plans import feature_queries, quality_queries, times
+from asofkit.plans import cluster_queries, feature_queries, quality_queries, times
 
-_PARTS = (times, feature_queries, quality_queries)
+_PARTS = (times, feature_queries, quality_queries, cluster_queries)
 
 
 def queries() -> dict:

@@ -27,8 +27,9 @@ def _trends(spark: SparkSession, folder: str) -> DataFrame:
 
 def _prices(spark: SparkSession, folder: str) -> DataFrame:
     day = F.add_months(F.to_date("l_shipdate"), SHIFT_MONTHS)
-    mean = F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.count("*"), 4)
-    return table(spark, folder, "lineitem").groupBy(day.alias("date")).agg(mean.alias("close")).filter("date IS NOT NULL AND close > 0")
+    # In whole cents, so that every engine agrees.
+    sums = table(spark, folder, "lineitem").groupBy(day.alias("date")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.count("*").alias("n"))
+    return sums.select("date", (F.expr("cents div n") / 100).alias("close")).filter("date IS NOT NULL AND close > 0")
 
 
 def weekly_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,7 +181,7 @@ _WEEKLY = _weekly_sql(_SUNDAY, START, END, features.SOURCES, True)
 _SHIFTED = "CAST(CAST({0} AS DATE) + INTERVAL 28 YEAR AS DATE)"
 _TRENDS = f"""months AS (SELECT CAST(date_trunc('month', {_SHIFTED.format("o_orderdate")}) AS DATE) AS date, o_orderpriority AS keyword, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY ALL),
     known AS (SELECT keyword, CAST(date + INTERVAL 1 MONTH AS DATE) AS known_from, value, lead(CAST(date + INTERVAL 1 MONTH AS DATE)) OVER (PARTITION BY keyword ORDER BY date) AS until FROM months)"""
-_PRICES = f"""prices AS (SELECT {_SHIFTED.format("l_shipdate")} AS date, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS close FROM lineitem GROUP BY 1),
+_PRICES = f"""prices AS (SELECT {_SHIFTED.format("l_shipdate")} AS date, (CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) // count(*)) / 100 AS close FROM lineitem GROUP BY 1),
     spans AS (SELECT lag(date) OVER o AS before, date AS entry, close AS entry_close, lead(date, 5) OVER o AS exit, lead(close, 5) OVER o AS exit_close FROM prices WHERE close > 0 WINDOW o AS (ORDER BY date))"""
 _SUNDAYS = f"sundays AS (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY) t(d) WHERE dayofweek(d) = 0)"
 _LABEL = """CASE WHEN u THEN CAST(entry AS VARCHAR) END AS target_start, CASE WHEN u THEN CAST(exit AS VARCHAR) END AS target_end, CASE WHEN u THEN round(entry_close, 6) END AS target_start_close,
