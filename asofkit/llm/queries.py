@@ -139,4 +139,12 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT 'inspect_text_datasets', row_ix FROM inspect_text_datasets
         WHERE length(trim(regexp_replace(content, '[ \\t\\r\\n]+', ' ', 'g'))) > 4000""",
+    "p6_found": """
+        WITH RECURSIVE r AS (SELECT row_ix, nullif(lower(trim(split)), '') AS s, nullif(lower(trim(preliminary_cluster_id)), '') AS c, nullif(trim(representative_url), '') AS u FROM select_news_pilot),
+        n AS (SELECT row_ix, 'c' || c AS node FROM r WHERE c IS NOT NULL UNION ALL SELECT row_ix, 'u' || u FROM r WHERE u IS NOT NULL),
+        e AS (SELECT DISTINCT 'c' || c AS a, 'u' || u AS b FROM r WHERE c IS NOT NULL AND u IS NOT NULL), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        reach AS (SELECT DISTINCT node AS start, node FROM n UNION SELECT reach.start, both_ways.b FROM reach JOIN both_ways ON reach.node = both_ways.a),
+        part AS (SELECT start AS node, min(node) AS part FROM reach GROUP BY start), held AS (SELECT DISTINCT n.row_ix, p.part FROM n JOIN part p ON n.node = p.node),
+        torn AS (SELECT part FROM held JOIN r USING (row_ix) GROUP BY part HAVING count(DISTINCT s) > 1)
+        SELECT DISTINCT row_ix FROM held WHERE part IN (SELECT part FROM torn)""",
 }
