@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def lookup(rows: DataFrame, held: DataFrame, key: str, most_hot: int = 1000) -> DataFrame:
+def lookup(rows: DataFrame, held: DataFrame, key: str, most_hot: int = 1000, least_hot: int = 100_000) -> DataFrame:
     """Left join of rows with a table that has each key once.
 
-    A key of more than a `most_hot`th of the rows is hot; there are fewer than `most_hot` such keys, so their part of the
+    A key of more than a `most_hot`th of the rows, and of `least_hot` rows, is hot; there are fewer than `most_hot` such keys, so their part of the
     table is broadcast, and the rest is joined by shuffle. Null keys find nothing; unmatched rows keep nulls.
     """
     total = rows.count()
     counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    hot = counts.filter(F.col("_n") > max(total // most_hot, 100_000)).select(key)
+    hot = counts.filter(F.col("_n") > max(total // most_hot, least_hot)).select(key)
     names = [c for c in held.columns if c != key]
     hot_part = held.join(F.broadcast(hot), key, "left_semi").select(F.col(key).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in names))
     marked = rows.join(F.broadcast(hot_part), F.col(key) == F.col("_hot"), "left")
