@@ -26,11 +26,12 @@ def prepared(raw: DataFrame, ticker: str, start: str, end: str, overrides: DataF
         if overrides.groupBy("document_id").count().filter("count > 1").limit(1).count():
             raise ValueError("overrides name a document twice")
         o = overrides.select("document_id", F.col("available_date").alias("_day"), F.coalesce("evidence", F.lit("")).alias("_why"))
-        rows = rows.join(o, "document_id", "left").withColumn("_why", F.when(F.col("_day").isNotNull() & (F.trim("_why") == ""), F.raise_error(F.lit("an override needs evidence")).cast("string")).otherwise(F.col("_why")))
+        rows = rows.join(o, "document_id", "left")
     body = F.trim("content")
     news = F.col("source_type") == "news"
     unverified = (F.col("source_type") == "earnings_call") & F.col("title").contains("CFO Commentary")
-    status = F.when(F.col("_day").isNotNull(), "reviewed_override").when(unverified, "unverified").otherwise("source_date")
+    baseless = F.raise_error(F.lit("an override needs evidence")).cast("string")
+    status = F.when(F.col("_day").isNotNull(), F.when(F.trim("_why") == "", baseless).otherwise("reviewed_override")).when(unverified, "unverified").otherwise("source_date")
     only_title = (body == "") & news & F.lit(title_only)
     bodiless = (body == "") & ~only_title
     unsound = (body != "") & ~news & ((F.length(body) == 20000) | body.contains("us-gaap:") | body.contains("xbrli:"))
@@ -43,8 +44,8 @@ def prepared(raw: DataFrame, ticker: str, start: str, end: str, overrides: DataF
     )
     return rows.select(
         "document_id", "source_type", "date", F.coalesce("_day", "date").alias("available_date"), status.alias("date_status"), "title", "url", F.when(only_title, F.col("title")).otherwise(body).alias("text"),
-        F.when(only_title, "title_only").otherwise("supplied_body").alias("text_origin"), flags.alias("quality_flags"), errors.alias("preparation_error"), F.col("_why").alias("override_evidence"),
-    ).drop("override_evidence")
+        F.when(only_title, "title_only").otherwise("supplied_body").alias("text_origin"), flags.alias("quality_flags"), errors.alias("preparation_error"),
+    )
 
 
 def preparation_summary(documents: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def evidence_matches(source: Column, quote: Column, start: Column, end: Column)
 
 def free_label(answer: Column, labels: list[str]) -> Column:
     """The label an answer is, but for one full stop, outer spaces and case; null for anything else."""
-    clean = F.lower(F.rtrim(F.regexp_replace(F.trim(answer), r"\.$", "")))
+    clean = F.lower(F.regexp_replace(F.regexp_replace(answer, r"^\s+|\s+$", ""), r"\s*\.$", ""))
     out = F.lit(None).cast("string")
     for x in labels:
         out = F.when(clean == x.lower(), x).otherwise(out)
