@@ -81,8 +81,8 @@ def _respell(token: str, script: str) -> str:
     return "".join(c if _script(c) == script else back.get(TO_LATIN.get(c, c), c) for c in token)
 
 
-def consistent(text: str | None) -> str | None:
-    """The one form of a text; null stays null. Runs of spaces are one space, outer ones none; letter case is kept."""
+def consistent(text: str | None, rounds: int = 4) -> str | None:
+    """The one form of a text, which is its own form; null stays null. Runs of spaces are one space, outer ones none; letter case is kept."""
     if text is None:
         return None
     if _PLAIN.fullmatch(text):
@@ -115,7 +115,8 @@ def consistent(text: str | None) -> str | None:
         counts = Counter(_script(c) for c in token if not unicodedata.combining(c))
         return _respell(token, max(sorted(can), key=lambda s: (counts.get(s, 0), s == "LATIN")))
 
-    return unicodedata.normalize("NFC", _TOKEN.sub(settle, apart))
+    out = unicodedata.normalize("NFC", _TOKEN.sub(settle, apart))
+    return out if out == text or rounds <= 1 else consistent(out, rounds - 1)  # respelled words can change the main script
 
 
 def with_forms(df: DataFrame, columns: dict[str, str], keep: list[str]) -> DataFrame:

@@ -175,7 +175,7 @@ def read_page(text: str, title: str | None, outlet: str = "") -> list[tuple[int,
             score = -1.0
         else:
             next_kind = following[i]
-            score = 1.0 if next_kind in (PROSE, TURN, TABLE) and i + 1 < len(seen) and kinds[i + 1] not in (LINK, SHORT) else -1.0
+            score = 1.0 if next_kind in (PROSE, TURN, TABLE) and i + 1 < len(seen) and kinds[i + 1] not in (LINK, SHORT) else -0.8
         if kind == LINK or kind == FURNITURE and i + 1 < len(seen) and kinds[i + 1] == LINK:
             listed = True
         elif kind in (PROSE, TURN, SECTION, TABLE):
