@@ -7,9 +7,9 @@ first k shared words lie among their first n - ceil(t n) + k. Rare words are a b
 the next shared words, so bands stay small at any size, and no pair is lost. The order comes from word counts in a fixed
 number of hash buckets, whose size doesn't grow with the data.
 
-A candidate is then verified as in sequential Bayesian similarity search: batches of 64 one-bit minhashes are compared, and
+A candidate is then verified as in sequential Bayesian similarity search: batches of 32 one-bit minhashes are compared, and
 a pair is pruned as soon as the posterior chance that it reaches the threshold is under `miss`; survivors are verified on
-their whole word sets. Records with equal word sets are one class from the start and are joined again at the end.
+their whole word sets, held as 30 bits a word, so that a pair has a wrong shared word with a chance of some 3e-7. Records with equal word sets are one class from the start and are joined again at the end.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ _WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 22
 #: Words in at most so many sets are a band alone, up to the second number in twos, beyond it in threes.
 ALONE, IN_TWOS = 48, 4096
-BATCHES, BITS = 2, 64
+BATCHES, BITS = 2, 32
 
 
 def words(text: str) -> list[str]:
@@ -67,15 +67,15 @@ def _word_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     h = known[w] = xxhash.xxh3_64_intdigest(w) - (1 << 63)
                 hashes.append(h)
             array = np.unique(np.array(hashes, dtype=np.int64))
-            sets.append(array)
+            sets.append(array.astype(np.int32))  # the low half
             ids.append(xxhash.xxh3_128_digest(array.tobytes()))
         yield pd.DataFrame({"row": frame["row"], "set_id": ids, "words": sets})
 
 
-def _minhash_bits(flat: np.ndarray, starts: np.ndarray, batch: int) -> np.ndarray:
-    """64 one-bit minhashes of each set, as one signed integer."""
-    seeds = np.random.default_rng(1 + batch).integers(1, 1 << 63, size=(BITS, 2), dtype=np.uint64)
-    x = flat.view(np.uint64)
+def _signature(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The one-bit minhashes of each set in one integer, the first batch in its low bits."""
+    seeds = np.random.default_rng(1).integers(1, 1 << 63, size=(BATCHES * BITS, 2), dtype=np.uint64)
+    x = (flat.astype(np.int64) & 0xFFFFFFFF).astype(np.uint64)
     out = np.zeros(len(starts), dtype=np.uint64)
     for bit, (mul, add) in enumerate(seeds):
         mixed = x * (mul | np.uint64(1)) + add
@@ -85,7 +85,7 @@ def _minhash_bits(flat: np.ndarray, starts: np.ndarray, batch: int) -> np.ndarra
     return out.view(np.int64)
 
 
-def _bands(frames: Iterator[pd.DataFrame], counts: np.ndarray, threshold: float) -> Iterator[pd.DataFrame]:
+def _bands(frames: Iterator[pd.DataFrame], counts: np.ndarray, threshold: float, alone_to: int, twos_to: int) -> Iterator[pd.DataFrame]:
     """The bands of each set. Words become 32-bit integers whose lowest two bits hold how they make bands (1, 2 or 3 words)."""
     for frame in frames:
         sizes = np.fromiter(map(len, frame["words"]), dtype=np.int64, count=len(frame))
@@ -97,9 +97,9 @@ def _bands(frames: Iterator[pd.DataFrame], counts: np.ndarray, threshold: float)
         count = counts[(flat & (BUCKETS - 1))]
         order = np.lexsort((flat, count, row))
         flat, count = flat[order], count[order]
-        level = np.where(count <= ALONE, 1, np.where(count <= IN_TWOS, 2, 3)).astype(np.int64)
-        code = (((flat >> 20) & 0x3FFFFFFF) << 2 | level).astype(np.int64) - (1 << 31)
-        signs = [_minhash_bits(flat, starts, b) for b in range(BATCHES)]
+        level = np.where(count <= alone_to, 1, np.where(count <= twos_to, 2, 3)).astype(np.int64)
+        code = (flat.astype(np.int64) & 0xFFFFFFFC | level) - (1 << 31)
+        sign = _signature(flat, starts)
         code32 = code.astype(np.int32)
         place = np.arange(len(flat)) - np.repeat(starts, sizes)
         size = sizes[row]
@@ -123,7 +123,7 @@ def _bands(frames: Iterator[pd.DataFrame], counts: np.ndarray, threshold: float)
         cuts = np.split(code32, starts[1:])
         yield pd.DataFrame({
             "band": band, "row": frame["row"].to_numpy()[where], "words": pd.Series([cuts[i] for i in where], dtype=object),
-            **{f"sign_{b}": signs[b][where] for b in range(BATCHES)},
+            "sign": sign[where],
         })
 
 
@@ -136,27 +136,26 @@ def _mix(x: int, salt: int) -> int:
 
 def word_classes(df: DataFrame, row: Column, text: Column) -> tuple[DataFrame, DataFrame]:
     """(members: row, class), (classes: row, words); a class is the records with one word set and bears its least row. Null texts and rows are in none."""
-    sets = cut(df.select(row.alias("row"), text.alias("text")).filter("row IS NOT NULL AND text IS NOT NULL").mapInPandas(_word_sets, "row long, set_id binary, words array<long>"))
+    sets = cut(df.select(row.alias("row"), text.alias("text")).filter("row IS NOT NULL AND text IS NOT NULL").mapInPandas(_word_sets, "row long, set_id binary, words array<int>"))
     classes = sets.groupBy("set_id").agg(F.min("row").alias("class"), F.count("*").alias("n"), F.first("words").alias("words"))
     several = classes.filter("n > 1").select("set_id", "class")
     members = sets.select("row", "set_id").join(several, "set_id", "left").select("row", F.coalesce("class", "row").alias("class"), F.col("class").isNotNull().alias("copied"))
     return members, classes.select(F.col("class").alias("row"), "words")
 
 
-def class_links(classes: DataFrame, threshold: float, miss: float = 1e-6) -> DataFrame:
+def class_links(classes: DataFrame, threshold: float, miss: float = 1e-6, bands_of: tuple[int, int] = (ALONE, IN_TWOS)) -> DataFrame:
     """Pairs a < b of classes whose word sets have at least the similarity; each pair once."""
     spark = classes.sparkSession
-    counted = classes.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).agg(F.count("*").cast("int").alias("n"))
+    counted = classes.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").cast("int").alias("n"))
     # At most BUCKETS rows, whatever the size of the data.
     held = counted.toArrow() if hasattr(counted, "toArrow") else counted.toPandas()
-    counts = np.zeros(BUCKETS, dtype=np.int32)
-    counts[np.asarray(held["bucket"])] = np.asarray(held["n"])
+    counts = np.zeros(BUCKETS, dtype=np.uint16)
+    counts[np.asarray(held["bucket"])] = np.minimum(np.asarray(held["n"]), 65_535)
     sent = spark.sparkContext.broadcast(counts)
-    signs = [f"sign_{b}" for b in range(BATCHES)]
-    bands = classes.mapInPandas(lambda frames: _bands(frames, sent.value, threshold), "band long, row long, words array<int>, sign_0 long, sign_1 long")
-    a, b = (bands.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("row", "words", *signs))) for side in "ab")
-    differ = [reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in signs[: k + 1]]) for k in range(BATCHES)]
-    unpruned = [d <= most_differences(threshold, miss, BITS * (k + 1)) for k, d in enumerate(differ)]
+    bands = classes.mapInPandas(lambda frames: _bands(frames, sent.value, threshold, *bands_of), "band long, row long, words array<int>, sign long")
+    a, b = (bands.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("row", "words", "sign"))) for side in "ab")
+    other = F.col("sign_a").bitwiseXOR(F.col("sign_b"))
+    unpruned = [F.bit_count(other.bitwiseAND(F.lit((1 << BITS * k) - 1)) if k < BATCHES else other) <= most_differences(threshold, miss, BITS * k) for k in range(1, BATCHES + 1)]
     size_a, size_b, shared = F.size("words_a"), F.size("words_b"), F.size(F.array_intersect("words_a", "words_b"))
     close = reduce(lambda x, y: x & y, [F.col("row_a") < F.col("row_b"), F.least(size_a, size_b) >= F.greatest(size_a, size_b) * threshold - 1e-9, *unpruned])
     joined = a.join(b, "band").filter(close).withColumn("shared", shared)
@@ -171,13 +170,13 @@ def _copies(members: DataFrame, salts: int) -> DataFrame:
     return a.join(b, ["class", "salt"]).filter("row_a < row_b").select("row_a", "row_b")
 
 
-def near_duplicate_pairs(df: DataFrame, row: str = "row_ix", text: str = "title", threshold: float = 0.6, miss: float = 1e-6, salts: int = 8) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, row: str = "row_ix", text: str = "title", threshold: float = 0.6, miss: float = 1e-6, salts: int = 8, bands_of: tuple[int, int] = (ALONE, IN_TWOS)) -> DataFrame:
     """All pairs row_a < row_b of records whose word sets have at least the similarity, copies included.
 
     Null texts are in no pair; texts without any word pair only with equal ones. `row` must be unique.
     """
     members, classes = word_classes(df, F.col(row), F.col(text))
-    links = class_links(classes, threshold, miss)
+    links = class_links(classes, threshold, miss, bands_of)
     left, right = (members.select(F.col("class").alias(c), F.col("row").alias(r)) for c, r in (("a", "x"), ("b", "y")))
     across = links.join(left, "a").join(right, "b").select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"))
     return _copies(members, salts).unionByName(across)
