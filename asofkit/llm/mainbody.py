@@ -72,19 +72,39 @@ MENU, TICKER, FURNITURE, PROSE, TURN, SECTION, TABLE, LINK, SHORT, TITLE, BYLINE
 _CONTENT_CLASSES = {PROSE, TURN, SECTION, TABLE, TITLE, BYLINE}
 
 
+# Parts of words without which no sentence matches _ANYWHERE or _TALK; looking for them is far cheaper.
+_PARTS = (
+    "only necessary", "akzept", "ablehn", "verwalten", "preferences", "sign up", "sign in", "email", "readers", "subscri", "member", "your limit", "reading", "you read", "weiterlesen", "log in", "share this",
+    "facebook", "linkedin", "whatsapp", "reddit", "comment", "advert", "paid ", "scroll to", "to top", "the top", "inhalt", " app", "advis", "nothing on", "market data", "gewähr", "not sell", "author", "autor",
+    "covers", "be reached", "be found", "not found", "longer available", "gefunden", "error", "went wrong", "try again", "javascript", "traffic", "robot", "min read", "minute read", "cookie", "privacy", "terms of",
+    "rights reserved", "consent", "technolog", "partner", "personalis", "store and", "stores and", "newsletter", "register", "free a", "free t", "brief", "inbox", " ads", "browser", "ad block", "adblock",
+)
+_PARTED = ("|", "·", "•", "›", "»", "\t", "  ", " > ", " / ")
+
+
 def _speaks_for_site(sentence: str) -> bool:
     return bool(_OPENING.match(sentence) or _ANYWHERE.search(sentence))
 
 
 def _is_furniture(bare: str, outlet: str) -> bool:
     """Whether a line speaks as the site: running text only if no sentence of it is plain report."""
+    low = bare.lower()
+    for part in _PARTS:
+        if part in low:
+            break
+    else:
+        if not _OPENING.match(bare):
+            return False
     sentences = [x for x in _SENTENCES.split(bare) if x]
     if len(sentences) == 1 and (len(bare.split()) < 8 or not _SENTENCE_END.search(bare)):
-        return _speaks_for_site(bare) or bool(_TALK.search(bare)) and (len(bare.split()) < 5 or bool(_VOICE.search(bare)))
+        return _speaks_for_site(bare) or (len(bare.split()) < 5 or bool(_VOICE.search(bare))) and bool(_TALK.search(bare))
     some = False
     for x in sentences:
-        spoken = bool(_VOICE.search(x)) and not re.search(r"[\"“”]|\bsaid\b", x) or bool(outlet) and outlet in x
-        if _speaks_for_site(x) or spoken and _TALK.search(x):
+        if _speaks_for_site(x):
+            some = True
+            continue
+        spoken = bool(outlet) and outlet in x or bool(_VOICE.search(x)) and not re.search(r"[\"“”]|\bsaid\b", x)
+        if spoken and _TALK.search(x):
             some = True
         elif not (some and spoken) and len(x.split()) > 3:
             return False
@@ -105,8 +125,8 @@ def _class(text: str, title: str, outlet: str) -> tuple[int, str]:
         return FURNITURE, bare
     if _SPEAKER.match(bare) and (_SENTENCE_END.search(bare) or _STOP_INSIDE.search(bare)):
         return TURN, bare
-    parts = [p for p in _BREAK.split(bare) if p]
-    ended, words = bool(_SENTENCE_END.search(bare)), len(bare.split())
+    parts = [p for p in _BREAK.split(bare) if p] if any(x in bare for x in _PARTED) else [bare]
+    ended, words = bool(_SENTENCE_END.search(bare[-8:])), bare.count(" ") + 1
     if len(parts) > 1 and not ended:
         amounts = sum(1 for p in parts if _AMOUNT.search(p))
         if amounts and amounts >= len(parts) - 1 - (len(parts) > 3):
@@ -115,7 +135,7 @@ def _class(text: str, title: str, outlet: str) -> tuple[int, str]:
             return MENU, bare
     if m and m["dot"] and words <= 4 and not ended:
         return MENU, bare
-    if _BYLINE.search(bare) and words <= 12 and not _STOP_INSIDE.search(bare) and not (ended and words > 8):
+    if words <= 12 and _BYLINE.search(bare) and not _STOP_INSIDE.search(bare) and not (ended and words > 8):
         return BYLINE, bare
     question = bare.endswith("?") and not _STOP_INSIDE.search(bare)
     if (ended and not question and words >= 4) or _STOP_INSIDE.search(bare) and words >= 8 or not bare.isascii() and "。" in bare:
