@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,7 @@ _LEET = str.maketrans("013457@$!|+", "oieastasilt")
 _EDGE = ".,;:?\"“”„'’‘()[]{}…«»<>—–-"
 
 
+@lru_cache(200_000)
 def undisguised(chunk: str) -> str:
     """One space-free piece of text as a word in lower case: digits and signs that stand for letters, dots between letters and drawn out letters are undone; hidden letters stay `*`; numbers are `0`."""
     word = chunk.strip(_EDGE)
@@ -180,14 +182,15 @@ class Model:
     held_out: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        self._known: dict[str, tuple[float, int]] = {}
+        self._known: dict[str, tuple[list[int], int]] = {}
+        self._seen: dict[str, float] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._known = {}
+        self.__post_init__()
 
     def _word(self, word: str) -> tuple[list[int], int]:
         found = self._known.get(word)
@@ -198,6 +201,16 @@ class Model:
         return found
 
     def logit(self, words: list[str]) -> float:
+        """The log-odds of a passage; most passages differ from others by names and numbers alone, which are masked, so they are held."""
+        key = " ".join(words)
+        found = self._seen.get(key)
+        if found is None:
+            if len(self._seen) > 200_000:
+                self._seen.clear()
+            found = self._seen[key] = self._logit(words)
+        return found
+
+    def _logit(self, words: list[str]) -> float:
         ids: set[int] = set()
         before = None
         for w in words:

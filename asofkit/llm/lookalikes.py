@@ -32,6 +32,8 @@ _SCRIPTS = ("LATIN", *_LOOKALIKES)
 _WIDTH_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<small>", "<vertical>")
 _INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10)}
 _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
+# The blocks of the scripts that have look-alikes of Latin letters.
+_ALIKE = re.compile(r"[\u0370-\u03ff\u1f00-\u1fff\u0400-\u052f\u1c80-\u1c8f\ua640-\ua69f\u0530-\u058f\u13a0-\u13ff]")
 _PLAIN = re.compile(r"[ -~]*")
 
 
@@ -90,7 +92,7 @@ def consistent(text: str | None, rounds: int = 4) -> str | None:
     text = unicodedata.normalize("NFC", "".join(map(_plain, unicodedata.normalize("NFC", text))))
     text = " ".join(text.split(" ")) if "  " not in text else re.sub(" +", " ", text)
     text = text.strip(" ")
-    if text.isascii():
+    if text.isascii() or not _ALIKE.search(text):
         return text
     apart = unicodedata.normalize("NFD", text)
     tokens = _TOKEN.findall(apart)
