@@ -48,6 +48,15 @@ def checked_calendar(calendar: DataFrame) -> DataFrame:
     return calendar
 
 
+def checked_prices(prices: DataFrame) -> DataFrame:
+    """The prices of (date, close), if there are any, each date is there once, and each close is finite and above 0; else an error."""
+    bad = F.col("close").isNull() | F.isnan("close") | (F.col("close") <= 0) | (F.col("close") == float("inf")) | F.col("date").isNull()
+    n, distinct, wrong = prices.agg(F.count("*"), F.count_distinct("date"), F.count_if(bad)).first()
+    if not n or n != distinct or wrong:
+        raise ValueError(f"prices need dates, each once, and closes above 0: {n} rows, {distinct} dates, {wrong} bad")
+    return prices
+
+
 def _sized(df: DataFrame) -> DataFrame:
     """Broadcast only where the size is checked."""
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df

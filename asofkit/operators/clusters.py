@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.functions.text import opposed
+from asofkit.functions.text import OPPOSITES, opposed
 from asofkit.session import cut
 
 HOURS = 72
@@ -133,8 +133,6 @@ def opposed_clusters(rows: DataFrame, cluster: str, row: str, title: str) -> Dat
 
     Decided from counts of the rows with each side, without pairs of rows.
     """
-    from asofkit.functions.text import OPPOSITES
-
     words = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit("([a-z]+)"), F.lit(1))
     held = rows.withColumn("_w", words)
     counts = []

@@ -122,6 +122,15 @@ def flags(**conditions: Column) -> Column:
     return F.concat_ws(";", *(F.when(c, F.lit(n)) for n, c in conditions.items()))
 
 
+def inventory(tables: dict[str, DataFrame], body: str = "content") -> DataFrame:
+    """Per table: its rows, columns, and rows without body (null where it has no such column)."""
+    parts = []
+    for name, df in tables.items():
+        missing = F.count_if(blank(F.col(body).cast("string"))) if body in df.columns else F.lit(None).cast("long")
+        parts.append(df.agg(F.count("*").alias("rows_total"), missing.alias("missing_body")).select(F.lit(name).alias("table_name"), "rows_total", F.lit(len(df.columns)).alias("columns_total"), "missing_body"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def with_group_size(df: DataFrame, keys: list[str], name: str = "group_size") -> DataFrame:
     """df with the size of each row's group, by a count and a join, so that a large group isn't sorted in one task; null keys are a group."""
     counts = df.groupBy(*(F.col(c).alias(f"_key_{i}") for i, c in enumerate(keys))).agg(F.count("*").alias(name))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofkit.functions.text import split_of_year
-from asofkit.functions.times import as_of_latest, checked_calendar, forward_returns, market_day, next_calendar_day, week_ending_sunday, weekday_calendar
+from asofkit.functions.times import as_of_latest, checked_calendar, checked_prices, forward_returns, market_day, next_calendar_day, week_ending_sunday, weekday_calendar
 from asofkit.operators import clusters, features
 from asofkit.plans.common import END, NEWS_SQL, SCORED_SQL, START, news, scored_documents, text_time
 from asofkit.session import table
@@ -54,7 +54,7 @@ def trend_asof(spark: SparkSession, folder: str) -> DataFrame:
 
 def future_label(spark: SparkSession, folder: str) -> DataFrame:
     weeks = features.period_grid(START, END, True, spark)
-    return _texts(forward_returns(weeks, "date", _prices(spark, folder)))
+    return _texts(forward_returns(weeks, "date", checked_prices(_prices(spark, folder))))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -159,6 +159,12 @@ def parsed_answers(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("row_ix", label.alias("parsed"), one_label_only(F.col("answer"), label).alias("unique_label"))
 
 
+def inventory(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("inspect_text_datasets", "pipeline_documents", "pipeline_sentiment", "cluster_news_titles", "select_news_pilot")
+    out = quality.inventory({n: table(spark, folder, n) for n in names}, "text")
+    return out.select("table_name", "rows_total", "columns_total", F.coalesce("missing_body", F.lit(0)).alias("missing_body"))
+
+
 def first_seen_documents(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "pipeline_documents").filter("document_id IS NOT NULL").select("row_ix", "document_id")
     return quality.first_seen(rows, ["document_id"], "row_ix").filter("repeats").select("row_ix", "document_id", "first_position")
@@ -169,7 +175,7 @@ QUERIES = {
     for f in (
         profile_columns, profile_lengths, profile_dates, observed_volumes, ten_k_items, duplicate_counts, titles_across_days, union_dedup, key_conflicts, stable_row_ids, group_sizes, cluster_status,
         duplicate_components, sequential_duplicates, prepared_documents, preparation_counts, quality_flag_counts, consolidation_flags, run_summary, label_shares, confusion, class_metrics, probe_summary,
-        repeat_consistency, parsed_answers, first_seen_documents,
+        repeat_consistency, parsed_answers, first_seen_documents, inventory,
     )
 }
 
@@ -254,4 +260,8 @@ ORACLES = {
         SELECT row_ix, CASE WHEN l IN ('negative', 'neutral', 'positive') THEN l END AS parsed, l IN ('negative', 'neutral', 'positive') AS unique_label FROM l""",
     "first_seen_documents": """SELECT row_ix, document_id, first_position FROM (SELECT row_ix, document_id, min(row_ix) OVER (PARTITION BY document_id) AS first_position FROM pipeline_documents
         WHERE document_id IS NOT NULL) WHERE row_ix > first_position""",
+    "inventory": " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, count(*) AS rows_total, {k} AS columns_total, {f'count(*) FILTER ({_BLANK.format("text")})' if body else 'CAST(0 AS BIGINT)'} AS missing_body FROM {n}"
+        for n, k, body in (("inspect_text_datasets", 13, False), ("pipeline_documents", 12, True), ("pipeline_sentiment", 10, True), ("cluster_news_titles", 14, False), ("select_news_pilot", 14, False))
+    ),
 }

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,8 +49,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     # Ids grow with the partition and the place in it; a line's number is its place among its partition's, plus those before.
     parts = text.withColumn("_p", F.spark_partition_id())
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_least"))
-    from pyspark.sql import Window
-
     bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return parts.join(F.broadcast(bases), "_p").select((F.col("_base") + F.col("_i") - F.col("_least") + 1).alias("line_no"), "value")
 
@@ -78,8 +77,6 @@ def one_text(spark: SparkSession, text: str, source: str = "direct_text") -> Dat
 
 def fetched(spark: SparkSession, urls: DataFrame, cache: DataFrame, fetch) -> DataFrame:
     """url, body, error: cached results and those of `fetch(url) -> (body, error)` for addresses without one. The library itself fetches nothing."""
-    import pandas as pd
-
     def run(frames):
         for frame in frames:
             got = [fetch(u) for u in frame["url"]]

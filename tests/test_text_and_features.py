@@ -237,3 +237,16 @@ def test_prepared_documents(spark):
     assert again["CFO Commentary"]["available_date"] == "2024-02-01" and again["CFO Commentary"]["preparation_error"] == ""
     with pytest.raises(Exception, match="evidence"):
         prepared(df, "NVDA", "2024-01-01", "2024-12-31", o.withColumn("evidence", F.lit(" "))).collect()
+
+
+def test_prices_prompts_and_queries(spark):
+    good = spark.createDataFrame([(date(2024, 1, 2), 1.0), (date(2024, 1, 3), 2.0)], "date date, close double")
+    assert times.checked_prices(good).count() == 2
+    for bad in ("date, 0D close", "date, double('nan') close", "date('2024-01-02') date, close"):
+        with pytest.raises(ValueError, match="prices"):
+            times.checked_prices(good.selectExpr(*bad.split(", ")))
+    with pytest.raises(ValueError, match="prices"):
+        times.checked_prices(good.filter("false"))
+    df = spark.createDataFrame([(" a \n b ",), (None,)], "t string").select(t.sentiment_prompt(F.col("t")).alias("p"))
+    assert [r["p"].split("\n")[1] for r in df.collect()] == ["Input: a b", "Input: "]
+    assert t.search_query(["NVIDIA", "data center"], "english") == '(NVIDIA OR "data center") sourcelang:english'
