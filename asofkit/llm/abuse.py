@@ -5,7 +5,7 @@ the passages that make a document abusive are found while fitting: those of abus
 highest. In passages that mention a group, the identity term is swapped for others, and differences of score between the
 swapped passages are penalised, so that a mention of a group alone raises no score. The model is logistic on hashed words, pairs of
 words, letter bags and four-letter parts, after spellings meant to hide a word are undone. It is fitted on at most
-`most_labelled` labelled documents, the bound stated in `fit`; every document is scored.
+`most_labelled` labelled documents, the bound of `labelled_documents`; every document is scored.
 """
 
 from __future__ import annotations
@@ -347,14 +347,22 @@ def _best_threshold(scores: np.ndarray, y: np.ndarray, slack: float = 0.03) -> t
     return t, {"f1": f1, "best_f1": best, "n": int(len(y)), "positives": int(y.sum())}
 
 
-def fit(labelled: DataFrame, most_labelled: int = MOST_LABELLED, folds: int = 3, seed: int = 0) -> Model:
-    """A model of labelled documents: rows of doc_id, text, abusive (one per label).
+def labelled_documents(documents: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """(doc_id, y, text) of at most `most_labelled` labelled documents, those of least hashed id; y is the mean of a document's labels.
 
-    Labels of one document are averaged. At most `most_labelled` documents are used, those of least hashed id; beyond that
-    more labels don't change the cost. The threshold is the best for F1 on scores of documents left out of the fit in turn.
+    The ids are chosen from the labels alone and broadcast, at most `most_labelled` of them, so texts aren't shuffled.
     """
-    means = labelled.filter("text IS NOT NULL AND abusive IS NOT NULL").groupBy("doc_id").agg(F.avg("abusive").alias("y"), F.min("text").alias("text"))
-    held = means.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most_labelled).toPandas()
+    means = labels.filter("abusive IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("abusive").alias("y"))
+    chosen = means.orderBy(F.xxhash64(F.lit(0), "doc_id"), "doc_id").limit(most_labelled)
+    return documents.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+def fit(labelled: DataFrame, folds: int = 3, seed: int = 0) -> Model:
+    """A model of a bounded number of labelled documents, rows of doc_id, y and text.
+
+    The threshold is found on scores of documents left out of the fit in turn. Without labels nothing is abusive.
+    """
+    held = labelled.orderBy("doc_id").toPandas()
     # The bounded sample goes to one task for each fold and one for the whole fit.
     sent = labelled.sparkSession.sparkContext.broadcast((held["text"].tolist(), held["y"].tolist()))
 
@@ -382,10 +390,6 @@ def fit(labelled: DataFrame, most_labelled: int = MOST_LABELLED, folds: int = 3,
     return out
 
 
-def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    return labels.filter("abusive IS NOT NULL").select("doc_id", "abusive").join(documents.select("doc_id", "text"), "doc_id")
-
-
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, source, score, abusive, passage (the worst one, null for blank texts) of every document, whole texts."""
     sent = documents.sparkSession.sparkContext.broadcast(model)  # of a fixed size
