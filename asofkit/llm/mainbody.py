@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -207,8 +208,8 @@ def read_page(text: str, title: str | None, outlet: str = "") -> list[tuple[int,
 _LEAST_PAGES, _VOTE_WEIGHT = 5, 1.5
 
 
-def read_pages(pages: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
-    """(row_ix, host, line_no, kind, zone, score, path, wording) of each line that isn't blank; null texts have none.
+def read_pages(pages: DataFrame, outlets: DataFrame | None = None, wordings: bool = False) -> DataFrame:
+    """(row_ix, host, line_no, score, path) and, with `wordings`, wording, of each line that isn't blank; null texts have none.
 
     `pages` has row_ix, url, title and text; `outlets` the outlet_name of each domain, which is generalised away.
     """
@@ -220,30 +221,36 @@ def read_pages(pages: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
         named = named.join(names, "host", "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh3_64_intdigest
         for frame in frames:
-            rows = []
-            for row, host, title, text, outlet in zip(frame["row_ix"], frame["host"], frame["title"], frame["text"], frame["outlet"]):
-                for n, kind, zone, score, wording in read_page(text, title if isinstance(title, str) else "", outlet if isinstance(outlet, str) else ""):
-                    path = xxhash.xxh3_64_intdigest(f"{zone}|{kind}|{wording}") - (1 << 63)
-                    rows.append((row, host, n, kind, zone, score, path, wording))
-            yield pd.DataFrame(rows, columns=["row_ix", "host", "line_no", "kind", "zone", "score", "path", "wording"])
+            sizes, numbers, scores, paths, words = [], [], [], [], []
+            for title, text, outlet in zip(frame["title"], frame["text"], frame["outlet"]):
+                found = read_page(text, title if isinstance(title, str) else "", outlet if isinstance(outlet, str) else "")
+                sizes.append(len(found))
+                for n, kind, zone, score, wording in found:
+                    numbers.append(n), scores.append(score), paths.append(digest(f"{zone}|{kind}|{wording}") - (1 << 63))
+                    if wordings:
+                        words.append(wording)
+            out = {"row_ix": np.repeat(frame["row_ix"].to_numpy(), sizes), "host": np.repeat(frame["host"].to_numpy(), sizes), "line_no": np.array(numbers, dtype=np.int32), "score": np.array(scores, dtype=float), "path": np.array(paths, dtype=np.int64)}
+            yield pd.DataFrame(out | ({"wording": pd.Series(words, dtype=object)} if wordings else {}))
 
-    return named.select("row_ix", "host", "title", "text", "outlet").mapInPandas(run, "row_ix long, host string, line_no int, kind int, zone int, score double, path long, wording string")
+    return named.select("row_ix", "host", "title", "text", "outlet").mapInPandas(run, "row_ix long, host string, line_no int, score double, path long" + ", wording string" * wordings)
 
 
 def host_paths(lines: DataFrame) -> DataFrame:
-    """The vote on each path of each host: host, path, key, wording, pages, vote, all_pages, all_vote, wins; votes from -1 to 1.
+    """The vote on each path of each host: host, path, key, pages, vote, all_pages, all_vote, wins and, if lines have it, wording; votes from -1 to 1.
 
     A line of a container that is clearly in or out of the body votes 1 or -1, an isolated one -0.6. Paths seen on fewer than
     five lines have no vote. Votes are combined before each shuffle, first by host and path, then by path.
     """
     said = F.when(F.col("score") >= 1, 1.0).when(F.col("score") > 0, -0.6).otherwise(-1.0)
-    hosts = lines.groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum(said).alias("sum"), F.min("wording").alias("wording"))
+    told = [F.min("wording").alias("wording")] if "wording" in lines.columns else []
+    hosts = lines.groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum(said).alias("sum"), *told)
     every = hosts.groupBy("path").agg(F.sum("pages").alias("all_pages"), F.sum("sum").alias("all_sum")).filter(F.col("all_pages") >= _LEAST_PAGES)
     both = hosts.join(every, "path").withColumn("vote", F.col("sum") / F.col("pages")).withColumn("all_vote", F.col("all_sum") / F.col("all_pages"))
     trust = F.col("pages") / (F.col("pages") + _LEAST_PAGES)
     wins = (F.col("vote") * trust + F.col("all_vote") * (1 - trust)) * F.col("all_pages") / (F.col("all_pages") + _LEAST_PAGES)
-    return both.select("host", "path", F.xxhash64("host", "path").alias("key"), "wording", "pages", "vote", "all_pages", "all_vote", wins.alias("wins"))
+    return both.select("host", "path", F.xxhash64("host", "path").alias("key"), *["wording"] * len(told), "pages", "vote", "all_pages", "all_vote", wins.alias("wins"))
 
 
 def judged(pages: DataFrame, outlets: DataFrame | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def p1_main(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, folder: str) -> DataFrame:
-    return mainbody.host_paths(mainbody.read_pages(*_pages(spark, folder)))
+    return mainbody.host_paths(mainbody.read_pages(*_pages(spark, folder), wordings=True))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
