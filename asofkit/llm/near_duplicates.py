@@ -7,7 +7,7 @@ first k shared words lie among their first n - ceil(t n) + k. Rare words are a b
 the next shared words, so bands stay small at any size, and no pair is lost. The order comes from word counts in a fixed
 number of hash buckets, whose size doesn't grow with the data.
 
-A candidate is then verified as in sequential Bayesian similarity search: batches of 32 one-bit minhashes are compared, and
+A candidate is then verified as in sequential Bayesian similarity search: batches of 64 one-bit minhashes are compared, and
 a pair is pruned as soon as the posterior chance that it reaches the threshold is under `miss`; survivors are verified on
 their whole word sets, held as 30 bits a word, so that a pair has a wrong shared word with a chance of some 3e-7. Records with equal word sets are one class from the start and are joined again at the end.
 """
@@ -33,7 +33,7 @@ _WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 22
 #: Words in at most so many sets are a band alone, up to the second number in twos, beyond it in threes.
 ALONE, IN_TWOS = 48, 4096
-BATCHES, BITS = 2, 32
+BATCHES, BITS = 2, 64
 
 
 def words(text: str) -> list[str]:
@@ -72,9 +72,9 @@ def _word_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"row": frame["row"], "set_id": ids, "words": sets})
 
 
-def _signature(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The one-bit minhashes of each set in one integer, the first batch in its low bits."""
-    seeds = np.random.default_rng(1).integers(1, 1 << 63, size=(BATCHES * BITS, 2), dtype=np.uint64)
+def _signature(flat: np.ndarray, starts: np.ndarray, batch: int) -> np.ndarray:
+    """A batch of one-bit minhashes of each set, as one signed integer."""
+    seeds = np.random.default_rng(1 + batch).integers(1, 1 << 63, size=(BITS, 2), dtype=np.uint64)
     x = (flat.astype(np.int64) & 0xFFFFFFFF).astype(np.uint64)
     out = np.zeros(len(starts), dtype=np.uint64)
     for bit, (mul, add) in enumerate(seeds):
@@ -99,7 +99,7 @@ def _bands(frames: Iterator[pd.DataFrame], counts: np.ndarray, threshold: float,
         flat, count = flat[order], count[order]
         level = np.where(count <= alone_to, 1, np.where(count <= twos_to, 2, 3)).astype(np.int64)
         code = (flat.astype(np.int64) & 0xFFFFFFFC | level) - (1 << 31)
-        sign = _signature(flat, starts)
+        signs = [_signature(flat, starts, b) for b in range(BATCHES)]
         code32 = code.astype(np.int32)
         place = np.arange(len(flat)) - np.repeat(starts, sizes)
         size = sizes[row]
@@ -123,7 +123,7 @@ def _bands(frames: Iterator[pd.DataFrame], counts: np.ndarray, threshold: float,
         cuts = np.split(code32, starts[1:])
         yield pd.DataFrame({
             "band": band, "row": frame["row"].to_numpy()[where], "words": pd.Series([cuts[i] for i in where], dtype=object),
-            "sign": sign[where],
+            **{f"sign_{b}": s[where] for b, s in enumerate(signs)},
         })
 
 
@@ -152,10 +152,11 @@ def class_links(classes: DataFrame, threshold: float, miss: float = 1e-6, bands_
     counts = np.zeros(BUCKETS, dtype=np.uint16)
     counts[np.asarray(held["bucket"])] = np.minimum(np.asarray(held["n"]), 65_535)
     sent = spark.sparkContext.broadcast(counts)
-    bands = classes.mapInPandas(lambda frames: _bands(frames, sent.value, threshold, *bands_of), "band long, row long, words array<int>, sign long")
-    a, b = (bands.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("row", "words", "sign"))) for side in "ab")
-    other = F.col("sign_a").bitwiseXOR(F.col("sign_b"))
-    unpruned = [F.bit_count(other.bitwiseAND(F.lit((1 << BITS * k) - 1)) if k < BATCHES else other) <= most_differences(threshold, miss, BITS * k) for k in range(1, BATCHES + 1)]
+    signs = [f"sign_{b}" for b in range(BATCHES)]
+    bands = classes.mapInPandas(lambda frames: _bands(frames, sent.value, threshold, *bands_of), "band long, row long, words array<int>, " + ", ".join(f"{c} long" for c in signs))
+    a, b = (bands.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("row", "words", *signs))) for side in "ab")
+    differ = [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in signs]
+    unpruned = [reduce(lambda x, y: x + y, differ[:k]) <= most_differences(threshold, miss, BITS * k) for k in range(1, BATCHES + 1)]
     size_a, size_b, shared = F.size("words_a"), F.size("words_b"), F.size(F.array_intersect("words_a", "words_b"))
     close = reduce(lambda x, y: x & y, [F.col("row_a") < F.col("row_b"), F.least(size_a, size_b) >= F.greatest(size_a, size_b) * threshold - 1e-9, *unpruned])
     joined = a.join(b, "band").filter(close).withColumn("shared", shared)
