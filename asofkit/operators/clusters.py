@@ -22,13 +22,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def causal_links(items: DataFrame, threshold: float, hours: float = HOURS, similarity: Column | None = None, veto: Column | None = None) -> DataFrame:
-    """item_id, parent_id, link_similarity: the link of each item of (item_id, ts, vector, ...), null parent where none.
+def causal_pairs(items: DataFrame, threshold: float, hours: float = HOURS, similarity: Column | None = None, veto: Column | None = None) -> DataFrame:
+    """item_id, up, up_ts, similarity: each item of (item_id, ts, vector, ...) with the earlier ones it may link to.
 
-    The choice depends only on times, vectors and titles, never on earlier choices, so all are made at once. Candidates are
-    earlier items (by ts, then item_id) within `hours`, inclusive, found by an equality on windows of that width, the own
-    and the one before. Ties in similarity go to the earliest. `similarity` and `veto` are on columns `a` (the item) and `b`
-    (the earlier one), structs of all columns. Items without time link to nothing.
+    Candidates are earlier items (by ts, then item_id) within `hours`, inclusive, found by an equality on windows of that
+    width, the own and the one before. `similarity` and `veto` are on columns `a` (the item) and `b` (the earlier one),
+    structs of all columns. Items without time are in no pair.
     """
     width = int(hours * 3600)
     held = items.filter("ts IS NOT NULL").select(F.struct(*items.columns).alias("x"), F.floor(F.unix_timestamp("ts") / width).alias("w"))
@@ -39,9 +38,21 @@ def causal_links(items: DataFrame, threshold: float, hours: float = HOURS, simil
     near = a.join(b, "w").filter(earlier).withColumn("sim", sim).filter(F.col("sim") >= threshold)
     if veto is not None:
         near = near.filter(~veto)
-    best = near.groupBy(F.col("a.item_id").alias("item_id")).agg(F.max(F.struct(F.col("sim"), (-F.unix_micros("b.ts")).alias("t"), (-F.col("b.item_id")).alias("i"))).alias("m"))
-    links = best.select("item_id", (-F.col("m.i")).alias("parent_id"), F.col("m.sim").alias("link_similarity"))
-    return items.select("item_id").join(links, "item_id", "left")
+    return near.select(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("up"), F.col("b.ts").alias("up_ts"), F.col("sim").alias("similarity"))
+
+
+def best_links(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """item_id, parent_id, link_similarity of every item: the most similar of its pairs, the earliest on ties, null where it has none."""
+    best = pairs.groupBy("item_id").agg(F.max(F.struct(F.col("similarity").alias("s"), (-F.unix_micros("up_ts")).alias("t"), (-F.col("up")).alias("i"))).alias("m"))
+    return items.select("item_id").join(best.select("item_id", (-F.col("m.i")).alias("parent_id"), F.col("m.s").alias("link_similarity")), "item_id", "left")
+
+
+def causal_links(items: DataFrame, threshold: float, hours: float = HOURS, similarity: Column | None = None, veto: Column | None = None) -> DataFrame:
+    """item_id, parent_id, link_similarity: the link of each item, null parent where none.
+
+    The choice depends only on times, vectors and titles, never on earlier choices, so all are made at once.
+    """
+    return best_links(items, causal_pairs(items, threshold, hours, similarity, veto))
 
 
 def title_veto(a: str = "a.title", b: str = "b.title") -> Column:
@@ -115,17 +126,28 @@ def fetch_ranks(rows: DataFrame, most: int = 3) -> DataFrame:
     return out
 
 
-def sensitivity(members: DataFrame, threshold: float, candidates: DataFrame | None = None) -> DataFrame:
-    """One row on clusters of (cluster_id, item_id) at a threshold: counts of items, clusters, singletons, size bands, largest and mean size, reduction."""
-    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n"))
-    out = sizes.agg(
+def roots_by_threshold(items: DataFrame, pairs: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """threshold, item_id, cluster_id: the clusters at each threshold, from pairs at the lowest, all trees followed at once."""
+    n, links = len(thresholds), None
+    for k, t in enumerate(thresholds):
+        own = best_links(items, pairs.filter(F.col("similarity") >= t))
+        own = own.select((F.col("item_id") * n + k).alias("item_id"), (F.col("parent_id") * n + k).alias("parent_id"), "link_similarity")
+        links = own if links is None else links.unionByName(own)
+    named = F.element_at(F.array(*map(F.lit, thresholds)), (F.col("item_id") % n + 1).cast("int"))
+    return roots(links).select(named.alias("threshold"), F.floor(F.col("item_id") / n).alias("item_id"), F.floor(F.col("root_id") / n).alias("cluster_id"))
+
+
+def sensitivity(members: DataFrame, by: list[str], candidates: DataFrame | None = None) -> DataFrame:
+    """Per group of clusters of (cluster_id, item_id): counts of items, clusters, singletons, size bands, largest and mean size; with `candidates` (by the same columns) their number and the reduction."""
+    sizes = members.groupBy(*by, "cluster_id").agg(F.count("*").alias("n"))
+    out = sizes.groupBy(*by).agg(
         F.sum("n").alias("items"), F.count("*").alias("clusters"), F.count_if(F.col("n") == 1).alias("singletons"), F.count_if(F.col("n").between(2, 3)).alias("clusters_2_3"),
         F.count_if(F.col("n") >= 4).alias("clusters_4_plus"), F.max("n").alias("largest"), F.avg("n").alias("mean_size"),
     )
     out = out.withColumn("singleton_ratio", F.col("singletons") / F.col("clusters")).withColumn("near_duplicates", F.col("items") - F.col("clusters"))
     if candidates is not None:
-        out = out.crossJoin(candidates.agg(F.count("*").alias("fetch_candidates"))).withColumn("reduction", F.col("items") - F.col("fetch_candidates"))
-    return out.withColumn("threshold", F.lit(threshold))
+        out = out.join(candidates.groupBy(*by).agg(F.count("*").alias("fetch_candidates")), by, "left").withColumn("reduction", F.col("items") - F.coalesce("fetch_candidates", F.lit(0)))
+    return out
 
 
 def opposed_clusters(rows: DataFrame, cluster: str, row: str, title: str) -> DataFrame:

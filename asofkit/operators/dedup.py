@@ -85,26 +85,30 @@ def sequential_duplicates(rows: DataFrame, hours: float = HOURS) -> DataFrame:
     part = connected_components(edges, "a", "b").withColumnRenamed("node", "row_ix")
     held = rows.join(part, "row_ix")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        by_url: dict[str, list] = {}
-        by_day: dict[tuple, list] = {}
+    def run(frames):
         limit = pd.Timedelta(hours=hours)
-        for row, url, form, words, ts, day in frame.sort_values("row_ix")[["row_ix", "url", "form", "words", "ts", "day"]].itertuples(index=False):
-            mine = set(words)
-            candidates = [x for x in by_day.get((day, form), ()) if form and abs(ts - x[1]) <= limit]
-            for x in by_url.get(url, ()) if url else ():
-                if abs(ts - x[1]) <= limit and (x[2] == form or mine and len(mine & x[3]) >= 0.85 * len(mine | x[3])):
-                    candidates.append(x)
-            match = min((x[0] for x in candidates), default=None)
-            if match is None:
-                kept = (row, ts, form, mine)
-                by_day.setdefault((day, form), []).append(kept)
-                by_url.setdefault(url, []).append(kept)
-            out.append((row, match))
-        return pd.DataFrame(out, columns=["row_ix", "matched_row"]).astype({"matched_row": "Int64"})
-
-    inside = held.groupBy("component").applyInPandas(run, "row_ix long, matched_row long")
+        here, by_url, by_day = None, {}, {}
+        for frame in frames:
+            out = []
+            for component, row, url, form, words, ts, day in frame[["component", "row_ix", "url", "form", "words", "ts", "day"]].itertuples(index=False):
+                if component != here:
+                    here, by_url, by_day = component, {}, {}
+                mine = set(words)
+                candidates = [x for x in by_day.get((day, form), ()) if form and abs(ts - x[1]) <= limit]
+                for x in by_url.get(url, ()) if url else ():
+                    if abs(ts - x[1]) <= limit and (x[2] == form or mine and len(mine & x[3]) >= 0.85 * len(mine | x[3])):
+                        candidates.append(x)
+                match = min((x[0] for x in candidates), default=None)
+                if match is None:
+                    kept = (row, ts, form, mine)
+                    by_day.setdefault((day, form), []).append(kept)
+                    by_url.setdefault(url, []).append(kept)
+                out.append((row, match))
+            yield pd.DataFrame(out, columns=["row_ix", "matched_row"]).astype({"matched_row": "Int64"})
+
+    # Sorted by component, so that a task goes through many in one pass and holds one at a time.
+    ordered = held.repartition("component").sortWithinPartitions("component", "row_ix")
+    inside = ordered.mapInPandas(run, "row_ix long, matched_row long")
     alone = rows.join(part, "row_ix", "left_anti").select("row_ix", F.lit(None).cast("long").alias("matched_row"))
     return inside.unionByName(alone)
 

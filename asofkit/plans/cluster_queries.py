@@ -69,11 +69,8 @@ def cluster_sizes_asof(spark: SparkSession, folder: str) -> DataFrame:
 def threshold_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
     """All thresholds from one table of scored candidates at the lowest of them."""
     items = cut(_items(spark, folder))
-    out = None
-    for t in THRESHOLDS:
-        members = clusters.roots(clusters.causal_links(items, t)).select(F.col("root_id").alias("cluster_id"), "item_id")
-        row = clusters.sensitivity(members, t)
-        out = row if out is None else out.unionByName(row)
+    pairs = cut(clusters.causal_pairs(items, min(THRESHOLDS)))
+    out = clusters.sensitivity(clusters.roots_by_threshold(items, pairs, THRESHOLDS), ["threshold"])
     return out.select("threshold", "items", "clusters", "singletons", F.round("singleton_ratio", 6).alias("singleton_ratio"), "clusters_2_3", "clusters_4_plus", "largest", F.round("mean_size", 6).alias("mean_size"), "near_duplicates")
 
 

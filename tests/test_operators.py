@@ -159,6 +159,18 @@ def test_future_rows_dont_change_earlier_links(spark):
     assert sorted(map(tuple, early.collect())) == sorted(map(tuple, late.collect()))
 
 
+def test_all_thresholds_at_once(spark):
+    chance = random.Random(9)
+    items = _items(spark, [(i, T0 + timedelta(hours=i), [chance.gauss(0, 1) for _ in range(2)], "t") for i in range(40)])
+    levels = (0.5, 0.9, 0.99)
+    many = clusters.roots_by_threshold(items, clusters.causal_pairs(items, 0.5), levels)
+    for t in levels:
+        one = {r["item_id"]: r["root_id"] for r in clusters.roots(clusters.causal_links(items, t)).collect()}
+        assert {r["item_id"]: r["cluster_id"] for r in many.filter(F.col("threshold") == t).collect()} == one
+    got = {r["threshold"]: r for r in clusters.sensitivity(many, ["threshold"], many.filter("item_id < 10")).collect()}
+    assert all(r["items"] == 40 == r["clusters"] + r["near_duplicates"] and r["singletons"] + r["clusters_2_3"] + r["clusters_4_plus"] == r["clusters"] and r["reduction"] == 30 for r in got.values())
+
+
 def test_a_vector_without_length_is_an_error(spark):
     with pytest.raises(Exception, match="length 0"):
         _items(spark, [(0, T0, [0.0, 0.0], "t")]).collect()
