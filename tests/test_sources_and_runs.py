@@ -57,7 +57,7 @@ def test_verified_writes(spark, tmp_path, monkeypatch):
             sinks.write_verified(df, str(tmp_path / "r"))
     assert not (tmp_path / "r").exists()
     sinks.write_csv(df, str(tmp_path / "csv"))
-    assert sorted(r["v"] for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).filter("v IS NOT NULL").collect()) == ['["a"]', '["a"]']
+    assert sorted(r["v"] for r in spark.read.option("header", True).option("escape", chr(34)).csv(str(tmp_path / "csv")).filter("v IS NOT NULL").collect()) == ['["a"]', '["a"]']
     sinks.write_json_lines(df, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 3
 
