@@ -279,3 +279,35 @@ def test_metrics(spark):
     assert shares["a", "c"] == (0, False) and shares["b", "b"] == (1, True)
     r = spark.createDataFrame([("k", "x"), ("k", None), ("m", "x"), ("m", "x"), ("n", "x")], "k string, v string")
     assert {x["k"]: x["consistent"] for x in metrics.repeat_consistency(r, ["k"], "v").collect()} == {"k": False, "m": True}
+
+
+def test_event_clusters_against_a_sequential_pass(spark, tmp_path):
+    import pandas as pd
+
+    from asofkit.functions.text import OPPOSITES
+    from asofkit.plans.cluster_queries import event_clusters
+
+    chance = random.Random(11)
+    base = [[f"w{chance.randrange(200)}" for _ in range(20)] for _ in range(6)]
+    data = []
+    for i in range(90):
+        words = list(chance.choice(base))
+        if chance.random() < 0.6:
+            words[chance.randrange(20)] = chance.choice(["up", "down", "x", "y"])
+        data.append((i, T0 + timedelta(hours=chance.randrange(250)), " ".join(words)))
+    pd.DataFrame({
+        "row_ix": [d[0] for d in data], "published_at": [d[1].strftime("%Y-%m-%dT%H:%M:%SZ") for d in data], "title": [d[2] for d in data], "domain": "a", "url": None, "preliminary_cluster_id": None,
+    }).astype({"url": object, "preliminary_cluster_id": object}).to_parquet(tmp_path / "cluster_news_titles.parquet")
+    got = {r["row_ix"]: r["root_id"] for r in event_clusters(spark, str(tmp_path)).collect()}
+    # Rows with one word set and time are one item, that of the least row.
+    items = {}
+    for i, t, title in data:
+        items.setdefault((frozenset(title.split()), t), []).append(i)
+    order = sorted(((t, min(rows), s) for (s, t), rows in items.items()))
+    against = lambda a, b: any(x in a and y in b or y in a and x in b for x, y in OPPOSITES)
+    root, want = {}, {}
+    for k, (t, i, s) in enumerate(order):
+        near = [(round(len(s & r) / len(s | r), 9), -n, j) for n, (u, j, r) in enumerate(order[:k]) if t - u <= timedelta(hours=72) and len(s & r) >= 0.9 * len(s | r) - 1e-9 and not against(s, r)]
+        root[i] = root[max(near)[2]] if near else i
+        want |= {j: root[i] for j in items[s, t]}
+    assert got == want and len(set(want.values())) < len(order)
