@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from asofkit.functions.ids import json_list_id
 from asofkit.functions.text import OPPOSITES, display_text, html_body_udf, label_score, letters_and_digits, plain_title_form_udf, stratum, title_form_udf, trust_tier
 from asofkit.operators import clusters, features, metrics, sampling, scoring, setjoin, validate
-from asofkit.plans.common import NEWS_SQL, SCORED_SQL, news, scored_documents, text_time
+from asofkit.plans.common import NEWS_SQL, SCORED_SQL, all_times, news, scored_documents, strict_news, text_time
 from asofkit.session import cut, table
 from asofkit.sources.tables import sample_rows
 from asofkit.streaming.online import daily_counts, run_once
@@ -102,21 +102,21 @@ def event_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def opposed_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    rows = news(spark, folder).filter("cluster IS NOT NULL")
+    rows = strict_news(spark, folder).filter("cluster IS NOT NULL")
     return clusters.opposed_clusters(rows, "cluster", "row_ix", "title")
 
 
-def _cluster_table(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.cluster_table(news(spark, folder).filter("cluster IS NOT NULL AND ts IS NOT NULL"))
+def _cluster_table(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+    return sampling.cluster_table(read(spark, folder).filter("cluster IS NOT NULL AND ts IS NOT NULL"))
 
 
-def cluster_table(spark: SparkSession, folder: str) -> DataFrame:
-    out = _cluster_table(spark, folder)
+def cluster_table(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+    out = _cluster_table(spark, folder, read)
     return out.select("cluster", "cluster_size", text_time("first_at").alias("first_at"), text_time("last_at").alias("last_at"), F.round("span_hours", 6).alias("span_hours"), "domain_count", "representative_row", "year", "split", "crosses_splits")
 
 
-def split_crossings(spark: SparkSession, folder: str) -> DataFrame:
-    return _cluster_table(spark, folder).groupBy("split").agg(F.count("*").alias("clusters"), F.count_if("crosses_splits").alias("crossing"))
+def split_crossings(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+    return _cluster_table(spark, folder, read).groupBy("split").agg(F.count("*").alias("clusters"), F.count_if("crosses_splits").alias("crossing"))
 
 
 def address_slots(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,14 +124,14 @@ def address_slots(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.address_slots(rows, sampling.cluster_table(rows))
 
 
-def size_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    out = sampling.size_distribution(_cluster_table(spark, folder), "cluster_size")
+def size_distribution(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+    out = sampling.size_distribution(_cluster_table(spark, folder, read), "cluster_size")
     return out.select("clusters", "singletons", "size_2_3", "size_4_plus", "largest", F.round("mean_size", 6).alias("mean_size"), F.round("median_size", 6).alias("median_size"))
 
 
-def strata(spark: SparkSession, folder: str) -> DataFrame:
+def strata(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
     """Clusters by year and stratum."""
-    return _cluster_table(spark, folder).groupBy("year", stratum(F.col("cluster_size"), F.col("form"), F.col("title")).alias("stratum")).agg(F.count("*").alias("n"))
+    return _cluster_table(spark, folder, read).groupBy("year", stratum(F.col("cluster_size"), F.col("form"), F.col("title")).alias("stratum")).agg(F.count("*").alias("n"))
 
 
 def round_robin(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,7 +143,7 @@ def round_robin(spark: SparkSession, folder: str) -> DataFrame:
 def quota_sample(spark: SparkSession, folder: str) -> DataFrame:
     # The pilot's quotas by year.
     quotas = {2020: 37, 2021: 34, 2022: 34, 2023: 38, 2024: 46, 2025: 48, 2026: 23}
-    return sampling.quota_sample(_cluster_table(spark, folder), quotas).select("sample_id", "cluster", "year", "split", "stratum")
+    return sampling.quota_sample(_cluster_table(spark, folder, news), quotas).select("sample_id", "cluster", "year", "split", "stratum")
 
 
 def counts_by_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,14 +159,14 @@ def cross_split_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def similar_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of different headlines that share three quarters of their words."""
-    rows = news(spark, folder).select("row_ix", F.array_sort("words").alias("words")).filter(F.size("words") > 0)
+    rows = strict_news(spark, folder).select("row_ix", F.array_sort("words").alias("words")).filter(F.size("words") > 0)
     sets = cut(rows.groupBy("words").agg(F.min("row_ix").alias("row_ix")))
     out = setjoin.similar_sets(sets, "row_ix", "words", 0.75)
     return out.select("key_a", "key_b", F.round("similarity", 6).alias("similarity"))
 
 
 def trust_tiers(spark: SparkSession, folder: str) -> DataFrame:
-    return news(spark, folder).groupBy(trust_tier(F.col("domain")).alias("tier")).agg(F.count("*").alias("n"), F.sum(letters_and_digits(F.col("title"))).alias("letters"))
+    return strict_news(spark, folder).groupBy(trust_tier(F.col("domain")).alias("tier")).agg(F.count("*").alias("n"), F.sum(letters_and_digits(F.col("title"))).alias("letters"))
 
 
 def title_forms(spark: SparkSession, folder: str) -> DataFrame:
@@ -275,7 +275,7 @@ QUERIES = {
         address_slots, size_distribution, strata, round_robin, quota_sample, counts_by_split, cross_split_pairs, similar_titles, trust_tiers, title_forms, document_ids, html_bodies, chunk_scores, unscored,
         source_sample, extraction_check, multidimensional_means, annotation_check, candidate_softmax, previews, stream_daily_counts,
     )
-}
+} | all_times(cluster_table, split_crossings, size_distribution, strata)
 
 _LINKS = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
     s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e), 9) AS sim FROM u a JOIN u b ON b.vec_id < a.vec_id AND a.vec_id - b.vec_id <= 72),

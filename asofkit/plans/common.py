@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofkit.functions.text import tokens
 from asofkit.functions.times import strict_date, strict_time
+from asofkit.plans.times import read_times
 from asofkit.session import table
 
 #: The sources as the feature tables name them.
@@ -21,16 +25,29 @@ def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def news(spark: SparkSession, folder: str) -> DataFrame:
-    """row_ix, ts (strictly read, else null), day, title, form, words, domain, url, cluster of each headline."""
-    ts = strict_time(F.col("published_at"))
+def _headlines(rows: DataFrame) -> DataFrame:
     form = F.lower(F.trim("title"))
-    return table(spark, folder, "cluster_news_titles").select(
-        "row_ix", ts.alias("ts"), F.to_date(ts).alias("day"), "title", form.alias("form"), tokens(F.col("title")).alias("words"), "domain", F.coalesce("url", F.lit("")).alias("url"),
+    return rows.select(
+        "row_ix", "ts", F.to_date("ts").alias("day"), "title", form.alias("form"), tokens(F.col("title")).alias("words"), "domain", F.coalesce("url", F.lit("")).alias("url"),
         F.lower(F.trim("preliminary_cluster_id")).alias("cluster"),
     )
 
 
+def strict_news(spark: SparkSession, folder: str) -> DataFrame:
+    """row_ix, ts, day, title, form, words, domain, url, cluster of each headline; ts is null unless written in one of the two notations that SQL reads."""
+    return _headlines(table(spark, folder, "cluster_news_titles").withColumn("ts", strict_time(F.col("published_at"))))
+
+
+def news(spark: SparkSession, folder: str) -> DataFrame:
+    """As strict_news, with times of every notation; `row_ix` is the key of the table."""
+    return _headlines(table(spark, folder, "cluster_news_titles").join(read_times(spark, folder, "published_at"), "row_ix", "left"))
+
+
+def all_times(*queries: Callable) -> dict[str, Callable]:
+    """The queries on headlines whose SQL reads two notations, again over all of them."""
+    return {f"{f.__name__}_all_times": partial(f, read=news) for f in queries}
+
+
 def text_time(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 

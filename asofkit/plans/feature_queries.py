@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from asofkit.functions.text import split_of_year
 from asofkit.functions.times import as_of_latest, checked_calendar, checked_prices, forward_returns, market_day, next_calendar_day, week_ending_sunday, weekday_calendar
 from asofkit.operators import clusters, features
-from asofkit.plans.common import END, NEWS_SQL, SCORED_SQL, START, news, scored_documents, text_time
+from asofkit.plans.common import END, NEWS_SQL, SCORED_SQL, START, all_times, scored_documents, strict_news, text_time
 from asofkit.session import table
 
 #: The star tables' dates are moved by so many months to overlap the documents'.
@@ -86,25 +86,25 @@ def lookback_windows(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("date").cast("string").alias("date"), total.alias("documents_8_weeks"), F.col("window")[0]["news_document_count"].alias("first_week"))
 
 
-def trading_dates(spark: SparkSession, folder: str) -> DataFrame:
+def trading_dates(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
     """Headlines by trading date: New York's day, from 16:00 on the next, then the next weekday."""
-    rows = news(spark, folder).filter("ts IS NOT NULL").withColumn("day", market_day(F.col("ts")))
+    rows = read(spark, folder).filter("ts IS NOT NULL").withColumn("day", market_day(F.col("ts")))
     out = next_calendar_day(rows, "day", checked_calendar(weekday_calendar(spark)), "trading_date")
     return out.select("row_ix", F.col("trading_date").cast("string").alias("trading_date"))
 
 
-def asof_dissemination(spark: SparkSession, folder: str) -> DataFrame:
-    out = clusters.as_of_counts(news(spark, folder), "cluster", "ts", "domain", until="2025-12-31")
+def asof_dissemination(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+    out = clusters.as_of_counts(read(spark, folder), "cluster", "ts", "domain", until="2025-12-31")
     return _texts(out.select("row_ix", "size_asof", "domains_asof", "span_hours_asof"))
 
 
-def _aligned(spark: SparkSession, folder: str) -> DataFrame:
-    rows = clusters.as_of_counts(news(spark, folder), "cluster", "ts", "domain").filter("ts IS NOT NULL").withColumn("day", market_day(F.col("ts")))
+def _aligned(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+    rows = clusters.as_of_counts(read(spark, folder), "cluster", "ts", "domain").filter("ts IS NOT NULL").withColumn("day", market_day(F.col("ts")))
     return next_calendar_day(rows, "day", weekday_calendar(spark), "effective_trading_date")
 
 
-def daily_dissemination(spark: SparkSession, folder: str) -> DataFrame:
-    return _texts(features.daily_dissemination(_aligned(spark, folder)))
+def daily_dissemination(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+    return _texts(features.daily_dissemination(_aligned(spark, folder, read)))
 
 
 def daily_sentiment(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,22 +112,22 @@ def daily_sentiment(spark: SparkSession, folder: str) -> DataFrame:
     return _texts(features.daily_sentiment(rows))
 
 
-def sentiment_with_dissemination(spark: SparkSession, folder: str) -> DataFrame:
+def sentiment_with_dissemination(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
     """Daily sentiment joined one to one with the day's dissemination."""
     rows = scored_documents(spark, folder).withColumnRenamed("available_date", "effective_trading_date")
     days = features.daily_sentiment(rows).select("effective_trading_date", "item_count", "has_data")
-    return _texts(features.one_to_one(days, features.daily_dissemination(_aligned(spark, folder)), "effective_trading_date"))
+    return _texts(features.one_to_one(days, features.daily_dissemination(_aligned(spark, folder, read)), "effective_trading_date"))
 
 
-def snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _aligned(spark, folder).withColumnRenamed("effective_trading_date", "trading_date").filter("cluster IS NOT NULL")
+def snapshots(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+    rows = _aligned(spark, folder, read).withColumnRenamed("effective_trading_date", "trading_date").filter("cluster IS NOT NULL")
     out = features.snapshots(rows)
     return _texts(out.select("cluster", "trading_date", "cluster_size", "domain_count", "span_hours", "first_row", text_time("published_at").alias("published_at")))
 
 
-def snapshot_summary(spark: SparkSession, folder: str) -> DataFrame:
+def snapshot_summary(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
     """Rows, clusters and snapshots, and the means and largest of the snapshots."""
-    rows = _aligned(spark, folder).withColumnRenamed("effective_trading_date", "trading_date").filter("cluster IS NOT NULL")
+    rows = _aligned(spark, folder, read).withColumnRenamed("effective_trading_date", "trading_date").filter("cluster IS NOT NULL")
     d = features.snapshots(rows)
     return d.agg(
         F.sum("cluster_size").alias("rows_total"), F.count_distinct("cluster").alias("clusters"), F.count("*").alias("snapshots"), F.round(F.avg("cluster_size"), 6).alias("mean_size"), F.max("cluster_size").alias("largest"), F.max("domain_count").alias("most_domains")
@@ -145,9 +145,9 @@ def daily_text(spark: SparkSession, folder: str) -> DataFrame:
     return features.daily_text(rows).select(F.col("date").cast("string").alias("date"), "item_count", "negative_count", "neutral_count", "positive_count", F.round("score_sum", 3).alias("score_sum"))
 
 
-def split_counts(spark: SparkSession, folder: str) -> DataFrame:
+def split_counts(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
     """Headlines by the split of their year, and by the Sunday their week ends on in the last of these splits."""
-    rows = news(spark, folder).filter("ts IS NOT NULL")
+    rows = read(spark, folder).filter("ts IS NOT NULL")
     return rows.groupBy(split_of_year(F.year("ts")).alias("split"), F.year(week_ending_sunday(F.to_date("ts"))).alias("week_year")).agg(F.count("*").alias("n"))
 
 
@@ -157,7 +157,7 @@ QUERIES = {
         flagship, weekly_features, daily_features, trend_asof, future_label, temporal_split, scaling, lookback_windows, trading_dates, asof_dissemination, daily_dissemination, daily_sentiment,
         sentiment_with_dissemination, snapshots, snapshot_summary, weekly_text, daily_text, split_counts,
     )
-}
+} | all_times(trading_dates, asof_dissemination, daily_dissemination, sentiment_with_dissemination, snapshots, snapshot_summary, split_counts)
 
 _VALID = "label IN ('negative', 'neutral', 'positive') AND trim(coalesce(error, '')) = ''"
 

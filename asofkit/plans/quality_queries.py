@@ -10,7 +10,8 @@ from asofkit.functions.text import answered_label, one_label_only
 from asofkit.functions.times import strict_time
 from asofkit.operators import dedup, metrics, quality
 from asofkit.operators.documents import preparation_summary, prepared
-from asofkit.plans.common import NEWS_SQL, SCORED_SQL, TIME_SQL, news, scored_documents
+from asofkit.plans.common import NEWS_SQL, SCORED_SQL, TIME_SQL, all_times, news, scored_documents, strict_news
+from asofkit.plans.times import read_times
 from asofkit.session import table
 
 _COLUMNS = ["date", "title", "content", "summary", "url", "source", "speaker", "section", "quarter", "fiscal_year", "filing_date", "chunk_id"]
@@ -37,6 +38,12 @@ def observed_volumes(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("unit", F.col("period_start").cast("string").alias("period_start"), "rows_seen")
 
 
+def observed_volumes_all_times(spark: SparkSession, folder: str) -> DataFrame:
+    """observed_volumes with days of every notation; its SQL reads two."""
+    out = quality.observed_volumes(read_times(spark, folder, "seendate"), F.to_date("ts"))
+    return out.select("unit", F.col("period_start").cast("string").alias("period_start"), "rows_seen")
+
+
 def ten_k_items(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "inspect_text_datasets").filter("source = 'ten_k'")
     return quality.item_mentions(rows, "content", "section")
@@ -47,8 +54,8 @@ def duplicate_counts(spark: SparkSession, folder: str) -> DataFrame:
     return quality.duplicate_counts(rows, {"all_columns": _COLUMNS, "date+title+url": ["date", "title", "url"], "date+title": ["date", "title"]})
 
 
-def titles_across_days(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.spread_keys(news(spark, folder), F.col("form"), F.col("day"))
+def titles_across_days(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+    return quality.spread_keys(read(spark, folder), F.col("form"), F.col("day"))
 
 
 def union_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,7 +78,7 @@ def stable_row_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def group_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    rows = news(spark, folder).select("row_ix", "cluster")
+    rows = strict_news(spark, folder).select("row_ix", "cluster")
     return quality.with_group_size(rows, ["cluster"], "cluster_size")
 
 
@@ -173,11 +180,11 @@ def first_seen_documents(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        profile_columns, profile_lengths, profile_dates, observed_volumes, ten_k_items, duplicate_counts, titles_across_days, union_dedup, key_conflicts, stable_row_ids, group_sizes, cluster_status,
+        profile_columns, profile_lengths, profile_dates, observed_volumes, observed_volumes_all_times, ten_k_items, duplicate_counts, titles_across_days, union_dedup, key_conflicts, stable_row_ids, group_sizes, cluster_status,
         duplicate_components, sequential_duplicates, prepared_documents, preparation_counts, quality_flag_counts, consolidation_flags, run_summary, label_shares, confusion, class_metrics, probe_summary,
         repeat_consistency, parsed_answers, first_seen_documents, inventory,
     )
-}
+} | all_times(titles_across_days)
 
 _BLANK = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g')) = ''"
 _ITEM = """SELECT 'Item {0}' AS item, count(*) FILTER (t) AS content_rows, count(*) FILTER (l) AS label_rows, count(*) FILTER (t OR l) AS either_rows FROM (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,34 @@ def stacked_times(spark: SparkSession, folder: str) -> DataFrame:
     return news.unionByName(docs).join(zones, "outlet", "left")
 
 
+def read_times(spark: SparkSession, folder: str, field: str) -> DataFrame:
+    """row_ix and ts of each headline: the instant its written time names by the rules of problem 5, null where it names none.
+
+    Without a table `outlet_zones` no outlet's zone is known.
+    """
+    titles = table(spark, folder, "cluster_news_titles").select("row_ix", F.lower(F.trim("domain")).alias("outlet"), F.col(field).alias("value"))
+    try:
+        zones = table(spark, folder, "outlet_zones").groupBy(F.lower(F.trim("domain")).alias("outlet")).agg(F.min("zone_name").alias("zone"))
+        rows = titles.join(zones, "outlet", "left")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = titles.withColumn("zone", F.lit(None).cast("string"))
+    out = normalize_timestamps(rows, F.col("value"), F.col("outlet"), F.col("row_ix"), F.col("zone"), F.lit(f"cluster_news_titles|{field}"))
+    return out.select("row_ix", F.expr("try_cast(utc_at AS timestamp)").alias("ts"))
+
+
+def unread_times(spark: SparkSession, folder: str) -> DataFrame:
+    """By field of the headlines: rows, those without a time, those read, and those whose written time stays unreadable."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    parts = []
+    for field in ("seendate", "published_at"):
+        rows = table(spark, folder, "cluster_news_titles").select("row_ix", F.col(field).alias("value")).join(read_times(spark, folder, field), "row_ix")
+        counts = F.count("*").alias("rows_total"), F.count_if(blank(F.col("value"))).alias("blank"), F.count("ts").alias("read"), F.count_if(~blank(F.col("value")) & F.col("ts").isNull()).alias("unread")
+        parts.append(rows.agg(*counts).select(F.lit(field).alias("field_name"), "*"))
+    return parts[0].unionAll(parts[1])
+
+
 def _normalized(spark: SparkSession, folder: str, only_changed: bool) -> DataFrame:
     out = normalize_timestamps(
         stacked_times(spark, folder), F.col("value"), F.col("outlet"), F.col("row_ix"), F.col("zone"), F.col("stream"),
@@ -39,5 +68,5 @@ def p5_normalized(spark: SparkSession, folder: str) -> DataFrame:
     return _normalized(spark, folder, False)
 
 
-QUERIES = {"p5_found": p5_found, "p5_normalized": p5_normalized}
+QUERIES = {"p5_found": p5_found, "p5_normalized": p5_normalized, "unread_times": unread_times}
 ORACLES: dict[str, str] = {}

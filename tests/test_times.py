@@ -138,3 +138,33 @@ def test_found_query_leaves_canonical_values_out(spark, tmp_path):
     ]
     assert p5_normalized(spark, str(tmp_path)).count() == 8
     assert CANONICAL.fullmatch("20240101T000000Z")
+
+
+def test_headlines_of_every_notation_are_counted(spark, tmp_path, rows):
+    """Against datetime; the queries with SQL have a whole counterpart, as the SQL reads two notations."""
+    from datetime import datetime, timezone
+    from email.utils import format_datetime
+
+    from asofkit.plans import catalog
+
+    at = [datetime(2024, 1, 2, 9, 30, tzinfo=timezone.utc).replace(hour=h) for h in range(1, 9)]
+    written = [
+        at[0].strftime("%Y-%m-%dT%H:%M:%SZ"), at[1].strftime("%Y%m%dT%H%M%SZ"), format_datetime(at[2]), str(int(at[3].timestamp())), at[4].strftime("%Y-%m-%d %H:%M:%S UTC"),
+        "2024-01-02T08:30:00+02:00", "2024-01-02 16:30:00", "02.01.2024 17:30", "soon", " ", None,
+    ]
+    n = len(written)
+    pd.DataFrame({
+        "row_ix": range(n), "published_at": written, "seendate": written, "title": "one title", "domain": ["a.test"] * 6 + ["b.test"] * 5, "url": "http://x", "preliminary_cluster_id": "c",
+    }).to_parquet(tmp_path / "cluster_news_titles.parquet")
+    pd.DataFrame({"domain": ["b.test"], "zone_name": ["Asia/Tokyo"]}).to_parquet(tmp_path / "outlet_zones.parquet")
+    run = lambda name: rows(catalog.queries()[name](spark, str(tmp_path)))
+    at[5], at[6], at[7] = (datetime(2024, 1, 2, h, 30, tzinfo=timezone.utc) for h in (6, 7, 8))
+    assert run("event_clusters") == [(i, 0) for i in range(8)]
+    assert [r[1] for r in run("cluster_table_all_times")] == [8] and [r[1] for r in run("cluster_table")] == [2]
+    seen = {r[0]: r[1:] for r in run("asof_dissemination_all_times")}
+    assert seen[7] == (8, 2, 7.0) and seen[8] == (0, 0, 0.0)
+    assert run("observed_volumes_all_times") == [("day", "2024-01-02", 8), ("week", "2024-01-01", 8)]
+    assert run("unread_times") == [("published_at", 11, 2, 8, 1), ("seendate", 11, 2, 8, 1)]
+    from asofkit.plans.common import news
+
+    assert [r["s"] for r in news(spark, str(tmp_path)).orderBy("row_ix").selectExpr("unix_seconds(ts) s").collect()] == [int(x.timestamp()) for x in at] + [None] * 3
