@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofkit.functions.ids import seeded_id
-from asofkit.functions.text import letters_and_digits, sequence_ratio, split_of_year, stratum, tokens, trust_tier
-from asofkit.operators.setjoin import similar_sets
+from asofkit.functions.text import jaccard, letters_and_digits, sequence_ratio, split_of_year, stratum, tokens, trust_tier
 from asofkit.session import cut
 
 
@@ -66,17 +66,75 @@ def round_robin(clusters: DataFrame, seed: int = 42) -> DataFrame:
     return held.withColumn("turn", F.row_number().over(Window.partitionBy("year").orderBy("_rank", "stratum"))).drop("_h", "_rank")
 
 
-def cross_split_pairs(rows: DataFrame, key: str, split: str, form: str, threshold: float = 0.92, words: float = 0.6) -> DataFrame:
-    """Pairs of rows of different splits with equal or similar titles: key_a, key_b, word_similarity, ratio.
+def _lcs(where: dict[str, int], size: int, other: str) -> int:
+    """The length of the longest common subsequence of two texts, one given by the places of its characters as bits."""
+    full = (1 << size) - 1
+    s = full
+    for c in other:
+        u = s & where.get(c, 0)
+        s = ((s + u) | (s - u)) & full
+    return size - s.bit_count()
 
-    Candidates share at least `words` of their words, joined exactly by prefix filtering; of those, equal forms and pairs
-    with a sequence ratio of at least `threshold` are kept. Rows without split or words are in no pair.
+
+def _counts(codes: list[np.ndarray], buckets: int) -> np.ndarray:
+    out = np.zeros((len(codes), buckets), "int32")
+    for i, c in enumerate(codes):
+        out[i] = np.bincount(c % buckets, minlength=buckets)
+    return out.astype("int16") if out.max(initial=0) < 16_000 else out
+
+
+def _close_forms(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Pairs of the forms of two blocks that can have a ratio of `threshold`.
+
+    A ratio r of lengths m and n leaves (1 - r)(m + n) characters unmatched, in any order. The counts of characters differ
+    by no more than that, those of pairs of neighbours by three times that, and the longest common subsequence lacks no
+    more; none of these bounds loses a pair, whatever the buckets of the counts.
+    """
+    i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+    sides = [frame[frame["block"] == n] for n in (i, j)]
+    texts = [s["fm"].to_numpy() for s in sides]
+    codes = [[np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4").astype("int64") for x in side] for side in texts]
+    sizes = [np.array([len(c) for c in side]) for side in codes]
+    single = [_counts(side, 48) for side in codes]
+    double = [_counts([c[:-1] * 31 + c[1:] for c in side], 192) for side in codes]
+    # A form of several splits has pairs with all others.
+    only = [pd.array(s["only"], dtype="string").fillna("").to_numpy(dtype=object) for s in sides]
+    out = []
+    for k, text in enumerate(texts[0]):
+        start = k + 1 if i == j else 0
+        most = (1 - threshold) * (sizes[0][k] + sizes[1][start:]) + 1e-6
+        near = np.flatnonzero(np.abs(single[1][start:] - single[0][k]).sum(axis=1, dtype="int32") <= most)
+        if only[0][k]:
+            near = near[only[1][start + near] != only[0][k]]
+        near = near[np.abs(double[1][start + near] - double[0][k]).sum(axis=1, dtype="int32") <= 3 * most[near]]
+        if len(near):
+            where: dict[str, int] = {}
+            for n, c in enumerate(text):
+                where[c] = where.get(c, 0) | 1 << n
+            out += [(text, texts[1][start + n]) for n in near if len(text) + len(texts[1][start + n]) - 2 * _lcs(where, len(text), texts[1][start + n]) <= most[n]]
+    return pd.DataFrame(out, columns=["fm", "other"])
+
+
+def cross_split_pairs(rows: DataFrame, key: str, split: str, form: str, threshold: float = 0.92, block_rows: int = 4_000) -> DataFrame:
+    """All pairs of rows of different splits with equal titles or a sequence ratio of at least `threshold`: key_a, key_b, word_similarity, ratio.
+
+    Equal forms are joined. Other distinct forms are compared in pairs of blocks by bounds that the ratio implies, and those
+    that pass by the ratio itself, from the row of the lesser key; the comparison of counts is quadratic in distinct forms.
+    Rows without key, split or form, or with an empty one, are in no pair. word_similarity is that of the [a-z0-9]+ words, 0 where a title has none.
     """
-    held = cut(rows.filter(F.col(split).isNotNull() & F.col(form).isNotNull()).select(F.col(key).alias("k"), F.col(split).alias("sp"), F.col(form).alias("fm"), tokens(F.col(form)).alias("w")))
-    pairs = similar_sets(held, "k", "w", words, near=F.col("a.sp") != F.col("b.sp"))
-    a, b = (held.select(F.col("k").alias(f"key_{s}"), F.col("fm").alias(f"form_{s}")) for s in "ab")
-    full = pairs.join(a, "key_a").join(b, "key_b").withColumn("ratio", F.when(F.col("form_a") == F.col("form_b"), 1.0).otherwise(sequence_ratio(F.col("form_a"), F.col("form_b"))))
-    return full.filter(F.col("ratio") >= threshold).select("key_a", "key_b", F.col("similarity").alias("word_similarity"), "ratio")
+    held = cut(rows.filter(F.col(key).isNotNull() & F.col(split).isNotNull() & (F.col(form) != "")).select(F.col(key).alias("k"), F.col(split).alias("sp"), F.col(form).alias("fm")))
+    forms = held.groupBy("fm").agg(F.count_distinct("sp").alias("n"), F.min("sp").cast("string").alias("sp"))
+    blocks = max(1, -(-forms.count() // block_rows))
+    placed = forms.select("fm", F.when(F.col("n") == 1, F.col("sp")).alias("only"), F.pmod(F.xxhash64("fm"), F.lit(blocks)).cast("int").alias("block"))
+    sent = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("fm", "only", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    close = sent.groupBy("i", "j").applyInPandas(lambda frame: _close_forms(frame, threshold), "fm string, other string")
+    one, two = (held.select(F.col("k").alias(f"k{s}"), F.col("sp").alias(f"sp{s}"), F.col("fm").alias(f)) for s, f in ((1, "fm"), (2, "other")))
+    similar = close.join(one, "fm").join(two, "other").filter("sp1 <> sp2")
+    ordered = similar.select(*(F.when(F.col("k1") < F.col("k2"), F.col(x)).otherwise(F.col(y)).alias(n) for x, y, n in (("k1", "k2", "key_a"), ("k2", "k1", "key_b"), ("fm", "other", "form_a"), ("other", "fm", "form_b"))))
+    scored = ordered.withColumn("ratio", sequence_ratio(F.col("form_a"), F.col("form_b"))).filter(F.col("ratio") >= threshold)
+    equal = one.join(two, F.col("fm") == F.col("other")).filter("sp1 <> sp2 AND k1 < k2").select(F.col("k1").alias("key_a"), F.col("k2").alias("key_b"), F.col("fm").alias("form_a"), F.col("other").alias("form_b"), F.lit(1.0).alias("ratio"))
+    similarity = F.when(F.col("form_a") == F.col("form_b"), 1.0).otherwise(jaccard(tokens(F.col("form_a")), tokens(F.col("form_b"))))
+    return equal.unionByName(scored).select("key_a", "key_b", similarity.alias("word_similarity"), "ratio")
 
 
 def quota_sample(clusters: DataFrame, quotas: dict[int, int], seed: int = 42, threshold: float = 0.92, margin: int = 4) -> DataFrame:

@@ -311,3 +311,28 @@ def test_event_clusters_against_a_sequential_pass(spark, tmp_path):
         root[i] = root[max(near)[2]] if near else i
         want |= {j: root[i] for j in items[s, t]}
     assert got == want and len(set(want.values())) < len(order)
+
+
+def test_cross_split_pairs_against_all_pairs(spark):
+    """With one edited word, without Latin words, of one character, and long enough for difflib's popular characters."""
+    import difflib
+
+    chance = random.Random(5)
+    titles = ["nvidia earnings preview", "nvidia earning preview", "акции растут", "акции растут!", "акции растут", "", "", "x", "x", "日本株が上昇", "日本株が上昇。"]
+    for _ in range(30):
+        text = "".join(chance.choice("abcde fg") for _ in range(chance.choice([12, 40, 110, 260])))
+        titles.append(text)
+        for _ in range(3):
+            letters = list(text)
+            for _ in range(chance.randrange(1, 2 + len(text) // 12)):
+                letters[chance.randrange(len(letters))] = chance.choice(["", "z", "ab"])
+            titles.append("".join(letters))
+    data = [(i, chance.choice(["train", "test", "validation", None]), x) for i, x in enumerate(titles)] + [(-1, "train", titles[0]), (-2, "test", titles[1]), (-3, "train", titles[2]), (-4, "test", titles[4]), (900, "test", None), (None, "test", "x")]
+    df = spark.createDataFrame(data, "k long, split string, form string")
+    kept = [d for d in data if None not in d and d[2]]
+    ratio = lambda a, b: 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+    want = {(a[0], b[0]): ratio(a[2], b[2]) for a in kept for b in kept if a[0] < b[0] and a[1] != b[1] and ratio(a[2], b[2]) >= 0.92}
+    for block_rows in (4_000, 30):
+        got = [(r["key_a"], r["key_b"], r["ratio"]) for r in sampling.cross_split_pairs(df, "k", "split", "form", block_rows=block_rows).collect()]
+        assert len(got) == len({g[:2] for g in got}) and {g[:2]: g[2] for g in got} == want
+    assert (-2, -1) in want and (-4, -3) in want and len(want) > 30
