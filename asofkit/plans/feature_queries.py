@@ -40,6 +40,11 @@ def daily_features(spark: SparkSession, folder: str) -> DataFrame:
     return _texts(features.source_features(scored_documents(spark, folder), "2022-01-01", "2023-12-31", weekly=False, sources=("news",)))
 
 
+def daily_features_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily table of all sources over the whole time, as weekly_features; daily_features is the news of two years of it."""
+    return _texts(features.source_features(scored_documents(spark, folder), START, END, weekly=False))
+
+
 def _keywords(spark: SparkSession, folder: str) -> DataFrame:
     weeks = features.period_grid(START, END, True, spark)
     return weeks.crossJoin(F.broadcast(spark.createDataFrame([("1-URGENT",), ("2-HIGH",), ("3-MEDIUM",), ("4-NOT SPECIFIED",), ("5-LOW",)], "keyword string")))
@@ -154,7 +159,7 @@ def split_counts(spark: SparkSession, folder: str, read=strict_news) -> DataFram
 QUERIES = {
     f.__name__: f
     for f in (
-        flagship, weekly_features, daily_features, trend_asof, future_label, temporal_split, scaling, lookback_windows, trading_dates, asof_dissemination, daily_dissemination, daily_sentiment,
+        flagship, weekly_features, daily_features, daily_features_all, trend_asof, future_label, temporal_split, scaling, lookback_windows, trading_dates, asof_dissemination, daily_dissemination, daily_sentiment,
         sentiment_with_dissemination, snapshots, snapshot_summary, weekly_text, daily_text, split_counts,
     )
 } | all_times(trading_dates, asof_dissemination, daily_dissemination, sentiment_with_dissemination, snapshots, snapshot_summary, split_counts)
@@ -210,6 +215,7 @@ _S = f"{SCORED_SQL}, s AS (SELECT *, lower(trim(label)) AS l, coalesce(lower(tri
 ORACLES = {
     "weekly_features": f"WITH {_WEEKLY} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM weekly",
     "daily_features": f"WITH {_weekly_sql('available_date', '2022-01-01', '2023-12-31', ('news',), False)} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM weekly",
+    "daily_features_all": f"WITH {_weekly_sql('available_date', START, END, features.SOURCES, False)} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM weekly",
     "trend_asof": f"""WITH {_TRENDS}, {_SUNDAYS}, words AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS keyword)
         SELECT CAST(s.date AS VARCHAR) AS date, w.keyword, coalesce(value, 0) AS value, CAST(value IS NULL AS INTEGER) AS missing FROM sundays s CROSS JOIN words w
         LEFT JOIN known k ON k.keyword = w.keyword AND s.date >= known_from AND (until IS NULL OR s.date < until)""",

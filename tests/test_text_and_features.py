@@ -250,3 +250,15 @@ def test_prices_prompts_and_queries(spark):
     df = spark.createDataFrame([(" a \n b ",), (None,)], "t string").select(t.sentiment_prompt(F.col("t")).alias("p"))
     assert [r["p"].split("\n")[1] for r in df.collect()] == ["Input: a b", "Input: "]
     assert t.search_query(["NVIDIA", "data center"], "english") == '(NVIDIA OR "data center") sourcelang:english'
+
+
+def test_daily_table_has_all_sources_and_years(spark, tmp_path):
+    from asofkit.plans import catalog
+
+    data = [(d, s) for d in ("2020-01-01", "2022-05-05", "2026-12-31", "2019-12-31") for s in features.SOURCES]
+    pd.DataFrame({
+        "row_ix": range(len(data)), "document_id": "d", "available_date": [d for d, _ in data], "source_type": [s for _, s in data], "sentiment_label": "positive", "sentiment_score": 0.5, "fingpt_error": "", "text": "t",
+    }).to_parquet(tmp_path / "pipeline_sentiment.parquet")
+    got = {r["date"]: r for r in catalog.queries()["daily_features_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == (date(2026, 12, 31) - date(2020, 1, 1)).days + 1
+    assert {d for d, r in got.items() if all(r[f"{s}_positive_count"] == 1 and r[f"{s}_missing"] == 0 for s in features.SOURCES)} == {"2020-01-01", "2022-05-05", "2026-12-31"}
