@@ -135,11 +135,17 @@ def strata(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
 
 
 def round_robin(spark: SparkSession, folder: str) -> DataFrame:
-    """The first three turns of each year, whose number is the feature."""
+    """The first 30 turns of each year: a cut of round_robin_order, which its SQL has too."""
     drawn = sampling.round_robin(_cluster_table(spark, folder).filter("split IS NOT NULL"))
     return drawn.filter("turn <= 30").select("year", "turn", "stratum", "cluster")
 
 
+def round_robin_order(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+    """The turn of every cluster in its year."""
+    drawn = sampling.round_robin(_cluster_table(spark, folder, read).filter("split IS NOT NULL"))
+    return drawn.select("year", "turn", "stratum", "cluster")
+
+
 def quota_sample(spark: SparkSession, folder: str) -> DataFrame:
     # The pilot's quotas by year.
     quotas = {2020: 37, 2021: 34, 2022: 34, 2023: 38, 2024: 46, 2025: 48, 2026: 23}
@@ -272,10 +278,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         causal_links, causal_clusters, cluster_representatives, fetch_ranks, cluster_sizes_asof, threshold_sensitivity, review_sample, event_clusters, opposed_clusters, cluster_table, split_crossings,
-        address_slots, size_distribution, strata, round_robin, quota_sample, counts_by_split, cross_split_pairs, similar_titles, trust_tiers, title_forms, document_ids, html_bodies, chunk_scores, unscored,
+        address_slots, size_distribution, strata, round_robin, round_robin_order, quota_sample, counts_by_split, cross_split_pairs, similar_titles, trust_tiers, title_forms, document_ids, html_bodies, chunk_scores, unscored,
         source_sample, extraction_check, multidimensional_means, annotation_check, candidate_softmax, previews, stream_daily_counts,
     )
-} | all_times(cluster_table, split_crossings, size_distribution, strata)
+} | all_times(cluster_table, split_crossings, size_distribution, strata, round_robin_order)
 
 _LINKS = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
     s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e), 9) AS sim FROM u a JOIN u b ON b.vec_id < a.vec_id AND a.vec_id - b.vec_id <= 72),
@@ -325,6 +331,8 @@ ORACLES = {
     "strata": f"WITH {_STRATA} SELECT year, stratum, count(*) AS n FROM strata GROUP BY ALL",
     "round_robin": f"""WITH {_STRATA}, r AS (SELECT *, row_number() OVER (PARTITION BY year, stratum ORDER BY sha256('42:' || cluster), cluster) AS k FROM strata WHERE split IS NOT NULL),
         t AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY k, stratum) AS turn FROM r) SELECT year, turn, stratum, cluster FROM t WHERE turn <= 30""",
+    "round_robin_order": f"""WITH {_STRATA}, r AS (SELECT *, row_number() OVER (PARTITION BY year, stratum ORDER BY sha256('42:' || cluster), cluster) AS k FROM strata WHERE split IS NOT NULL)
+        SELECT year, row_number() OVER (PARTITION BY year ORDER BY k, stratum) AS turn, stratum, cluster FROM r""",
     "counts_by_split": """WITH c AS (SELECT lower(trim(split)) AS split, count(*) AS n FROM select_news_pilot GROUP BY 1)
         SELECT k.split, coalesce(n, 0) AS n FROM (SELECT unnest(['train', 'validation', 'test', 'holdout']) AS split) k LEFT JOIN c ON k.split = c.split""",
     "similar_titles": """WITH w AS (SELECT list_sort(list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+'))) AS w, min(row_ix) AS k FROM cluster_news_titles GROUP BY 1),
