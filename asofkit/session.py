@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,20 +26,37 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "aso
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (`spark.checkpoint.dir`); a temporary one only where it is unset, as in tests."""
+    """The shared folder of the cluster (`spark.checkpoint.dir`); a temporary one only in local mode, where it is unset in tests."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.master.split("[")[0] != "local":
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="asofkit-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which outlives any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: the rows are written as a table in the shared folder and read from there, so they outlive any executor.
+
+    A table has its true size, by which later joins are planned, and is read by the columns in need.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def drop_cut(df: DataFrame | None) -> None:
+    """Remove the table of a `cut` whose rows nothing needs any more, as those of an earlier round of a loop."""
+    path = getattr(df, "_cut_at", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:

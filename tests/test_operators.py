@@ -26,20 +26,22 @@ def _parts(edges):
     return {x: find(x) for x in list(up)}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components_against_union_find(spark, seed):
+@pytest.mark.parametrize("seed, one_task", [(0, 200_000), (1, 10), (2, 0)])
+def test_components_against_union_find(spark, seed, one_task):
+    """In one task, and by rounds that leave the rest to it, or nothing."""
     chance = random.Random(seed)
     edges = [(chance.randrange(80), chance.randrange(80)) for _ in range(60)]
     df = spark.createDataFrame([*edges, (None, 3), (5, None), (7, 7)], "a long, b long")
-    got = {r["node"]: r["component"] for r in connected_components(df, "a", "b").collect()}
+    got = {r["node"]: r["component"] for r in connected_components(df, "a", "b", one_task=one_task).collect()}
     assert got == _parts([e for e in edges if e[0] != e[1]])
 
 
 def test_components_of_a_path_a_star_and_nothing(spark):
     path = [(i, i + 1) for i in range(100)]
     star = [(1000, 2000 + i) for i in range(200)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(path + star, "a long, b long"), "a", "b").collect()}
-    assert {got[i] for i in range(101)} == {0} and got[2100] == 1000
+    for one_task in (200_000, 20):
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(path + star, "a long, b long"), "a", "b", one_task=one_task).collect()}
+        assert {got[i] for i in range(101)} == {0} and got[2100] == 1000
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
