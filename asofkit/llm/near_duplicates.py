@@ -1,15 +1,17 @@
 """Near-duplicate short texts: every pair at or above a Jaccard similarity of word sets.
 
 Candidates share a band. As texts of one template share most of their words, bands drawn by plain minhashing would make
-nearly all pairs of a template candidates; here a band is one, two or three words from the rare end of a text, in one global
-order from rare to frequent: two sets with similarity t always share a word among their first n - ceil(t n) + 1, and their
-first k shared words lie among their first n - ceil(t n) + k. Rare words are a band alone, frequent ones only together with
-the next shared words, so bands stay small at any size, and no pair is lost. The order comes from word counts in a fixed
-number of hash buckets, whose size doesn't grow with the data.
+nearly all pairs of a template candidates; here a band is a few words from the rare end of a text, in one global order from
+rare to frequent: two sets with similarity t share at least ceil(t n) words of a set of n, and their first k shared words lie
+among its first n - ceil(t n) + k. The more frequent a band's first word, the more of the next shared words it holds, up to
+`MOST_WORDS`, but never more than the pair must share, whatever the threshold; so bands stay small, and no pair is lost. The
+order comes from word counts in a fixed number of hash buckets, whose size doesn't grow with the data. Bands that are large
+all the same are joined in pairs of blocks, spread over all tasks.
 
 A candidate is then verified as in sequential Bayesian similarity search: batches of 64 one-bit minhashes are compared, and
 a pair is pruned as soon as the posterior chance that it reaches the threshold is under `miss`; survivors are verified on
-their whole word sets, held as 30 bits a word, so that a pair has a wrong shared word with a chance of some 3e-7. Records with equal word sets are one class from the start and are joined again at the end.
+their whole word sets, held as 32 bits a word, so that a pair has a wrong shared word with a chance of some 1e-7. Records with
+equal word sets are one class from the start and are joined again at the end.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ from pyspark.sql import functions as F
 
 from asofkit.llm.lookalikes import consistent
 from asofkit.operators.components import connected_components
+from asofkit.operators.joins import lookup
 from asofkit.session import cut
 
 _WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 22
-#: Words in at most so many sets are a band alone, up to the second number in twos, beyond it in threes.
-ALONE, IN_TWOS = 48, 4096
+#: Words in at most ALONE sets are a band alone; STEP times as frequent ones take one more word each.
+ALONE, STEP, MOST_WORDS = 48, 85, 4
+#: Bands of more rows, and of more than a millionth of all, are joined in pairs of blocks of this size.
+BLOCK = 2048
 BATCHES, BITS = 2, 64
 
 
@@ -85,46 +90,39 @@ def _signature(flat: np.ndarray, starts: np.ndarray, batch: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _bands(frames: Iterator[pd.DataFrame], counts: np.ndarray, threshold: float, alone_to: int, twos_to: int) -> Iterator[pd.DataFrame]:
-    """The bands of each set. Words become 32-bit integers whose lowest two bits hold how they make bands (1, 2 or 3 words)."""
+def _bands(frames: Iterator[pd.DataFrame], counts: np.ndarray, threshold: float, alone: int, step: int) -> Iterator[pd.DataFrame]:
+    """The bands of each set with its size and signature, without its words."""
     for frame in frames:
-        sizes = np.fromiter(map(len, frame["words"]), dtype=np.int64, count=len(frame))
         if not len(frame):
             continue
+        sizes = np.fromiter(map(len, frame["words"]), dtype=np.int64, count=len(frame))
         flat = np.concatenate(frame["words"].to_numpy())
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         row = np.repeat(np.arange(len(frame)), sizes)
-        count = counts[(flat & (BUCKETS - 1))]
+        count = counts[flat & (BUCKETS - 1)].astype(np.int64)
         order = np.lexsort((flat, count, row))
         flat, count = flat[order], count[order]
-        level = np.where(count <= alone_to, 1, np.where(count <= twos_to, 2, 3)).astype(np.int64)
-        code = (flat.astype(np.int64) & 0xFFFFFFFC | level) - (1 << 31)
+        level = np.ones(len(flat), dtype=np.int64)
+        for k in range(1, MOST_WORDS):
+            level += count > alone * step ** (k - 1)
         signs = [_signature(flat, starts, b) for b in range(BATCHES)]
-        code32 = code.astype(np.int32)
-        place = np.arange(len(flat)) - np.repeat(starts, sizes)
-        size = sizes[row]
-        first = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-        head = (place < first) & (count > 1)
-        rows, bands = [], []
-        alone = np.flatnonzero(head & (level == 1))
-        rows.append(row[alone]), bands.append(code[alone] * 4 + 1)
-        for i in np.flatnonzero(head & (level > 1)):  # few words of the rare end are frequent
-            r, begin, n = row[i], starts[row[i]], size[i]
-            reach = begin + min(first[i] + 1, n)
-            twos, threes = level[i] == 2 or n <= 3, level[i] == 3
-            for j in range(i + 1, reach):
-                two = (code[i] << 31) ^ (code[j] & 0xFFFFFFFF)
-                if twos:
-                    rows.append([r]), bands.append([_mix(two, 2)])
-                if threes:
-                    for k in range(j + 1, begin + min(first[i] + 2, n)):
-                        rows.append([r]), bands.append([_mix(_mix(two, 3) ^ int(code[k]), 5)])
-        where, band = np.concatenate(rows).astype(np.int64), np.concatenate([np.asarray(b, dtype=np.int64) for b in bands])
-        cuts = np.split(code32, starts[1:])
-        yield pd.DataFrame({
-            "band": band, "row": frame["row"].to_numpy()[where], "words": pd.Series([cuts[i] for i in where], dtype=object),
-            **{f"sign_{b}": s[where] for b, s in enumerate(signs)},
-        })
+        place, size = np.arange(len(flat)) - np.repeat(starts, sizes), sizes[row]
+        need = np.maximum(np.ceil(threshold * size - 1e-9).astype(np.int64), 1)  # words that any partner shares
+        reach = size - need  # the k-th shared word is at most at this place + k - 1
+        head = (place <= reach) & (count > 1)
+        single = head & ((level == 1) | (need == 1))
+        code = flat.astype(np.int64)
+        rows, bands = [row[single]], [code[single] * 8 + 1]
+        for i in np.flatnonzero(head & (level > 1)).tolist():  # few words of the rare end are frequent
+            begin, far, most = starts[row[i]], int(reach[i]), int(level[i])
+            end = begin + int(size[i])
+            grown = [(int(code[i]), i)]
+            for k in range(2, most + 1):
+                grown = [(_mix(x ^ int(code[j]), k), j) for x, last in grown for j in range(last + 1, min(begin + far + k, end))]
+                if k >= min(most, int(need[i])):
+                    rows.append(np.full(len(grown), row[i])), bands.append(np.array([x for x, _ in grown], dtype=np.int64))
+        where, band = np.concatenate(rows).astype(np.int64), np.concatenate(bands)
+        yield pd.DataFrame({"band": band, "row": frame["row"].to_numpy()[where], "size": sizes[where].astype(np.int32), **{f"sign_{b}": s[where] for b, s in enumerate(signs)}})
 
 
 def _mix(x: int, salt: int) -> int:
@@ -135,32 +133,59 @@ def _mix(x: int, salt: int) -> int:
 
 
 def word_classes(df: DataFrame, row: Column, text: Column) -> tuple[DataFrame, DataFrame]:
-    """(members: row, class), (classes: row, words); a class is the records with one word set and bears its least row. Null texts and rows are in none."""
+    """(members: row, class, copied), (classes: row, words); a class is the records with one word set and bears its least row. Null texts and rows are in none."""
     sets = cut(df.select(row.alias("row"), text.alias("text")).filter("row IS NOT NULL AND text IS NOT NULL").mapInPandas(_word_sets, "row long, set_id binary, words array<int>"))
-    classes = sets.groupBy("set_id").agg(F.min("row").alias("class"), F.count("*").alias("n"), F.first("words").alias("words"))
-    several = classes.filter("n > 1").select("set_id", "class")
-    members = sets.select("row", "set_id").join(several, "set_id", "left").select("row", F.coalesce("class", "row").alias("class"), F.col("class").isNotNull().alias("copied"))
+    classes = cut(sets.groupBy("set_id").agg(F.min("row").alias("class"), F.count("*").alias("n"), F.first("words").alias("words")))
+    several = classes.filter("n > 1").select("set_id", "class", "n")
+    members = lookup(sets.select("row", "set_id"), several, "set_id", weight="n").select("row", F.coalesce("class", "row").alias("class"), F.col("class").isNotNull().alias("copied"))
     return members, classes.select(F.col("class").alias("row"), "words")
 
 
-def class_links(classes: DataFrame, threshold: float, miss: float = 1e-6, bands_of: tuple[int, int] = (ALONE, IN_TWOS)) -> DataFrame:
+def _large_bands(bands: DataFrame, block: int) -> DataFrame | None:
+    """(band, blocks) of the bands of more than `block` rows, and of more than a millionth of all: at most a million rows; None where there are none."""
+    bound = max(block, bands.count() // 1_000_000)
+    slot = F.pmod("band", F.lit(1 << 20))
+    # A large band lies in a large bucket; few buckets are, so few bands are counted.
+    buckets = bands.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).filter(F.col("n") > bound).select("slot")
+    large = bands.join(F.broadcast(buckets), slot == F.col("slot"), "left_semi").groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > bound)
+    large = cut(large.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    return None if large.isEmpty() else large
+
+
+def class_links(classes: DataFrame, threshold: float, miss: float = 1e-6, bands_of: tuple[int, int] = (ALONE, STEP), block: int = BLOCK) -> DataFrame:
     """Pairs a < b of classes whose word sets have at least the similarity; each pair once."""
+    if not 0 < threshold <= 1:
+        raise ValueError("a similarity threshold lies above 0 and is at most 1")
     spark = classes.sparkSession
-    counted = classes.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").cast("int").alias("n"))
-    # At most BUCKETS rows, whatever the size of the data.
-    held = counted.toArrow() if hasattr(counted, "toArrow") else counted.toPandas()
-    counts = np.zeros(BUCKETS, dtype=np.uint16)
-    counts[np.asarray(held["bucket"])] = np.minimum(np.asarray(held["n"]), 65_535)
+    counted = classes.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
+    # At most BUCKETS rows, whatever the size of the data; words in one set alone make no band and aren't sent.
+    held = counted.filter("n > 1").select("bucket", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    counts = np.ones(BUCKETS, dtype=np.uint32)
+    counts[np.asarray(held["bucket"])] = np.asarray(held["n"])
     sent = spark.sparkContext.broadcast(counts)
     signs = [f"sign_{b}" for b in range(BATCHES)]
-    bands = classes.mapInPandas(lambda frames: _bands(frames, sent.value, threshold, *bands_of), "band long, row long, words array<int>, " + ", ".join(f"{c} long" for c in signs))
-    a, b = (bands.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("row", "words", *signs))) for side in "ab")
+    bands = cut(classes.mapInPandas(lambda frames: _bands(frames, sent.value, threshold, *bands_of), "band long, row long, size int, " + ", ".join(f"{c} long" for c in signs)))
+    columns = ("row", "size", *signs)
+    sides = lambda df, keys: [df.select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab"]
     differ = [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in signs]
     unpruned = [reduce(lambda x, y: x + y, differ[:k]) <= most_differences(threshold, miss, BITS * k) for k in range(1, BATCHES + 1)]
-    size_a, size_b, shared = F.size("words_a"), F.size("words_b"), F.size(F.array_intersect("words_a", "words_b"))
-    close = reduce(lambda x, y: x & y, [F.col("row_a") < F.col("row_b"), F.least(size_a, size_b) >= F.greatest(size_a, size_b) * threshold - 1e-9, *unpruned])
-    joined = a.join(b, "band").filter(close).withColumn("shared", shared)
-    return joined.filter(F.col("shared") >= threshold * (size_a + size_b - F.col("shared")) - 1e-9).select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
+    sized = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9
+    close = reduce(lambda x, y: x & y, [sized, *unpruned])
+    large = _large_bands(bands, block)
+    small = bands if large is None else bands.join(F.broadcast(large), "band", "left_anti")
+    a, b = sides(small, ["band"])
+    found = a.join(b.hint("merge"), "band").filter("row_a < row_b").filter(close).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    if large is not None:
+        # A row is in one block and goes to each pair of it with another; both orders of the blocks are one pair.
+        placed = bands.join(F.broadcast(large), "band").withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+        a, _ = sides(placed.withColumn("j", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1))).withColumnRenamed("own", "i"), ["band", "i", "j"])
+        _, b = sides(placed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumnRenamed("own", "j"), ["band", "i", "j"])
+        across = a.join(b.hint("merge"), ["band", "i", "j"]).filter("(i < j AND row_a <> row_b) OR row_a < row_b").filter(close)
+        found = found.unionAll(across.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")))
+    # Words are fetched for the pairs that are left.
+    held_a, held_b = (classes.select(F.col("row").alias(c), F.col("words").alias(f"words_{c}")).hint("merge") for c in "ab")
+    fetched = found.distinct().join(held_a, "a").join(held_b, "b").withColumn("shared", F.size(F.array_intersect("words_a", "words_b")))
+    return fetched.filter(F.col("shared") >= threshold * (F.size("words_a") + F.size("words_b") - F.col("shared")) - 1e-9).select("a", "b")
 
 
 def _copies(members: DataFrame, salts: int) -> DataFrame:
@@ -168,17 +193,17 @@ def _copies(members: DataFrame, salts: int) -> DataFrame:
     held = members.filter("copied")
     a = held.select("class", F.col("row").alias("row_a"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"))
     b = held.select("class", F.col("row").alias("row_b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return a.join(b, ["class", "salt"]).filter("row_a < row_b").select("row_a", "row_b")
+    return a.join(b.hint("merge"), ["class", "salt"]).filter("row_a < row_b").select("row_a", "row_b")
 
 
-def near_duplicate_pairs(df: DataFrame, row: str = "row_ix", text: str = "title", threshold: float = 0.6, miss: float = 1e-6, salts: int = 8, bands_of: tuple[int, int] = (ALONE, IN_TWOS)) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, row: str = "row_ix", text: str = "title", threshold: float = 0.6, miss: float = 1e-6, salts: int = 8, bands_of: tuple[int, int] = (ALONE, STEP), block: int = BLOCK) -> DataFrame:
     """All pairs row_a < row_b of records whose word sets have at least the similarity, copies included.
 
     Null texts are in no pair; texts without any word pair only with equal ones. `row` must be unique.
     """
     members, classes = word_classes(df, F.col(row), F.col(text))
-    links = class_links(classes, threshold, miss, bands_of)
-    left, right = (members.select(F.col("class").alias(c), F.col("row").alias(r)) for c, r in (("a", "x"), ("b", "y")))
+    links = class_links(classes, threshold, miss, bands_of, block)
+    left, right = (members.select(F.col("class").alias(c), F.col("row").alias(r)).hint("merge") for c, r in (("a", "x"), ("b", "y")))
     across = links.join(left, "a").join(right, "b").select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"))
     return _copies(members, salts).unionByName(across)
 
@@ -187,8 +212,9 @@ def near_duplicate_groups(df: DataFrame, row: str = "row_ix", text: str = "title
     """One row per record: row_ix, class_id (least record with the same word set), links (other classes it is linked to), group_id (least record it is connected to). A null text is a group of its own."""
     members, classes = word_classes(df, F.col(row), F.col(text))
     links = cut(class_links(classes, threshold, miss))
-    groups = connected_components(links, "a", "b")
+    groups = connected_components(links, "a", "b").select(F.col("node").alias("class"), "component")
     degree = links.select(F.col("a").alias("class")).unionAll(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
-    found = members.join(degree, "class", "left").join(groups.select(F.col("node").alias("class"), "component"), "class", "left")
+    told = degree.join(groups.hint("merge"), "class", "left")
+    found = lookup(members, told, "class")
     nulls = df.filter(F.col(row).isNotNull() & F.col(text).isNull()).select(F.col(row).alias("row_ix"), F.col(row).alias("class_id"), F.lit(0).cast("long").alias("links"), F.col(row).alias("group_id"))
     return found.select(F.col("row").alias("row_ix"), F.col("class").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("component", "class").alias("group_id")).unionByName(nulls)

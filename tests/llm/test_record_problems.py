@@ -112,18 +112,18 @@ def _titles(chance):
     return [*out, out[0].upper(), out[1] + "!", "?!", "?!", "...", "one", "one two", "one two three", "", "a b", "a b c"]
 
 
-def _pairs(titles):
+def _pairs(titles, threshold=0.6):
     sets = [frozenset(near_duplicates.words(t)) for t in titles]
-    return {(i, j) for i, j in combinations(range(len(titles)), 2) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j]) - 1e-9}
+    return {(i, j) for i, j in combinations(range(len(titles)), 2) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9}
 
 
-@pytest.mark.parametrize("bands_of", [(48, 4096), (3, 8), (1, 2), (0, 0)])
-def test_near_duplicates_against_all_pairs(spark, bands_of):
-    """Also with frequent words in bands of two and three, as in large tables."""
-    titles = _titles(random.Random(bands_of[0]))
+@pytest.mark.parametrize("bands_of, threshold, block", [((48, 85), 0.6, 2048), ((3, 3), 0.6, 2048), ((0, 1), 0.5, 2048), ((0, 1), 0.3, 2048), ((1, 2), 0.8, 2048), ((2, 4), 0.6, 3), ((0, 1), 0.45, 2)])
+def test_near_duplicates_against_all_pairs(spark, bands_of, threshold, block):
+    """Also with frequent words in bands of two to four, as in large tables, at low thresholds, and with bands in blocks."""
+    titles = [*_titles(random.Random(bands_of[0])), "a b c d", "d c a b e", "c d"]
     df = spark.createDataFrame([*enumerate(titles), (9000, None), (None, titles[0])], "row_ix long, title string").withColumn("row", F.lit(1)).withColumn("band", F.lit(1))
-    got = [tuple(r) for r in near_duplicates.near_duplicate_pairs(df, bands_of=bands_of).collect()]
-    assert len(got) == len(set(got)) and set(got) == _pairs(titles)
+    got = [tuple(r) for r in near_duplicates.near_duplicate_pairs(df, threshold=threshold, bands_of=bands_of, block=block).collect()]
+    assert len(got) == len(set(got)) and set(got) == _pairs(titles, threshold)
 
 
 def test_groups_have_a_row_per_record(spark):
