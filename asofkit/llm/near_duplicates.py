@@ -6,11 +6,12 @@ rare to frequent: two sets with similarity t share at least ceil(t n) words of a
 among its first n - ceil(t n) + k. The more frequent a band's first word, the more of the next shared words it holds, up to
 `MOST_WORDS`, but never more than the pair must share, whatever the threshold; so bands stay small, and no pair is lost. The
 order comes from word counts in a fixed number of hash buckets, whose size doesn't grow with the data. Bands that are large
-all the same are joined in pairs of blocks, spread over all tasks.
+all the same, told by a histogram of fixed size, are joined in pairs of blocks, spread over all tasks.
 
-A candidate is then verified as in sequential Bayesian similarity search: batches of 64 one-bit minhashes are compared, and
-a pair is pruned as soon as the posterior chance that it reaches the threshold is under `miss`; survivors are verified on
-their whole word sets, held as 32 bits a word, so that a pair has a wrong shared word with a chance of some 1e-7. Records with
+A candidate carries its size, a map of its words in 128 bits, and its signature. Where two maps differ in more bits than a
+pair at the threshold may have words apart, it is none for certain. It is then verified as in sequential Bayesian similarity
+search: batches of 64 one-bit minhashes are compared, and a pair is pruned as soon as the posterior chance that it reaches
+the threshold is under `miss`; the words of survivors are fetched and compared. They are verified on their whole word sets, held as 32 bits a word, so that a pair has a wrong shared word with a chance of some 1e-7. Records with
 equal word sets are one class from the start and are joined again at the end.
 """
 
@@ -36,8 +37,8 @@ _WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 22
 #: Words in at most ALONE sets are a band alone; STEP times as frequent ones take one more word each.
 ALONE, STEP, MOST_WORDS = 48, 85, 4
-#: Bands of more rows, and of more than a millionth of all, are joined in pairs of blocks of this size.
-BLOCK = 2048
+#: Bands are counted in so many hash buckets; those in buckets of more than BLOCK rows are joined in pairs of blocks of that size.
+SLOTS, BLOCK = 1 << 20, 2048
 BATCHES, BITS = 2, 64
 
 
@@ -90,39 +91,79 @@ def _signature(flat: np.ndarray, starts: np.ndarray, batch: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _bands(frames: Iterator[pd.DataFrame], counts: np.ndarray, threshold: float, alone: int, step: int) -> Iterator[pd.DataFrame]:
-    """The bands of each set with its size and signature, without its words."""
+def _banded(frame: pd.DataFrame, counts: np.ndarray, threshold: float, alone: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the frame, band) of each band of each set, and the flat words, their starts and the sizes of the sets."""
+    sizes = np.fromiter(map(len, frame["words"]), dtype=np.int64, count=len(frame))
+    flat = np.concatenate(frame["words"].to_numpy())
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    row = np.repeat(np.arange(len(frame)), sizes)
+    count = counts[flat & (BUCKETS - 1)].astype(np.int64)
+    order = np.lexsort((flat, count, row))
+    flat, count = flat[order], count[order]
+    level = np.ones(len(flat), dtype=np.int64)
+    for k in range(1, MOST_WORDS):
+        level += count > alone * step ** (k - 1)
+    place, size = np.arange(len(flat)) - np.repeat(starts, sizes), sizes[row]
+    need = np.maximum(np.ceil(threshold * size - 1e-9).astype(np.int64), 1)  # words that any partner shares
+    reach = size - need  # the k-th shared word is at most at this place + k - 1
+    head = (place <= reach) & (count > 1)
+    single = head & ((level == 1) | (need == 1))
+    code = flat.astype(np.int64)
+    rows, bands = [row[single]], [code[single] * 8 + 1]
+    for i in np.flatnonzero(head & (level > 1)).tolist():  # few words of the rare end are frequent
+        begin, far, most = starts[row[i]], int(reach[i]), int(level[i])
+        end = begin + int(size[i])
+        grown = [(int(code[i]), i)]
+        for k in range(2, most + 1):
+            grown = [(_mix(x ^ int(code[j]), k), j) for x, last in grown for j in range(last + 1, min(begin + far + k, end))]
+            if k >= min(most, int(need[i])):
+                rows.append(np.full(len(grown), row[i])), bands.append(np.array([x for x, _ in grown], dtype=np.int64))
+    return np.concatenate(rows).astype(np.int64), np.concatenate(bands), flat, starts, sizes
+
+
+def _slot(bands: np.ndarray) -> np.ndarray:
+    return (bands ^ (bands >> 23) ^ (bands >> 44)) & (SLOTS - 1)
+
+
+def _histogram(frames: Iterator[pd.DataFrame], counts: np.ndarray, threshold: float, alone: int, step: int) -> Iterator[pd.DataFrame]:
+    total = np.zeros(SLOTS, dtype=np.int64)
+    for frame in frames:
+        if len(frame):
+            total += np.bincount(_slot(_banded(frame, counts, threshold, alone, step)[1]), minlength=SLOTS)
+    held = np.flatnonzero(total)
+    yield pd.DataFrame({"slot": held.astype(np.int32), "n": total[held]})
+
+
+def _bands(frames: Iterator[pd.DataFrame], counts: np.ndarray, blocks: np.ndarray, threshold: float, alone: int, step: int) -> Iterator[pd.DataFrame]:
+    """The bands of each set with its size, word map and signature, without its words.
+
+    A band of one block is in cell 0, once. Of a band of more, a row lies in one block and is sent to each pair of it with
+    a later one as side 1, and with an earlier one as side 2.
+    """
     for frame in frames:
         if not len(frame):
             continue
-        sizes = np.fromiter(map(len, frame["words"]), dtype=np.int64, count=len(frame))
-        flat = np.concatenate(frame["words"].to_numpy())
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        row = np.repeat(np.arange(len(frame)), sizes)
-        count = counts[flat & (BUCKETS - 1)].astype(np.int64)
-        order = np.lexsort((flat, count, row))
-        flat, count = flat[order], count[order]
-        level = np.ones(len(flat), dtype=np.int64)
-        for k in range(1, MOST_WORDS):
-            level += count > alone * step ** (k - 1)
-        signs = [_signature(flat, starts, b) for b in range(BATCHES)]
-        place, size = np.arange(len(flat)) - np.repeat(starts, sizes), sizes[row]
-        need = np.maximum(np.ceil(threshold * size - 1e-9).astype(np.int64), 1)  # words that any partner shares
-        reach = size - need  # the k-th shared word is at most at this place + k - 1
-        head = (place <= reach) & (count > 1)
-        single = head & ((level == 1) | (need == 1))
-        code = flat.astype(np.int64)
-        rows, bands = [row[single]], [code[single] * 8 + 1]
-        for i in np.flatnonzero(head & (level > 1)).tolist():  # few words of the rare end are frequent
-            begin, far, most = starts[row[i]], int(reach[i]), int(level[i])
-            end = begin + int(size[i])
-            grown = [(int(code[i]), i)]
-            for k in range(2, most + 1):
-                grown = [(_mix(x ^ int(code[j]), k), j) for x, last in grown for j in range(last + 1, min(begin + far + k, end))]
-                if k >= min(most, int(need[i])):
-                    rows.append(np.full(len(grown), row[i])), bands.append(np.array([x for x, _ in grown], dtype=np.int64))
-        where, band = np.concatenate(rows).astype(np.int64), np.concatenate(bands)
-        yield pd.DataFrame({"band": band, "row": frame["row"].to_numpy()[where], "size": sizes[where].astype(np.int32), **{f"sign_{b}": s[where] for b, s in enumerate(signs)}})
+        where, band, flat, starts, sizes = _banded(frame, counts, threshold, alone, step)
+        columns = {"row": frame["row"].to_numpy(dtype=np.int64), "size": sizes.astype(np.int32)}
+        columns |= {f"map_{b}": m for b, m in enumerate(_word_map(flat, starts))} | {f"sign_{b}": _signature(flat, starts, b) for b in range(BATCHES)}
+        cell, side, many = np.zeros(len(band), dtype=np.int64), np.zeros(len(band), dtype=np.int8), blocks[_slot(band)]
+        if (many > 1).any():
+            out_where, out_band, out_cell, out_side = [where[many == 1]], [band[many == 1]], [cell[many == 1]], [side[many == 1]]
+            own = (columns["row"][where] * 0x5851F42D4C957F2D >> 33) % many
+            for k in np.flatnonzero(many > 1).tolist():
+                n, o = int(many[k]), int(own[k])
+                cells = np.concatenate((o * n + np.arange(o, n), np.arange(0, o + 1) * n + o))
+                out_cell.append(cells + 1), out_side.append(np.repeat(np.array([1, 2], dtype=np.int8), (n - o, o + 1)))
+                out_where.append(np.full(len(cells), where[k])), out_band.append(np.full(len(cells), band[k]))
+            where, band, cell, side = map(np.concatenate, (out_where, out_band, out_cell, out_side))
+        yield pd.DataFrame({"band": band, "cell": cell, "side": side, **{c: v[where] for c, v in columns.items()}})
+
+
+def _word_map(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Two integers per set, with a bit for each of its words."""
+    bit = ((flat.astype(np.int64) & 0xFFFFFFFF).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    return [np.bitwise_or.reduceat(np.where((bit >> np.uint64(6)) == half, one, np.uint64(0)), starts).view(np.int64) for half in (0, 1)]
 
 
 def _mix(x: int, salt: int) -> int:
@@ -141,50 +182,37 @@ def word_classes(df: DataFrame, row: Column, text: Column) -> tuple[DataFrame, D
     return members, classes.select(F.col("class").alias("row"), "words")
 
 
-def _large_bands(bands: DataFrame, block: int) -> DataFrame | None:
-    """(band, blocks) of the bands of more than `block` rows, and of more than a millionth of all: at most a million rows; None where there are none."""
-    bound = max(block, bands.count() // 1_000_000)
-    slot = F.pmod("band", F.lit(1 << 20))
-    # A large band lies in a large bucket; few buckets are, so few bands are counted.
-    buckets = bands.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).filter(F.col("n") > bound).select("slot")
-    large = bands.join(F.broadcast(buckets), slot == F.col("slot"), "left_semi").groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > bound)
-    large = cut(large.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    return None if large.isEmpty() else large
-
-
 def class_links(classes: DataFrame, threshold: float, miss: float = 1e-6, bands_of: tuple[int, int] = (ALONE, STEP), block: int = BLOCK) -> DataFrame:
     """Pairs a < b of classes whose word sets have at least the similarity; each pair once."""
     if not 0 < threshold <= 1:
         raise ValueError("a similarity threshold lies above 0 and is at most 1")
-    spark = classes.sparkSession
+    send = classes.sparkSession.sparkContext.broadcast
     counted = classes.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
     # At most BUCKETS rows, whatever the size of the data; words in one set alone make no band and aren't sent.
     held = counted.filter("n > 1").select("bucket", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
     counts = np.ones(BUCKETS, dtype=np.uint32)
     counts[np.asarray(held["bucket"])] = np.asarray(held["n"])
-    sent = spark.sparkContext.broadcast(counts)
-    signs = [f"sign_{b}" for b in range(BATCHES)]
-    bands = cut(classes.mapInPandas(lambda frames: _bands(frames, sent.value, threshold, *bands_of), "band long, row long, size int, " + ", ".join(f"{c} long" for c in signs)))
-    columns = ("row", "size", *signs)
-    sides = lambda df, keys: [df.select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab"]
-    differ = [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in signs]
-    unpruned = [reduce(lambda x, y: x + y, differ[:k]) <= most_differences(threshold, miss, BITS * k) for k in range(1, BATCHES + 1)]
-    sized = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9
-    close = reduce(lambda x, y: x & y, [sized, *unpruned])
-    large = _large_bands(bands, block)
-    small = bands if large is None else bands.join(F.broadcast(large), "band", "left_anti")
-    a, b = sides(small, ["band"])
-    found = a.join(b.hint("merge"), "band").filter("row_a < row_b").filter(close).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
-    if large is not None:
-        # A row is in one block and goes to each pair of it with another; both orders of the blocks are one pair.
-        placed = bands.join(F.broadcast(large), "band").withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-        a, _ = sides(placed.withColumn("j", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1))).withColumnRenamed("own", "i"), ["band", "i", "j"])
-        _, b = sides(placed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumnRenamed("own", "j"), ["band", "i", "j"])
-        across = a.join(b.hint("merge"), ["band", "i", "j"]).filter("(i < j AND row_a <> row_b) OR row_a < row_b").filter(close)
-        found = found.unionAll(across.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")))
+    words_sent = send(counts)
+    # At most SLOTS rows.
+    full = classes.mapInPandas(lambda frames: _histogram(frames, words_sent.value, threshold, *bands_of), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > block).toArrow()
+    blocks = np.ones(SLOTS, dtype=np.int32)
+    blocks[np.asarray(full["slot"])] = -(-np.asarray(full["n"]) // block)
+    blocks_sent = send(blocks)
+    longs = ["map_0", "map_1", *(f"sign_{b}" for b in range(BATCHES))]
+    bands = classes.mapInPandas(lambda frames: _bands(frames, words_sent.value, blocks_sent.value, threshold, *bands_of), "band long, cell long, side byte, row long, size int, " + ", ".join(f"{c} long" for c in longs))
+    a, b = (bands.select("band", "cell", *(F.col(c).alias(f"{c}_{x}") for c in ("side", "row", "size", *longs))) for x in "ab")
+    differ = {c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in longs}
+    size_a, size_b = F.col("size_a"), F.col("size_b")
+    # Once each pair: by rows in a block, by sides across blocks.
+    once = F.when(F.col("side_a") + F.col("side_b") == 0, F.col("row_a") < F.col("row_b")).otherwise((F.col("side_a") == 1) & (F.col("side_b") == 2) & (F.col("row_a") != F.col("row_b")))
+    sized = F.least(size_a, size_b) >= F.greatest(size_a, size_b) * threshold - 1e-9
+    apart = differ["map_0"] + differ["map_1"] <= (size_a + size_b) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    unpruned = [reduce(lambda x, y: x + y, [differ[f"sign_{b}"] for b in range(k)]) <= most_differences(threshold, miss, BITS * k) for k in range(1, BATCHES + 1)]
+    found = a.join(b.hint("merge"), ["band", "cell"]).filter(reduce(lambda x, y: x & y, [once, sized, apart, *unpruned]))
+    pairs = found.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
     # Words are fetched for the pairs that are left.
     held_a, held_b = (classes.select(F.col("row").alias(c), F.col("words").alias(f"words_{c}")).hint("merge") for c in "ab")
-    fetched = found.distinct().join(held_a, "a").join(held_b, "b").withColumn("shared", F.size(F.array_intersect("words_a", "words_b")))
+    fetched = pairs.join(held_a, "a").join(held_b, "b").withColumn("shared", F.size(F.array_intersect("words_a", "words_b")))
     return fetched.filter(F.col("shared") >= threshold * (F.size("words_a") + F.size("words_b") - F.col("shared")) - 1e-9).select("a", "b")
 
 
