@@ -1,10 +1,17 @@
 """The main body of fetched pages, by consensus host paths.
 
-The pages arrive as lines, without tags, so the tree is read off the lines: runs of lines of one class are the containers
-(menus, prose, lists of links, tables, turns of a talk), and a line's path is its zone (before the headline or after it),
-its class and its generalised wording (digits, names and the outlet's own name replaced). Each page scores its containers by
-how much running text they and what follows them hold. Spark votes on every path within its host and over all hosts, and
-the pages are read again with the winning paths: a line's own container and the vote on its path decide together.
+The pages arrive as lines, without tags, so the tree is read off the lines: a line's class is its shape (running text, a turn
+of a talk, a table row, a menu, a short or a longer fragment), runs of lines of a kind are the containers, and a line's path
+is its page's language, its class and its generalised wording (numbers, names and the outlet's own name replaced). No
+wording is known beforehand. Each page scores its containers by position and by the running text around them; Spark votes
+on every path over all different pages: by its mean score, and by whether it is bound to hosts. What a site puts around its
+articles recurs on that site and not on others, whereas the turns of phrase of reports are found everywhere in proportion, so
+a path whose share differs between hosts far more than chance allows is the site's own. The pages are read again with the
+winning paths.
+
+The spread of a path over hosts is measured as in a chi-squared test: with n pages, of which the hosts' shares of the
+language's pages would let expect e_h each, D = sum (n_h - e_h)^2 / e_h exceeds its degrees of freedom by `bound` n, the
+squared relative deviation of the hosts' rates, known to within sd(D) / n.
 """
 
 from __future__ import annotations
@@ -15,203 +22,159 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofkit.operators.joins import lookup
 from asofkit.operators.timestamps import host_of
 from asofkit.session import cut
 
-# Wordings of site furniture, English and German. The first need nothing else; the second also occur in reports
-# about publishers and shops, and count in running text only where the sentence speaks for the site or to its visitor.
-_OPENING = re.compile(
-    r"""(?ix)
-    © | copyright\s+(?:©|\d) | (?:accept|reject)\s+all | (?:log|sign)\s+in$ | anmelden$ | subscribe\b | (?:share|tweet|print|email|e-mail)\b(?!s\b)
-    | follow\s+\S | \d+\s+(?:comments?|kommentare)\b | (?:view|show|join|leave|post)\b.*\b(?:comments?|conversation)\b | comments?$
-    | (?:advertisement|anzeige|sponsored)\b | nach\s+oben | skip\s+to\b | (?:open|close)?\s*menu\b | search$ | suche$ | download\s+the\b.*\bapp\b
-    | (?:quotes?|prices?|kurse)\b.*(?:delayed|verzögert) | error\b | access\s+(?:to\s+this\s+page\s+)?(?:is\s+|has\s+been\s+)?denied
-    | (?:listen|watch)\s+(?:to\s+)?(?:this|the|now)\b | photo\s+gallery | (?:image|photo|bild|foto)s?\s*: | gallery\b | (?:read|see)\s+(?:next|more|also)\b
-    | lesen\s+sie\b | related\s*:
-    | (?:related|recommended|trending|most\s+(?:read|popular|viewed)|up\s+next|latest\s+headlines?|more\s+(?:from|on|in)|you\s+(?:may|might)\s+also|editor[’']s\s+picks?|top\s+stories|popular\s+now|mehr\s+(?:von|zum)|meistgelesen|das\s+könnte)(?:\s+\S+){0,4}$
-    | (?:published|posted|filed|veröffentlicht)\s+(?:in|under)\b | accessibility\b | sitemap$ | about\s+us\b | (?:contact|help|jobs|careers|newsletters?)$
-    | save\s+(?:this|to)\b | (?:privacy|terms|cookie)\s+(?:notice|policy|statement|settings|of\s+(?:use|service))$ | datenschutz | impressum
-    """
-)
-_ANYWHERE = re.compile(
-    r"""(?ix)
-    only\s+necessary | alle\s+(?:akzeptieren|ablehnen) | einstellungen\s+verwalten | manage\s+preferences | sign\s+up\s+(?:for|to|now)\b
-    | enter\s+your\s+email | join\s+\d+[\d,]*\s+(?:readers|subscribers) | become\s+a\b.*\bmember | reached\s+your\s+limit | (?:keep|continue)\s+reading
-    | weiterlesen | like\s+what\s+you\s+read | \b(?:log|sign)\s+in\s+to\b | share\s+this
-    | (?:facebook|linkedin|whatsapp|reddit)\W+(?:x|email|print|linkedin|youtube|facebook)\b | add\s+a\s+comment | below\s+advertisement
-    | paid\s+(?:post|content) | scroll\s+to\s+continue | back\s+to\s+(?:the\s+)?top | zum\s+inhalt | \bapp\s+for\s+(?:ios|android)
-    | not\s+an?\s+(?:investment|financial)\s+advis[eo]r | nothing\s+on\s+this\s+(?:page|site) | market\s+data\s+provided | ohne\s+gewähr | do\s+not\s+sell
-    | about\s+the\s+author | über\s+den\s+autor | \bcovers\b.*\bfor\b.*\bhas\s+worked\b | \bcan\s+be\s+reached\s+at\b
-    | (?:page|article|seite)\b.*(?:could\s+not\s+be\s+found|not\s+found|no\s+longer\s+available|nicht\s+gefunden) | \b(?:404|403|502|503)\b.*\berror
-    | something\s+went\s+wrong | try\s+again\s+later | enable\s+javascript | unusual\s+traffic | are\s+(?:not\s+)?a\s+robot | minute\s+read$ | \bmin\s+read$
-    | reading\s+list
-    """
-)
-_TALK = re.compile(
-    r"""(?ix)\bcookies?\b | \bprivacy\b | terms\s+of\s+(?:use|service) | rights\s+reserved | \bconsent\b | similar\s+technologies | \bpartners?\b | personalised | store\s+and\s+access
-    | newsletter | \bsubscri\w+ | \bregister\b | free\s+(?:articles?|trial|account) | \bmembers?(?:hip)?\b | \bdaily\s+brief\b | \binbox\b | \bapp\b | \badvertis\w+ | \bads\b | \bbrowser\b | \bad\s*block"""
-)
-_VOICE = re.compile(r"\b(?i:you|your|yours|our|us|we|sie|ihre[nrm]?|wir|unsere?[nrm]?|this\s+(?:site|page|website|article)|please|diese\s+seite)\b")
-_SENTENCES = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+(?=[\"“‘(]?[A-ZÄÖÜ0-9])|(?<=。)")
 _TICKER = re.compile(r"^[A-Z][A-Z0-9.\-]{0,6}\s+[$€£¥]?[\d.,]+\s+[+\-−▲▼]?\s?[\d.,]+\s?%?\)?$")
 _BREAK = re.compile(r"\s*[|·•›»]\s*|\s+[>/]\s+|\s{2,}|\t")
+_PARTED = ("|", "·", "•", "›", "»", "\t", "  ", " > ", " / ")
 _MARK = re.compile(r"^(?:(?P<dot>[•*▪‣·])|(?P<dash>[-–—])|(?P<num>\d{1,3}[.)]))\s+")
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
-_STOP_INSIDE = re.compile(r"[.!?][\"'”’)]*\s+[\"“‘(]?[A-ZÄÖÜ0-9]|。")
-_SECTION = re.compile(r"^(?i:item\s*\d+[a-c]?\b|part\s+[ivx]+\b|prepared remarks|questions? and answers?|q\s*&\s*a)")
-_SPEAKER = re.compile(r"^(?:Operator|Analyst|Moderator|[A-Z][\w'’.\-]+(?: [A-Z][\w'’.\-]+){1,3})(?:\s+[-–—]\s+[^:]{1,60})?\s*:\s+\S")
-_BYLINE = re.compile(r"^(?:by|von|par|por)\s+(?!(?:the|a|an|und|der|die|das)\b)\S|\breporting\s+from\b|\b(?:staff|senior|contributing)\s+(?:writer|reporter|correspondent|editor)\b|^updated\b|^\w+ \d{1,2}, \d{4}", re.I)
+_STOP_INSIDE = re.compile(r"[.!?][\"'”’)]*\s+[\"“‘(]?[^\W\d_a-zß-öø-ÿ]|[.!?][\"'”’)]*\s+\d|。")
+_SPEAKER = re.compile(r"^[^\W\d_a-z][\w'’.\-]*(?: [^\W\d_a-z][\w'’.\-]+){0,3}(?:\s+[-–—]\s+[^:]{1,60})?\s*:\s+\S")
 _AMOUNT = re.compile(r"[$€£¥]\s?\d|\d[\d.,]*\s?(?:%|million|billion|bn|m\b)|^\(?-?[\d.,]+\)?$")
 _DIGITS = re.compile(r"\d+(?:[.,:]\d+)*")
-_NAME = re.compile(r"\b(?:[A-ZÄÖÜ][\wäöüßé'’\-]*)(?:\s+[A-ZÄÖÜ][\wäöüßé'’\-]*)*")
-
-MENU, TICKER, FURNITURE, PROSE, TURN, SECTION, TABLE, LINK, SHORT, TITLE, BYLINE = range(11)
-_CONTENT_CLASSES = {PROSE, TURN, SECTION, TABLE, TITLE, BYLINE}
-
-
-# Parts of words without which no sentence matches _ANYWHERE or _TALK; looking for them is far cheaper.
-_PARTS = (
-    "only necessary", "akzept", "ablehn", "verwalten", "preferences", "sign up", "sign in", "email", "readers", "subscri", "member", "your limit", "reading", "you read", "weiterlesen", "log in", "share this",
-    "facebook", "linkedin", "whatsapp", "reddit", "comment", "advert", "paid ", "scroll to", "to top", "the top", "inhalt", " app", "advis", "nothing on", "market data", "gewähr", "not sell", "author", "autor",
-    "covers", "be reached", "be found", "not found", "longer available", "gefunden", "error", "went wrong", "try again", "javascript", "traffic", "robot", "min read", "minute read", "cookie", "privacy", "terms of",
-    "rights reserved", "consent", "technolog", "partner", "personalis", "store and", "stores and", "newsletter", "register", "free a", "free t", "brief", "inbox", " ads", "browser", "ad block", "adblock",
-)
-_PARTED = ("|", "·", "•", "›", "»", "\t", "  ", " > ", " / ")
-
-
-def _speaks_for_site(sentence: str) -> bool:
-    return bool(_OPENING.match(sentence) or _ANYWHERE.search(sentence))
-
-
-def _is_furniture(bare: str, outlet: str) -> bool:
-    """Whether a line speaks as the site: running text only if no sentence of it is plain report."""
-    low = bare.lower()
-    for part in _PARTS:
-        if part in low:
-            break
-    else:
-        if not _OPENING.match(bare):
-            return False
-    sentences = [x for x in _SENTENCES.split(bare) if x]
-    if len(sentences) == 1 and (len(bare.split()) < 8 or not _SENTENCE_END.search(bare)):
-        return _speaks_for_site(bare) or (len(bare.split()) < 5 or bool(_VOICE.search(bare))) and bool(_TALK.search(bare))
-    some = False
-    for x in sentences:
-        if _speaks_for_site(x):
-            some = True
-            continue
-        spoken = bool(outlet) and outlet in x or bool(_VOICE.search(x)) and not re.search(r"[\"“”]|\bsaid\b", x)
-        if spoken and _TALK.search(x):
-            some = True
-        elif not (some and spoken) and len(x.split()) > 3:
-            return False
-    return some
-
-
-def _class(text: str, title: str, outlet: str) -> tuple[int, str]:
-    """The class of a line that isn't blank, and its text without list marks."""
+_NAME = re.compile(r"(?:[A-ZÄÖÜ][\wäöüßé'’\-]*)(?:\s+[A-ZÄÖÜ][\wäöüßé'’\-]*)*")
+# Small words by which a page's language is told.
+_SMALL_WORDS = {
+    "en": frozenset("the of and to in for with by on that from".split()),
+    "de": frozenset("der die das und im auf um mit bis ein von den".split()),
+    "es": frozenset("el la de los en que con por del las".split()),
+    "fr": frozenset("le la les des et en du une est pour dans".split()),
+}
+
+MENU, TICKER, PROSE, TURN, TABLE, LINK, SHORT, TITLE, ASK = range(9)
+CLASSES = ("menu", "ticker", "prose", "turn", "table", "link", "short", "title", "question")
+_TEXT = frozenset((PROSE, TURN, TABLE, ASK))
+#: A path of so many different pages, whose spread over hosts exceeds chance by so many deviations, and by this share, is bound to its hosts.
+LEAST_PAGES, LEAST_DEVIATIONS, LEAST_BOUND = 20, 6.0, 0.45
+#: Fragments with a path of so many pages and so good a score need no text after them.
+KNOWN_PAGES, KNOWN_SCORE = 10, 0.15
+
+
+def _class(text: str, title: str) -> tuple[int, str]:
+    """The class of a line that isn't blank, by its shape, and its text without list marks."""
     m = _MARK.match(text)
     bare = text[m.end() :] if m else text
     if title and (text == title or bare == title):
         return (TITLE if not m else LINK), bare
     if _TICKER.match(bare):
         return TICKER, bare
-    if _SECTION.match(bare):
-        return SECTION, bare
-    if _is_furniture(bare, outlet):
-        return FURNITURE, bare
-    if _SPEAKER.match(bare) and (_SENTENCE_END.search(bare) or _STOP_INSIDE.search(bare)):
-        return TURN, bare
-    parts = [p for p in _BREAK.split(bare) if p] if any(x in bare for x in _PARTED) else [bare]
     ended, words = bool(_SENTENCE_END.search(bare[-8:])), bare.count(" ") + 1
-    if len(parts) > 1 and not ended:
-        amounts = sum(1 for p in parts if _AMOUNT.search(p))
-        if amounts and amounts >= len(parts) - 1 - (len(parts) > 3):
-            return TABLE, bare
-        if title and any(len(p) > 12 and title.startswith(p) for p in parts) or all(len(p.split()) <= 4 for p in parts):
-            return MENU, bare
+    inside = bool(_STOP_INSIDE.search(bare))
+    if (ended or inside) and _SPEAKER.match(bare):
+        return (ASK if bare.endswith("?") and not inside else TURN), bare
+    if not ended and any(x in bare for x in _PARTED):
+        parts = [p for p in _BREAK.split(bare) if p]
+        if len(parts) > 1:
+            amounts = sum(1 for p in parts if _AMOUNT.search(p))
+            if amounts and amounts >= len(parts) - 1 - (len(parts) > 3):
+                return TABLE, bare
+            if title and any(len(p) > 12 and title.startswith(p) for p in parts) or all(len(p.split()) <= 4 for p in parts):
+                return MENU, bare
     if m and m["dot"] and words <= 4 and not ended:
         return MENU, bare
-    if words <= 12 and _BYLINE.search(bare) and not _STOP_INSIDE.search(bare) and not (ended and words > 8):
-        return BYLINE, bare
-    question = bare.endswith("?") and not _STOP_INSIDE.search(bare)
-    if (ended and not question and words >= 4) or _STOP_INSIDE.search(bare) and words >= 8 or not bare.isascii() and "。" in bare:
-        return PROSE, bare
-    if m and m["dash"] and words >= 5:
+    question = bare.endswith("?") and not inside
+    if ended and not question and words >= 4 or inside and words >= 8 or not bare.isascii() and "。" in bare or m and m["dash"] and words >= 5:
         return PROSE, bare
     return (SHORT if words <= 4 and not question else LINK), bare
 
 
 def _wording(bare: str, kind: int, outlet: str) -> str:
-    """The generalised wording of a line: names, numbers and the outlet's name replaced; short lines keep their words."""
-    text = bare.replace(outlet, "@") if outlet and len(outlet) > 3 else bare
-    text = _DIGITS.sub("9", text)
-    return text.lower() if kind in (SHORT, FURNITURE, MENU) else _NAME.sub("N", text)[:160]
+    """The generalised wording of a line: numbers, names and the outlet's name replaced. Short lines keep their words, fragments that lead in with a colon only what stands before it."""
+    text = _DIGITS.sub("9", bare.replace(outlet, "@") if len(outlet) > 3 else bare)
+    if kind in (SHORT, MENU):
+        return text.lower()
+    if kind in (LINK, ASK) and 0 <= (at := text.find(": ")) < 40:
+        return text[: at + 1].lower() + "*"
+    first, _, rest = text.partition(" ")  # the first word has a capital anyway
+    return first.lower() + " " + _NAME.sub("N", rest)
+
+
+def _language(lines: list[str]) -> str:
+    words = " ".join(lines).lower().split()
+    counts = {k: sum(map(v.__contains__, words)) for k, v in _SMALL_WORDS.items()}
+    best = max(counts, key=counts.__getitem__)
+    return best if counts[best] else ""
 
 
-def read_page(text: str, title: str | None, outlet: str = "") -> list[tuple[int, int, int, float, str]]:
-    """(line_no, class, zone, own score, wording) of each line that isn't blank; zone 0 before the body's start, 1 after.
+def read_page(text: str, title: str | None, outlet: str = "") -> tuple[str, int, list[tuple[int, int, float, str]]]:
+    """The page's language, the place of its headline among the lines (-1 without), and (line_no, class, score, wording) of each line that isn't blank.
 
-    A positive score says main body. The headline is the line that equals the title; without it the body starts at the
-    first running text. Text before it is none of the body.
+    A line is scored by its container: before the headline, in menus and lists -1, running text near other running text 1,
+    alone -0.5, a single fragment before text up to 0.5. Text that names the outlet speaks for the site. Positive says main body.
     """
-    title = (title or "").strip()
+    title, outlet = (title or "").strip(), outlet if len(outlet) > 3 else ""
     lines = [(n, x) for n, x in enumerate((s.strip() for s in text.split("\n")), 1) if x]
-    seen = [(n, *_class(x, title, outlet), x) for n, x in lines]
-    kinds = [k for _, k, _, _ in seen]
-    start = next((i for i, k in enumerate(kinds) if k == TITLE), None)
-    if start is None:
-        start = next((i for i, k in enumerate(kinds) if k in (PROSE, TURN, SECTION)), len(seen))
-        while start and kinds[start - 1] == SHORT and start < len(seen) and (kinds[start] == TURN and seen[start - 1][2].lower() in ("operator", "moderator", "analyst")):
-            start -= 1
-        if start < len(seen) and start and kinds[start - 1] == BYLINE:
-            start -= 1
+    seen = [_class(x, title) for _, x in lines]
+    kinds = [k for k, _ in seen]
+    size = len(kinds)
+    for i, k in enumerate(kinds):
+        if k == ASK and TURN not in kinds[max(0, i - 1) : i + 2]:
+            kinds[i] = LINK
+    start = kinds.index(TITLE) if TITLE in kinds else -1
     out = []
-    # What the next line with a clear class is, from the end.
-    ahead, following = None, [None] * len(seen)
-    for i in range(len(seen) - 1, -1, -1):
-        following[i] = ahead
-        if kinds[i] in (PROSE, TURN, TABLE, SECTION, LINK, TICKER, MENU):
-            ahead = kinds[i]
-    listed = titled = False
-    beside = {PROSE, TURN, TABLE, SECTION, TITLE, BYLINE, SHORT}
-    for i, (n, kind, bare, whole) in enumerate(seen):
-        if i < start:
-            score = -3.0
-        elif kind == TITLE:
-            score, titled = (3.0 if not titled and not listed else -3.0), True
-        elif kind in (FURNITURE, TICKER, MENU):
-            score = -3.0
-        elif kind == PROSE and following[i] not in (PROSE, TURN, TABLE) and i and not beside & {kinds[i - 1], *kinds[i + 1 : i + 2]}:
-            score = 0.5  # alone among furniture at the page's end: the vote decides
-        elif kind in (PROSE, TURN, SECTION, TABLE):
-            score = 2.0
-        elif kind == BYLINE:
-            score = 2.0 if i and kinds[i - 1] in (TITLE, SHORT, BYLINE) and i <= start + 2 else -0.5 if listed else 1.0
-        elif kind == LINK:
+    for i, ((n, _), (_, bare), k) in enumerate(zip(lines, seen, kinds)):
+        if i < start or k in (MENU, TICKER):
             score = -1.0
+        elif k == TITLE:
+            score = 1.0
+        elif k in _TEXT:
+            score = 1.0 if any(kinds[j] in _TEXT for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < size) else -0.5
         else:
-            next_kind = following[i]
-            score = 1.0 if next_kind in (PROSE, TURN, TABLE) and i + 1 < len(seen) and kinds[i + 1] not in (LINK, SHORT) else -0.8
-        if kind == LINK or kind == FURNITURE and i + 1 < len(seen) and kinds[i + 1] == LINK:
-            listed = True
-        elif kind in (PROSE, TURN, SECTION, TABLE):
-            listed = False
-        out.append((n, kind, int(i >= start), score, _wording(bare, kind, outlet)))
-    return out
+            before, after = kinds[i - 1] if i else None, kinds[i + 1] if i + 1 < size else None
+            if after == TURN and k == SHORT:
+                score = 0.4
+            elif after in _TEXT and (before in _TEXT or before == TITLE):
+                score = 0.5
+            else:
+                score = 0.0 if after in _TEXT or before == TITLE else -1.0
+        if outlet and k in (PROSE, LINK, SHORT) and outlet in bare:
+            score = -1.0
+        out.append((n, k, score, _wording(bare, k, outlet)))
+    return _language([b for (_, b), k in zip(seen, kinds) if k in (PROSE, TURN)]), start, out
 
 
-_LEAST_PAGES, _VOTE_WEIGHT = 5, 1.5
+def judge_page(kinds: list[int], scores: list[float], known: list[bool], start: int) -> list[bool]:
+    """Which lines are main body, by the scores of their paths; `known` marks paths that are well known to be.
+
+    The body starts at the headline, else at the first text whose path isn't furniture and the known fragments right before
+    it. A fragment is of the body if its path isn't furniture and text of the body follows, furniture aside, or the
+    headline stands before it.
+    """
+    size = len(kinds)
+    text = [k in _TEXT and s > 0 for k, s in zip(kinds, scores)]
+    if start < 0:
+        start = text.index(True) if True in text else size
+        while 0 < start < size and kinds[start - 1] in (SHORT, LINK) and known[start - 1]:
+            start -= 1
+    out, titled, follows = [False] * size, False, False
+    for i in range(size - 1, start - 1, -1):  # whether text follows, furniture aside
+        k, s = kinds[i], scores[i]
+        if k in (SHORT, LINK) and s > 0:
+            out[i] = known[i] or follows
+        if s > 0:
+            follows = text[i]
+    for i in range(start, size):
+        k = kinds[i]
+        if k == TITLE:
+            out[i], titled = not titled, True
+        elif k in _TEXT:
+            out[i] = text[i]
+        elif k in (SHORT, LINK) and i and scores[i] > 0 and kinds[i - 1] == TITLE and out[i - 1]:
+            out[i] = True
+    return out
 
 
 def read_pages(pages: DataFrame, outlets: DataFrame | None = None, wordings: bool = False) -> DataFrame:
-    """(row_ix, host, line_no, score, path) and, with `wordings`, wording, of each line that isn't blank; null texts have none.
+    """(row_ix, page, site, lang, line_no, kind, start, score, path) and, with `wordings`, host and wording, of each line that isn't blank; null texts have none.
 
-    `pages` has row_ix, url, title and text; `outlets` the outlet_name of each domain, which is generalised away.
+    `pages` has row_ix, url, title and text; `outlets` the outlet_name of each domain. `page` is the same for copies of a
+    page, `site` for the pages of a host in one language.
     """
     named = pages.filter("text IS NOT NULL").select("row_ix", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), "title", "text")
     if outlets is None:
@@ -221,52 +184,114 @@ def read_pages(pages: DataFrame, outlets: DataFrame | None = None, wordings: boo
         named = named.join(names, "host", "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_64_intdigest
+        digest = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
         for frame in frames:
-            sizes, numbers, scores, paths, words = [], [], [], [], []
-            for title, text, outlet in zip(frame["title"], frame["text"], frame["outlet"]):
-                found = read_page(text, title if isinstance(title, str) else "", outlet if isinstance(outlet, str) else "")
+            sizes, of_page, lines = [], [], []
+            for host, title, text, outlet in zip(frame["host"], frame["title"], frame["text"], frame["outlet"]):
+                lang, start, found = read_page(text, title if isinstance(title, str) else "", outlet if isinstance(outlet, str) else "")
                 sizes.append(len(found))
-                for n, kind, zone, score, wording in found:
-                    numbers.append(n), scores.append(score), paths.append(digest(f"{zone}|{kind}|{wording}") - (1 << 63))
-                    if wordings:
-                        words.append(wording)
-            out = {"row_ix": np.repeat(frame["row_ix"].to_numpy(), sizes), "host": np.repeat(frame["host"].to_numpy(), sizes), "line_no": np.array(numbers, dtype=np.int32), "score": np.array(scores, dtype=float), "path": np.array(paths, dtype=np.int64)}
-            yield pd.DataFrame(out | ({"wording": pd.Series(words, dtype=object)} if wordings else {}))
-
-    return named.select("row_ix", "host", "title", "text", "outlet").mapInPandas(run, "row_ix long, host string, line_no int, score double, path long" + ", wording string" * wordings)
+                of_page.append((digest(f"{host}\n{text}"), digest(f"{lang}|{host}"), lang, start))
+                lines += [(n, k, s, digest(f"{lang}|{k}|{w}"), w) for n, k, s, w in found]
+            repeat = lambda values, kind: np.repeat(np.array(values, dtype=kind), sizes)
+            out = {
+                "row_ix": np.repeat(frame["row_ix"].to_numpy(), sizes), "page": repeat([p for p, *_ in of_page], np.int64), "site": repeat([s for _, s, *_ in of_page], np.int64), "lang": repeat([x for _, _, x, _ in of_page], object),
+                "line_no": np.array([x[0] for x in lines], dtype=np.int32), "kind": np.array([x[1] for x in lines], dtype=np.int8), "start": repeat([x for *_, x in of_page], np.int32),
+                "score": np.array([x[2] for x in lines], dtype=np.float32), "path": np.array([x[3] for x in lines], dtype=np.int64),
+            }
+            if wordings:
+                out |= {"host": np.repeat(frame["host"].to_numpy(), sizes), "wording": pd.Series([x[4] for x in lines], dtype=object)}
+            yield pd.DataFrame(out)
+
+    schema = "row_ix long, page long, site long, lang string, line_no int, kind byte, start int, score float, path long" + ", host string, wording string" * wordings
+    return named.select("row_ix", "host", "title", "text", "outlet").mapInPandas(run, schema)
+
+
+def winning_paths(lines: DataFrame) -> DataFrame:
+    """The vote on each path: path, kind, pages, mean_score, deviations, bound, wins, lines.
+
+    Different pages vote once each. `wins` is what the vote adds: the mean score, less 2 where the path is bound to its
+    hosts (never for turns, whose hosts are those with talks). Votes are combined before each shuffle, first by site and
+    path, then by path; no task gathers the lines of a path.
+    """
+    once = lines.groupBy("lang", "site", "path", "kind", "page").agg(F.avg("score").alias("score"), F.count("*").alias("lines"))
+    local = once.groupBy("lang", "site", "path", "kind").agg(F.count("*").alias("n"), F.sum("score").alias("sum"), F.sum("lines").alias("lines"))
+    sizes = cut(lines.select("lang", "site", "page").distinct().groupBy("lang", "site").agg(F.count("*").alias("site_pages")))
+    # One row per language.
+    langs = sizes.groupBy("lang").agg(F.sum("site_pages").alias("T"), F.count("*").alias("K"), F.sum(1 / F.col("site_pages")).alias("I"))
+    sized = lookup(local, sizes.select("site", "site_pages"), "site")
+    every = sized.groupBy("lang", "path", "kind").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.sum("lines").alias("lines"), F.sum(F.col("n") * F.col("n") / F.col("site_pages")).alias("S"))
+    held = every.join(F.broadcast(langs), "lang")
+    n, k, t = F.col("n"), F.col("K"), F.col("T")
+    over = t / n * F.col("S") - n - (k - 1)
+    variance = F.greatest(2 * (k - 1) + (t * F.col("I") - k * k - 2 * k + 2) / n, F.lit(1.0))
+    mean, deviations, bound = F.col("sum") / n, over / F.sqrt(variance), over / n
+    own = (n >= F.when(F.col("kind") == ASK, 50).otherwise(LEAST_PAGES)) & (deviations > LEAST_DEVIATIONS) & (bound > LEAST_BOUND) & (F.col("kind") != TURN)
+    return held.select("path", "kind", n.alias("pages"), mean.alias("mean_score"), deviations.alias("deviations"), bound.alias("bound"), (mean - F.when(own, 2.0).otherwise(0.0)).alias("wins"), "lines")
+
+
+def _own(kind: Column, score: Column) -> Column:
+    """A line's own score where no vote tells: lone text is rather kept."""
+    return F.when(kind.isin(*_TEXT) & (score == -0.5), 0.2).otherwise(score.cast("double"))
 
 
-def host_paths(lines: DataFrame) -> DataFrame:
-    """The vote on each path of each host: host, path, key, pages, vote, all_pages, all_vote, wins and, if lines have it, wording; votes from -1 to 1.
+def judged(pages: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
+    """(row_ix, line_no, kind, main, voted) of each line that isn't blank; `voted` says that the vote on its path turned its own container's score.
 
-    A line of a container that is clearly in or out of the body votes 1 or -1, an isolated one -0.6. Paths seen on fewer than
-    five lines have no vote. Votes are combined before each shuffle, first by host and path, then by path.
+    Of repeated rows one counts. The own score and the vote are blended by the number of pages that voted, (n - 1) / (n + 4).
     """
-    said = F.when(F.col("score") >= 1, 1.0).when(F.col("score") > 0, -0.6).otherwise(-1.0)
-    told = [F.min("wording").alias("wording")] if "wording" in lines.columns else []
-    hosts = lines.groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum(said).alias("sum"), *told)
-    every = hosts.groupBy("path").agg(F.sum("pages").alias("all_pages"), F.sum("sum").alias("all_sum")).filter(F.col("all_pages") >= _LEAST_PAGES)
-    both = hosts.join(every, "path").withColumn("vote", F.col("sum") / F.col("pages")).withColumn("all_vote", F.col("all_sum") / F.col("all_pages"))
-    trust = F.col("pages") / (F.col("pages") + _LEAST_PAGES)
-    wins = (F.col("vote") * trust + F.col("all_vote") * (1 - trust)) * F.col("all_pages") / (F.col("all_pages") + _LEAST_PAGES)
-    return both.select("host", "path", F.xxhash64("host", "path").alias("key"), *["wording"] * len(told), "pages", "vote", "all_pages", "all_vote", wins.alias("wins"))
+    lines = cut(read_pages(pages, outlets))
+    votes = cut(winning_paths(lines))
+    found = lookup(lines.select("row_ix", "page", "line_no", "kind", "start", "score", "path"), votes.select("path", "pages", "mean_score", "wins", "lines"), "path", weight="lines")
+    trust = (F.col("pages") - 1) / (F.col("pages") + 4)
+    own = _own(F.col("kind"), F.col("score"))
+    blended = own * (1 - trust) + F.col("mean_score") * trust + (F.col("wins") - F.col("mean_score"))
+    sent = found.select("row_ix", "page", "line_no", "kind", "start", blended.alias("score"), ((blended > KNOWN_SCORE) & (F.col("pages") >= KNOWN_PAGES)).alias("known"), ((own > 0) != (blended > 0)).alias("voted"))
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
 
-def judged(pages: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
-    """(row_ix, line_no, main) of each line that isn't blank: its own container's score and the vote on its path together."""
-    lines = cut(read_pages(pages, outlets))
-    votes = host_paths(lines).select("key", "wins")
-    asked = lines.select("row_ix", "line_no", "score", F.xxhash64("host", "path").alias("key"))
-    found = lookup(asked, votes, "key")
-    return found.select("row_ix", "line_no", (F.col("score") + _VOTE_WEIGHT * F.coalesce("wins", F.lit(0.0)) > 0).alias("main"))
+        def settle():
+            lines = [x for i, x in enumerate(held) if not i or x[2] != held[i - 1][2]]
+            main = judge_page([x[3] for x in lines], [x[5] for x in lines], [x[6] for x in lines], lines[0][4])
+            return [(x[0], x[2], x[3], m, x[7]) for x, m in zip(lines, main)]
+
+        columns = ["row_ix", "line_no", "kind", "main", "voted"]
+        for frame in frames:
+            out = []
+            for x in zip(*(frame[c].tolist() for c in ("row_ix", "page", "line_no", "kind", "start", "score", "known", "voted"))):
+                if held and x[:2] != held[0][:2]:
+                    out += settle()
+                    held.clear()
+                held.append(x)
+            yield pd.DataFrame(out, columns=columns)
+        if held:
+            yield pd.DataFrame(settle(), columns=columns)
+
+    ordered = sent.repartition("row_ix").sortWithinPartitions("row_ix", "page", "line_no")
+    return ordered.mapInPandas(run, "row_ix long, line_no int, kind byte, main boolean, voted boolean")
+
+
+def host_paths(lines: DataFrame) -> DataFrame:
+    """The vote on each path by host, from lines with wordings: host, lang, class, wording, host_pages, pages, mean_score, deviations, bound, wins."""
+    lines = cut(lines)
+    votes = winning_paths(lines).drop("kind")
+    local = lines.groupBy("host", "lang", "path", "kind").agg(F.min("wording").alias("wording"), F.count_distinct("page").alias("host_pages"))
+    told = lookup(local, votes, "path", weight="lines")
+    kinds = F.element_at(F.array(*map(F.lit, CLASSES)), F.col("kind") + 1)
+    return told.select("host", "lang", kinds.alias("class"), "wording", "host_pages", "pages", "mean_score", "deviations", "bound", "wins")
+
+
+def vote_counts(pages: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
+    """By class of line: lines, those of the main body, and those whose own score the vote turned."""
+    kinds = F.element_at(F.array(*map(F.lit, CLASSES)), F.col("kind") + 1)
+    return judged(pages, outlets).groupBy(kinds.alias("class")).agg(F.count("*").alias("lines"), F.count_if("main").alias("main_lines"), F.count_if("voted").alias("voted_lines"))
 
 
 def main_text(pages: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
     """row_ix, main_text, lines, kept: the main body's lines in order, joined by line ends; null for null text, empty where there is no body."""
     kept = judged(pages, outlets).groupBy("row_ix").agg(F.count("*").alias("lines"), F.array_sort(F.collect_list(F.when(F.col("main"), F.col("line_no")))).alias("numbers"))
     all_lines = F.split("text", "\n")
-    out = pages.select("row_ix", "text").join(kept, "row_ix", "left")
+    out = pages.select("row_ix", "text").join(kept.hint("merge"), "row_ix", "left")
     numbers = F.coalesce("numbers", F.array().cast("array<int>"))
     text = F.when(F.col("text").isNotNull(), F.array_join(F.transform(numbers, lambda i: F.element_at(all_lines, i)), "\n"))
     return out.select("row_ix", text.alias("main_text"), F.coalesce("lines", F.lit(0)).alias("lines"), F.size(numbers).alias("kept"))

@@ -21,6 +21,11 @@ def p1_main(spark: SparkSession, folder: str) -> DataFrame:
     return mainbody.main_text(*_pages(spark, folder))
 
 
+def p1_votes(spark: SparkSession, folder: str) -> DataFrame:
+    """How many lines of each class the vote on paths decides."""
+    return mainbody.vote_counts(*_pages(spark, folder))
+
+
 def p1_paths(spark: SparkSession, folder: str) -> DataFrame:
     return mainbody.host_paths(mainbody.read_pages(*_pages(spark, folder), wordings=True))
 
@@ -121,7 +126,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(_scored(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_main, p1_paths, p2_found, p2_sample, p2_report, p3_found, p3_groups, p4_found, p4_pieces, p6_found, p6_splits, p6_report, p7_found, p7_normalized, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_main, p1_votes, p1_paths, p2_found, p2_sample, p2_report, p3_found, p3_groups, p4_found, p4_pieces, p6_found, p6_splits, p6_report, p7_found, p7_normalized, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 _CATEGORY = "nullif(lower(trim({0})), '')"
 
 ORACLES: dict[str, str] = {

@@ -78,36 +78,62 @@ Analysts had expected earnings of $2 per share for the quarter.
 About the author: Ada Bell covers chips for Market Desk and has worked at the desk since 2003.
 Back to top ↑
 © 2024 Market Desk. All rights reserved."""
-BODY = [5, 6, 7, 9, 11, 12, 13, 17]
-
-
 def test_a_page_is_read():
-    got = [n for n, _, _, score, _ in mainbody.read_page(PAGE, "Orbit shares slide after court halts Apex 830", "Market Desk") if score > 0]
-    assert got == BODY
-    assert mainbody.read_page("", "t") == [] and mainbody.read_page("\n \n", None) == []
-    error = "Home\nMarkets\nSorry, the page you requested could not be found.\nMost Read\n1. Why chips look cheap\n© 2024 X"
-    assert all(s <= 0 for *_, s, _ in mainbody.read_page(error, "Some title", "X"))
-    call = "Home\nFunds\nOperator\nAda Bell: Thank you, and good afternoon, everyone.\nAnalyst: Could you talk about pricing, please?\nBack to top ↑"
-    assert [n for n, _, _, s, _ in mainbody.read_page(call, "t") if s > 0] == [3, 4, 5]
-
-
-def test_votes_overrule_a_single_page(spark):
-    """A furniture sentence that no rule knows stands alone at the end of many pages; a subhead stands before furniture once."""
-    pages = []
-    for i in range(12):
-        body = [f"Story {i} of the day", "By A B, staff writer", f"The board of firm {i} met on Monday. It approved the plan.", "Outlook", "Sales rose in the quarter at the unit. Costs fell."]
-        tail = ["Back to top ↑", "Every price shown on these screens is rounded to cents.", f"© 20{i + 10} Desk"]
-        pages.append((i, "https://desk.test/a", f"Story {i} of the day", "\n".join(body + tail)))
-    pages.append((50, "https://desk.test/a", "Story x", "Story x\nIt rained all day. Sales fell.\nOutlook\nBack to top ↑"))
-    pages += [(60, None, None, None), (61, "no url", None, ""), (62, "https://x.test", None, "x " * 50_000)]
-    df = spark.createDataFrame(pages, "row_ix long, url string, title string, text string").withColumn("host", F.lit("clash")).withColumn("wins", F.lit(1))
-    got = {(r["row_ix"], r["line_no"]): r["main"] for r in mainbody.judged(df).collect()}
-    assert all(not got[i, 7] for i in range(12)) and all(got[i, n] for i in range(12) for n in (1, 2, 3, 4, 5))
-    assert got[50, 3]
+    """By shape and place alone; which sentences the site says itself is left to the vote."""
+    lang, start, got = mainbody.read_page(PAGE, "Orbit shares slide after court halts Apex 830", "Market Desk")
+    scores = {n: s for n, _, s, _ in got}
+    assert lang == "en" and start == 4
+    assert all(scores[n] < 0 for n in (1, 2, 3, 4, 10, 14, 15, 18, 20)) and all(scores[n] > 0 for n in (5, 7, 9, 11, 12, 13))
+    assert mainbody.read_page("", "t")[2] == [] and mainbody.read_page("\n \n", None)[2] == []
+    call = "Home\nFunds\nOperator\nAda Bell: Thank you, and good afternoon, everyone.\nAnalyst: Could you talk about pricing, please?\nBack to top"
+    found = mainbody.read_page(call, "t")[2]
+    assert [mainbody.CLASSES[k] for _, k, _, _ in found] == ["short", "short", "short", "turn", "question", "short"]
+    assert mainbody.judge_page([k for _, k, _, _ in found], [s for _, _, s, _ in found], [n == 3 for n, *_ in found], -1) == [False, False, True, True, True, False]
+
+
+def _site(chance, hosts, pages, templates):
+    """Pages of hosts, each with its own furniture in and around the same kinds of sentences; (rows, furniture lines)."""
+    words = "granite harbour copper signal meadow lantern velvet thunder pebble marble walnut saffron cinder juniper quartz willow".split()
+    extra = {h: [f"{' '.join(chance.sample(words, 5)).capitalize()} every {w}." for w in chance.sample(words, 2)] for h in range(hosts)}
+    top = {h: [w.capitalize() for w in chance.sample(words, 3)] for h in range(hosts)}
+    rows, furniture = [], set()
+    for i in range(pages):
+        h = i % hosts
+        title = f"Story {i} of the {chance.choice(words)}"
+        lines, own = [*top[h], title], {1, 2, 3}
+        for k in range(chance.randint(4, 7)):
+            if k and chance.random() < 0.5:
+                lines.append(chance.choice(extra[h]))
+                own.add(len(lines))
+            lines.append(chance.choice(templates).format(chance.randrange(99), chance.randrange(99)))
+        lines += [chance.choice(extra[h]), *chance.sample(words, 2)]
+        own |= {len(lines) - 2, len(lines) - 1, len(lines)}
+        rows.append((i, f"https://www.h{h}.test/{i}", title, "\n".join(lines)))
+        furniture |= {(i, n) for n in own}
+    return rows, furniture
+
+
+def test_votes_find_what_a_site_says_itself(spark):
+    """Sentences in no known wording between the paragraphs of a host's pages are its own; those found on every host are not."""
+    templates = [f"The {a} of the {b} was {{}} in the {c}, up from {{}} on the {a}." for a, b, c in (("revenue", "unit", "quarter"), ("margin", "plant", "year"), ("output", "mine", "month"), ("price", "share", "week"), ("debt", "firm", "spring"), ("yield", "bond", "fall"))]
+    rows, furniture = _site(random.Random(3), 6, 360, templates)
+    # Copies of one page on one host don't make a vote.
+    rows += [(1000 + i, "https://h0.test/copy", "Copy", "Copy\nIt rained on all the days of that week. The rest of it was dry.\nThe umbrella sold in the shop at the corner was red.") for i in range(60)]
+    rows += [(2000, None, None, None), (2001, "no url", None, ""), (2002, "https://x.test", None, "x " * 50_000), (2003, None, "T", "T"), rows[0]]
+    df = spark.createDataFrame(rows, "row_ix long, url string, title string, text string").withColumn("host", F.lit("clash")).withColumn("wins", F.lit(1)).withColumn("page", F.lit(1)).withColumn("kind", F.lit(1))
+    out = mainbody.judged(df).collect()
+    got = {(r["row_ix"], r["line_no"]): r["main"] for r in out}
+    assert len(got) == len(out)  # the repeated row counts once
+    mine = {k for k, main in got.items() if not main and k[0] < 1000}
+    assert len(mine & furniture) >= 0.99 * len(furniture) and len(mine - furniture) <= 0.01 * len(got)
+    assert all(got[1000 + i, n] for i in range(60) for n in (1, 2, 3)) and got[2003, 1]
+    assert sum(r["voted"] for r in out) > 200
     text = {r["row_ix"]: r["main_text"] for r in mainbody.main_text(df).collect()}
-    assert text[60] is None and text[61] == "" and text[50] == "Story x\nIt rained all day. Sales fell.\nOutlook"
+    assert text[2000] is None and text[2001] == "" and text[1000].count("\n") == 2
     assert mainbody.judged(df.filter("false")).count() == 0
-    assert mainbody.host_paths(mainbody.read_pages(df)).filter("host = 'desk.test' AND wins < 0").count() > 0
+    paths = mainbody.host_paths(mainbody.read_pages(df, wordings=True))
+    assert paths.filter("class = 'prose' AND wins < 0 AND bound > 2").count() >= 12
+    assert {r["class"]: r["voted_lines"] for r in mainbody.vote_counts(df).collect()}["prose"] > 200
 
 
 # --- pieces
