@@ -134,7 +134,7 @@ def interpretations(value: str | None, zone: str | None = None, slashes: str = "
     Null, blank, impossible and relative times have no reading.
     """
     value = (value or "").strip()
-    if not value or len(value) > 80:
+    if not value:
         return []
     if m := _DIGITS.fullmatch(value):
         return _digits(m[1], m[2], zone)

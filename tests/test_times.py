@@ -116,6 +116,27 @@ def test_blocks_and_partitions_dont_change_results(spark):
     assert run(1, 10_000) == run(7, 16)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_open_runs_over_block_edges(spark, seed):
+    """Runs of values with two readings over one block edge, and over blocks without any pinned value."""
+    chance = random.Random(seed)
+    data, day = [], datetime(2024, 1, 1)
+    for i in range(90):
+        day += timedelta(days=chance.randrange(3))
+        v = day.strftime(chance.choice(["%d/%m/%Y", "%m/%d/%Y"]) if chance.random() < 0.93 or 30 < i < 55 else "%Y-%m-%dT%H:%M:%SZ")
+        data.append(("s", "ab"[i % 7 == 0], i, v))
+    df = spark.createDataFrame(data + [("s", None, 5, "03/04/2024"), ("t", None, None, "03/04/2024")], "stream string, source string, ix long, v string")
+    run = lambda b: sorted(map(tuple, normalize_timestamps(df, F.col("v"), F.col("source"), F.col("ix"), F.lit(None).cast("string"), F.col("stream"), slashes="both", block_rows=b).collect()), key=repr)
+    whole = run(100_000)
+    assert len(whole) == 92 and sum(r[5] > 1 for r in whole) > 20
+    assert run(1) == whole and run(4) == whole and run(33) == whole
+
+
+def test_times_of_any_length_are_read():
+    long = "2024-01-02T03:04:05." + "1" * 65 + "Z"
+    assert interpretations(long) == [("iso", 1704164645111111)]
+
+
 def test_hosts(spark):
     df = spark.createDataFrame([("https://www.A.example/x",), ("http://b.test:80/",), ("https://u@c.test?q",), ("no address",), ("",), (None,)], "url string")
     assert [r[0] for r in df.select(host_of(F.col("url"))).collect()] == ["a.example", "b.test", "c.test", None, None, None]
