@@ -87,7 +87,7 @@ _COLUMNS = ["stream", "source", "row_ix", "value", "utc_at", "notation", "readin
 
 
 def _decode(frames: Iterator[pd.DataFrame], slashes: str) -> Iterator[pd.DataFrame]:
-    """Each value with its reading. Runs at a block's edges stay open: their rows, with the pinned value they end or begin at, have all readings and a segment, twice the block's number for the first run and one more for the last."""
+    """Each value with its reading. Runs at a block's edges stay open: their rows, and the first and the last pinned value, have all readings and a segment, twice the block's number for the first run and one more for the last."""
     key, pin, out = None, None, []
     waiting: list[tuple] = []  # (row, readings) since the last pinned value
     known: dict[tuple, list] = {}
@@ -95,9 +95,9 @@ def _decode(frames: Iterator[pd.DataFrame], slashes: str) -> Iterator[pd.DataFra
     def told(row, found, chosen, done=False, segment=None):
         return (*row, iso(chosen[1]) if chosen else None, chosen[0] if chosen else None, len(found), done, segment, [x[0] for x in found] if segment is not None else None, [x[1] for x in found] if segment is not None else None)
 
-    def edge(last):
-        """The open run at a block's end with the pinned value before it, or the whole block."""
-        if waiting:
+    def edge():
+        """The pinned value last in a block and the open run after it; without any, the whole block."""
+        if key is not None:
             segment = 2 * key[2] + (pin is not None)
             if pin is not None:
                 out.append(told(pin[0], pin[1], pin[1][0], None, segment))
@@ -110,7 +110,7 @@ def _decode(frames: Iterator[pd.DataFrame], slashes: str) -> Iterator[pd.DataFra
             frame["_row"] = [None if x != x else int(x) for x in frame["_row"]]
         for stream, source, block, row, value, zone, dates_done in zip(*(frame[c].array for c in ("_stream", "_source", "_block", "_row", "_value", "_zone", "_dates_done"))):
             if (here := (stream, source, block)) != key:
-                edge(True)
+                edge()
                 key, pin = here, None
             done = False
             if value is None or value != value:
@@ -131,7 +131,7 @@ def _decode(frames: Iterator[pd.DataFrame], slashes: str) -> Iterator[pd.DataFra
                     for (one, readings), reading in zip(waiting, choose(pin[1][0], [c for _, c in waiting], found[0], [int(r[2] or 0) for r, _ in waiting])):
                         out.append(told(one, readings, reading))
                     waiting.clear()
-                elif waiting:  # the block's first run, with the pinned value after it
+                elif pin is None:  # the block's first run, with the pinned value after it
                     out.extend(told(one, readings, None, False, 2 * block) for one, readings in waiting)
                     out.append(told(record, found, found[0], None, 2 * block))
                     waiting.clear()
@@ -144,7 +144,7 @@ def _decode(frames: Iterator[pd.DataFrame], slashes: str) -> Iterator[pd.DataFra
         if len(out) > 20_000:
             yield pd.DataFrame(out, columns=_COLUMNS)
             out.clear()
-    edge(True)
+    edge()
     yield pd.DataFrame(out, columns=_COLUMNS)
 
 
@@ -241,7 +241,7 @@ def normalize_timestamps(
     if only_changed:
         settled = settled.filter("NOT done AND utc_at IS NOT NULL")
     out, open_ = settled.select(*names), told.filter("segment IS NOT NULL")
-    if open_.isEmpty():
+    if open_.filter("readings > 1").isEmpty():
         return out
     keys = ["stream", "source", "segment"]
     laid = open_.select(*keys, "row_ix", "value", "kinds", "instants")
