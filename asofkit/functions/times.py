@@ -22,13 +22,6 @@ def next_month(day: Column) -> Column:
     return F.to_date(F.add_months(F.trunc(day, "MM"), 1))
 
 
-def strict_time(text: Column) -> Column:
-    """A time written `YYYY-MM-DDThh:mm:ssZ` or `YYYYMMDDThhmmssZ`; null for anything else."""
-    t = F.trim(text)
-    iso = F.when(t.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ssX")))
-    return F.coalesce(iso, F.when(t.rlike(r"^\d{8}T\d{6}Z$"), F.try_to_timestamp(t, F.lit("yyyyMMdd'T'HHmmssX"))))
-
-
 def strict_date(text: Column) -> Column:
     t = F.trim(text)
     return F.when(t.rlike(r"^\d{4}-\d\d-\d\d$"), F.to_date(F.try_to_timestamp(t, F.lit("yyyy-MM-dd"))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from asofkit.functions.ids import json_list_id
 from asofkit.functions.text import OPPOSITES, display_text, html_body_udf, label_score, letters_and_digits, plain_title_form_udf, stratum, title_form_udf, trust_tier
 from asofkit.operators import clusters, features, metrics, sampling, scoring, setjoin, validate
-from asofkit.plans.common import NEWS_SQL, SCORED_SQL, all_times, news, scored_documents, strict_news, text_time
+from asofkit.plans.common import NEWS_SQL, SCORED_SQL, news, scored_documents, text_time
 from asofkit.session import cut, table
 from asofkit.sources.tables import sample_rows
 from asofkit.streaming.online import daily_counts, run_once
@@ -76,13 +76,14 @@ def threshold_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
 
 def review_sample(spark: SparkSession, folder: str) -> DataFrame:
     rows = cut(_manifest(spark, folder))
-    none = rows.filter("false").select("cluster_id")
-    return clusters.review_sample(rows.select("cluster_id", "item_id", "ts"), rows.select("cluster_id", "link_similarity"), none, THRESHOLD)
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    against = clusters.opposed_clusters(rows.select("cluster_id", "item_id").join(texts, "item_id"), "cluster_id", "item_id", "text")
+    return clusters.review_sample(rows.select("cluster_id", "item_id", "ts"), rows.select("cluster_id", "link_similarity"), against, THRESHOLD)
 
 
 def event_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Headlines linked to the most similar earlier one within 72 hours by words, without opposite directions."""
-    rows = news(spark, folder).filter("ts IS NOT NULL").select("row_ix", "ts", "title", "form", F.array_distinct(F.split("form", r"\s+")).alias("words"))
+    rows = news(spark, folder, "plain").filter("ts IS NOT NULL").select("row_ix", "ts", "title", "form", F.array_distinct(F.split("form", r"\s+")).alias("words"))
     items = cut(rows)
     near = F.abs(F.unix_micros("a.ts") - F.unix_micros("b.ts")) <= clusters.HOURS * 3_600_000_000
     # Equal word sets are held once per time, as a set join needs distinct sets.
@@ -102,21 +103,22 @@ def event_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def opposed_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    rows = strict_news(spark, folder).filter("cluster IS NOT NULL")
+    """Domains, in any case, with headlines of opposite directions."""
+    rows = table(spark, folder, "cluster_news_titles").select("row_ix", "title", F.lower(F.trim("domain")).alias("cluster")).filter("cluster IS NOT NULL")
     return clusters.opposed_clusters(rows, "cluster", "row_ix", "title")
 
 
-def _cluster_table(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
-    return sampling.cluster_table(read(spark, folder).filter("cluster IS NOT NULL AND ts IS NOT NULL"))
+def _cluster_table(spark: SparkSession, folder: str, form: str = "lower") -> DataFrame:
+    return sampling.cluster_table(news(spark, folder, form).filter("cluster IS NOT NULL AND ts IS NOT NULL"))
 
 
-def cluster_table(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
-    out = _cluster_table(spark, folder, read)
+def cluster_table(spark: SparkSession, folder: str) -> DataFrame:
+    out = _cluster_table(spark, folder)
     return out.select("cluster", "cluster_size", text_time("first_at").alias("first_at"), text_time("last_at").alias("last_at"), F.round("span_hours", 6).alias("span_hours"), "domain_count", "representative_row", "year", "split", "crosses_splits")
 
 
-def split_crossings(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
-    return _cluster_table(spark, folder, read).groupBy("split").agg(F.count("*").alias("clusters"), F.count_if("crosses_splits").alias("crossing"))
+def split_crossings(spark: SparkSession, folder: str) -> DataFrame:
+    return _cluster_table(spark, folder).groupBy("split").agg(F.count("*").alias("clusters"), F.count_if("crosses_splits").alias("crossing"))
 
 
 def address_slots(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,32 +126,26 @@ def address_slots(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.address_slots(rows, sampling.cluster_table(rows))
 
 
-def size_distribution(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
-    out = sampling.size_distribution(_cluster_table(spark, folder, read), "cluster_size")
+def size_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    out = sampling.size_distribution(_cluster_table(spark, folder), "cluster_size")
     return out.select("clusters", "singletons", "size_2_3", "size_4_plus", "largest", F.round("mean_size", 6).alias("mean_size"), F.round("median_size", 6).alias("median_size"))
 
 
-def strata(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+def strata(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters by year and stratum."""
-    return _cluster_table(spark, folder, read).groupBy("year", stratum(F.col("cluster_size"), F.col("form"), F.col("title")).alias("stratum")).agg(F.count("*").alias("n"))
+    return _cluster_table(spark, folder).groupBy("year", stratum(F.col("cluster_size"), F.col("form"), F.col("title")).alias("stratum")).agg(F.count("*").alias("n"))
 
 
 def round_robin(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 30 turns of each year: a cut of round_robin_order, which its SQL has too."""
-    drawn = sampling.round_robin(_cluster_table(spark, folder).filter("split IS NOT NULL"))
-    return drawn.filter("turn <= 30").select("year", "turn", "stratum", "cluster")
-
-
-def round_robin_order(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
     """The turn of every cluster in its year."""
-    drawn = sampling.round_robin(_cluster_table(spark, folder, read).filter("split IS NOT NULL"))
+    drawn = sampling.round_robin(_cluster_table(spark, folder).filter("split IS NOT NULL"))
     return drawn.select("year", "turn", "stratum", "cluster")
 
 
 def quota_sample(spark: SparkSession, folder: str) -> DataFrame:
     # The pilot's quotas by year.
     quotas = {2020: 37, 2021: 34, 2022: 34, 2023: 38, 2024: 46, 2025: 48, 2026: 23}
-    return sampling.quota_sample(_cluster_table(spark, folder, news), quotas).select("sample_id", "cluster", "year", "split", "stratum")
+    return sampling.quota_sample(_cluster_table(spark, folder, "title"), quotas).select("sample_id", "cluster", "year", "split", "stratum")
 
 
 def counts_by_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,14 +161,14 @@ def cross_split_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def similar_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of different headlines that share three quarters of their words."""
-    rows = strict_news(spark, folder).select("row_ix", F.array_sort("words").alias("words")).filter(F.size("words") > 0)
+    rows = news(spark, folder, times=False).select("row_ix", F.array_sort("words").alias("words")).filter(F.size("words") > 0)
     sets = cut(rows.groupBy("words").agg(F.min("row_ix").alias("row_ix")))
     out = setjoin.similar_sets(sets, "row_ix", "words", 0.75)
     return out.select("key_a", "key_b", F.round("similarity", 6).alias("similarity"))
 
 
 def trust_tiers(spark: SparkSession, folder: str) -> DataFrame:
-    return strict_news(spark, folder).groupBy(trust_tier(F.col("domain")).alias("tier")).agg(F.count("*").alias("n"), F.sum(letters_and_digits(F.col("title"))).alias("letters"))
+    return news(spark, folder, times=False).groupBy(trust_tier(F.col("domain")).alias("tier")).agg(F.count("*").alias("n"), F.sum(letters_and_digits(F.col("title"))).alias("letters"))
 
 
 def title_forms(spark: SparkSession, folder: str) -> DataFrame:
@@ -278,10 +274,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         causal_links, causal_clusters, cluster_representatives, fetch_ranks, cluster_sizes_asof, threshold_sensitivity, review_sample, event_clusters, opposed_clusters, cluster_table, split_crossings,
-        address_slots, size_distribution, strata, round_robin, round_robin_order, quota_sample, counts_by_split, cross_split_pairs, similar_titles, trust_tiers, title_forms, document_ids, html_bodies, chunk_scores, unscored,
+        address_slots, size_distribution, strata, round_robin, quota_sample, counts_by_split, cross_split_pairs, similar_titles, trust_tiers, title_forms, document_ids, html_bodies, chunk_scores, unscored,
         source_sample, extraction_check, multidimensional_means, annotation_check, candidate_softmax, previews, stream_daily_counts,
     )
-} | all_times(cluster_table, split_crossings, size_distribution, strata, round_robin_order)
+}
 
 _LINKS = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
     s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e), 9) AS sim FROM u a JOIN u b ON b.vec_id < a.vec_id AND a.vec_id - b.vec_id <= 72),
@@ -329,9 +325,7 @@ ORACLES = {
     "size_distribution": f"""WITH {_TABLE} SELECT count(*) AS clusters, count(*) FILTER (cluster_size = 1) AS singletons, count(*) FILTER (cluster_size BETWEEN 2 AND 3) AS size_2_3,
         count(*) FILTER (cluster_size >= 4) AS size_4_plus, max(cluster_size) AS largest, round(avg(cluster_size), 6) AS mean_size, round(quantile_cont(cluster_size, 0.5), 6) AS median_size FROM part""",
     "strata": f"WITH {_STRATA} SELECT year, stratum, count(*) AS n FROM strata GROUP BY ALL",
-    "round_robin": f"""WITH {_STRATA}, r AS (SELECT *, row_number() OVER (PARTITION BY year, stratum ORDER BY sha256('42:' || cluster), cluster) AS k FROM strata WHERE split IS NOT NULL),
-        t AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY k, stratum) AS turn FROM r) SELECT year, turn, stratum, cluster FROM t WHERE turn <= 30""",
-    "round_robin_order": f"""WITH {_STRATA}, r AS (SELECT *, row_number() OVER (PARTITION BY year, stratum ORDER BY sha256('42:' || cluster), cluster) AS k FROM strata WHERE split IS NOT NULL)
+    "round_robin": f"""WITH {_STRATA}, r AS (SELECT *, row_number() OVER (PARTITION BY year, stratum ORDER BY sha256('42:' || cluster), cluster) AS k FROM strata WHERE split IS NOT NULL)
         SELECT year, row_number() OVER (PARTITION BY year ORDER BY k, stratum) AS turn, stratum, cluster FROM r""",
     "counts_by_split": """WITH c AS (SELECT lower(trim(split)) AS split, count(*) AS n FROM select_news_pilot GROUP BY 1)
         SELECT k.split, coalesce(n, 0) AS n FROM (SELECT unnest(['train', 'validation', 'test', 'holdout']) AS split) k LEFT JOIN c ON k.split = c.split""",
@@ -348,7 +342,7 @@ ORACLES = {
     "stream_daily_counts": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS kind, count(*) AS n FROM events GROUP BY ALL",
     "trust_tiers": """SELECT CASE WHEN trim(coalesce(domain, '')) = '' THEN 4 ELSE 3 END AS tier, count(*) AS n, CAST(sum(length(regexp_replace(title, '[^A-Za-z0-9]', '', 'g'))) AS BIGINT) AS letters
         FROM cluster_news_titles GROUP BY 1""",
-    "opposed_clusters": "WITH h AS (SELECT lower(trim(preliminary_cluster_id)) AS cluster, regexp_extract_all(lower(coalesce(title, '')), '[a-z]+') AS w FROM cluster_news_titles WHERE preliminary_cluster_id IS NOT NULL),"
+    "opposed_clusters": "WITH h AS (SELECT lower(trim(domain)) AS cluster, regexp_extract_all(lower(coalesce(title, '')), '[a-z]+') AS w FROM cluster_news_titles WHERE domain IS NOT NULL),"
     " g AS (SELECT cluster, "
     + ", ".join(f"count(*) FILTER (list_contains(w, '{x}')) AS a{i}, count(*) FILTER (list_contains(w, '{y}')) AS b{i}, count(*) FILTER (list_contains(w, '{x}') AND list_contains(w, '{y}')) AS c{i}" for i, (x, y) in enumerate(OPPOSITES))
     + " FROM h GROUP BY cluster) SELECT cluster FROM g WHERE "

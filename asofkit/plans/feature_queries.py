@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from asofkit.functions.text import split_of_year
 from asofkit.functions.times import as_of_latest, checked_calendar, checked_prices, forward_returns, market_day, next_calendar_day, week_ending_sunday, weekday_calendar
 from asofkit.operators import clusters, features
-from asofkit.plans.common import END, NEWS_SQL, SCORED_SQL, START, all_times, scored_documents, strict_news, text_time
+from asofkit.plans.common import END, NEWS_SQL, SCORED_SQL, START, news, scored_documents, text_time
 from asofkit.session import table
 
 #: The star tables' dates are moved by so many months to overlap the documents'.
@@ -22,7 +22,9 @@ def _texts(df: DataFrame) -> DataFrame:
 
 def _trends(spark: SparkSession, folder: str) -> DataFrame:
     month = F.trunc(F.add_months(F.to_date("o_orderdate"), SHIFT_MONTHS), "MM")
-    return table(spark, folder, "orders").groupBy(month.alias("date"), F.col("o_orderpriority").alias("keyword")).agg(F.count("*").cast("double").alias("value")).withColumn("is_partial", F.lit("false"))
+    found = table(spark, folder, "orders").groupBy(month.alias("date"), F.col("o_orderpriority").alias("keyword")).agg(F.count("*").cast("double").alias("value"))
+    last = found.groupBy("keyword").agg(F.max("date").alias("last"))  # each keyword's last month isn't over
+    return found.join(last, "keyword").withColumn("is_partial", F.when(F.col("date") == F.col("last"), "True").otherwise("False")).drop("last")
 
 
 def _prices(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,11 +39,7 @@ def weekly_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def daily_features(spark: SparkSession, folder: str) -> DataFrame:
-    return _texts(features.source_features(scored_documents(spark, folder), "2022-01-01", "2023-12-31", weekly=False, sources=("news",)))
-
-
-def daily_features_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The daily table of all sources over the whole time, as weekly_features; daily_features is the news of two years of it."""
+    """The daily table of all sources over the whole time, as weekly_features."""
     return _texts(features.source_features(scored_documents(spark, folder), START, END, weekly=False))
 
 
@@ -91,25 +89,25 @@ def lookback_windows(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("date").cast("string").alias("date"), total.alias("documents_8_weeks"), F.col("window")[0]["news_document_count"].alias("first_week"))
 
 
-def trading_dates(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+def trading_dates(spark: SparkSession, folder: str) -> DataFrame:
     """Headlines by trading date: New York's day, from 16:00 on the next, then the next weekday."""
-    rows = read(spark, folder).filter("ts IS NOT NULL").withColumn("day", market_day(F.col("ts")))
+    rows = news(spark, folder).filter("ts IS NOT NULL").withColumn("day", market_day(F.col("ts")))
     out = next_calendar_day(rows, "day", checked_calendar(weekday_calendar(spark)), "trading_date")
     return out.select("row_ix", F.col("trading_date").cast("string").alias("trading_date"))
 
 
-def asof_dissemination(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
-    out = clusters.as_of_counts(read(spark, folder), "cluster", "ts", "domain", until="2025-12-31")
+def asof_dissemination(spark: SparkSession, folder: str) -> DataFrame:
+    out = clusters.as_of_counts(news(spark, folder), "cluster", "ts", "domain", until="2025-12-31")
     return _texts(out.select("row_ix", "size_asof", "domains_asof", "span_hours_asof"))
 
 
-def _aligned(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
-    rows = clusters.as_of_counts(read(spark, folder), "cluster", "ts", "domain").filter("ts IS NOT NULL").withColumn("day", market_day(F.col("ts")))
+def _aligned(spark: SparkSession, folder: str) -> DataFrame:
+    rows = clusters.as_of_counts(news(spark, folder), "cluster", "ts", "domain").filter("ts IS NOT NULL").withColumn("day", market_day(F.col("ts")))
     return next_calendar_day(rows, "day", weekday_calendar(spark), "effective_trading_date")
 
 
-def daily_dissemination(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
-    return _texts(features.daily_dissemination(_aligned(spark, folder, read)))
+def daily_dissemination(spark: SparkSession, folder: str) -> DataFrame:
+    return _texts(features.daily_dissemination(_aligned(spark, folder)))
 
 
 def daily_sentiment(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,22 +115,22 @@ def daily_sentiment(spark: SparkSession, folder: str) -> DataFrame:
     return _texts(features.daily_sentiment(rows))
 
 
-def sentiment_with_dissemination(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+def sentiment_with_dissemination(spark: SparkSession, folder: str) -> DataFrame:
     """Daily sentiment joined one to one with the day's dissemination."""
     rows = scored_documents(spark, folder).withColumnRenamed("available_date", "effective_trading_date")
     days = features.daily_sentiment(rows).select("effective_trading_date", "item_count", "has_data")
-    return _texts(features.one_to_one(days, features.daily_dissemination(_aligned(spark, folder, read)), "effective_trading_date"))
+    return _texts(features.one_to_one(days, features.daily_dissemination(_aligned(spark, folder)), "effective_trading_date"))
 
 
-def snapshots(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
-    rows = _aligned(spark, folder, read).withColumnRenamed("effective_trading_date", "trading_date").filter("cluster IS NOT NULL")
+def snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _aligned(spark, folder).withColumnRenamed("effective_trading_date", "trading_date").filter("cluster IS NOT NULL")
     out = features.snapshots(rows)
     return _texts(out.select("cluster", "trading_date", "cluster_size", "domain_count", "span_hours", "first_row", text_time("published_at").alias("published_at")))
 
 
-def snapshot_summary(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+def snapshot_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Rows, clusters and snapshots, and the means and largest of the snapshots."""
-    rows = _aligned(spark, folder, read).withColumnRenamed("effective_trading_date", "trading_date").filter("cluster IS NOT NULL")
+    rows = _aligned(spark, folder).withColumnRenamed("effective_trading_date", "trading_date").filter("cluster IS NOT NULL")
     d = features.snapshots(rows)
     return d.agg(
         F.sum("cluster_size").alias("rows_total"), F.count_distinct("cluster").alias("clusters"), F.count("*").alias("snapshots"), F.round(F.avg("cluster_size"), 6).alias("mean_size"), F.max("cluster_size").alias("largest"), F.max("domain_count").alias("most_domains")
@@ -150,19 +148,19 @@ def daily_text(spark: SparkSession, folder: str) -> DataFrame:
     return features.daily_text(rows).select(F.col("date").cast("string").alias("date"), "item_count", "negative_count", "neutral_count", "positive_count", F.round("score_sum", 3).alias("score_sum"))
 
 
-def split_counts(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
+def split_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Headlines by the split of their year, and by the Sunday their week ends on in the last of these splits."""
-    rows = read(spark, folder).filter("ts IS NOT NULL")
+    rows = news(spark, folder).filter("ts IS NOT NULL")
     return rows.groupBy(split_of_year(F.year("ts")).alias("split"), F.year(week_ending_sunday(F.to_date("ts"))).alias("week_year")).agg(F.count("*").alias("n"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        flagship, weekly_features, daily_features, daily_features_all, trend_asof, future_label, temporal_split, scaling, lookback_windows, trading_dates, asof_dissemination, daily_dissemination, daily_sentiment,
+        flagship, weekly_features, daily_features, trend_asof, future_label, temporal_split, scaling, lookback_windows, trading_dates, asof_dissemination, daily_dissemination, daily_sentiment,
         sentiment_with_dissemination, snapshots, snapshot_summary, weekly_text, daily_text, split_counts,
     )
-} | all_times(trading_dates, asof_dissemination, daily_dissemination, sentiment_with_dissemination, snapshots, snapshot_summary, split_counts)
+}
 
 _VALID = "label IN ('negative', 'neutral', 'positive') AND trim(coalesce(error, '')) = ''"
 
@@ -184,7 +182,8 @@ def _weekly_sql(bucket: str, start: str, end: str, sources: tuple[str, ...], wee
 _SUNDAY = "available_date + CAST((7 - isodow(available_date)) AS INTEGER)"
 _WEEKLY = _weekly_sql(_SUNDAY, START, END, features.SOURCES, True)
 _SHIFTED = "CAST(CAST({0} AS DATE) + INTERVAL 28 YEAR AS DATE)"
-_TRENDS = f"""months AS (SELECT CAST(date_trunc('month', {_SHIFTED.format("o_orderdate")}) AS DATE) AS date, o_orderpriority AS keyword, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY ALL),
+_TRENDS = f"""all_months AS (SELECT CAST(date_trunc('month', {_SHIFTED.format("o_orderdate")}) AS DATE) AS date, o_orderpriority AS keyword, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY ALL),
+    months AS (SELECT * FROM all_months a WHERE date < (SELECT max(date) FROM all_months b WHERE b.keyword = a.keyword)),
     known AS (SELECT keyword, CAST(date + INTERVAL 1 MONTH AS DATE) AS known_from, value, lead(CAST(date + INTERVAL 1 MONTH AS DATE)) OVER (PARTITION BY keyword ORDER BY date) AS until FROM months)"""
 _PRICES = f"""prices AS (SELECT {_SHIFTED.format("l_shipdate")} AS date, (CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) // count(*)) / 100 AS close FROM lineitem GROUP BY 1),
     spans AS (SELECT lag(date) OVER o AS before, date AS entry, close AS entry_close, lead(date, 5) OVER o AS exit, lead(close, 5) OVER o AS exit_close FROM prices WHERE close > 0 WINDOW o AS (ORDER BY date))"""
@@ -214,8 +213,7 @@ _S = f"{SCORED_SQL}, s AS (SELECT *, lower(trim(label)) AS l, coalesce(lower(tri
 
 ORACLES = {
     "weekly_features": f"WITH {_WEEKLY} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM weekly",
-    "daily_features": f"WITH {_weekly_sql('available_date', '2022-01-01', '2023-12-31', ('news',), False)} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM weekly",
-    "daily_features_all": f"WITH {_weekly_sql('available_date', START, END, features.SOURCES, False)} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM weekly",
+    "daily_features": f"WITH {_weekly_sql('available_date', START, END, features.SOURCES, False)} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM weekly",
     "trend_asof": f"""WITH {_TRENDS}, {_SUNDAYS}, words AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS keyword)
         SELECT CAST(s.date AS VARCHAR) AS date, w.keyword, coalesce(value, 0) AS value, CAST(value IS NULL AS INTEGER) AS missing FROM sundays s CROSS JOIN words w
         LEFT JOIN known k ON k.keyword = w.keyword AND s.date >= known_from AND (until IS NULL OR s.date < until)""",

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from asofkit.functions.ids import with_stable_ids
 from asofkit.functions.text import answered_label, one_label_only
-from asofkit.functions.times import strict_time
 from asofkit.operators import dedup, metrics, quality
 from asofkit.operators.documents import preparation_summary, prepared
-from asofkit.plans.common import NEWS_SQL, SCORED_SQL, TIME_SQL, all_times, news, scored_documents, strict_news
+from asofkit.plans.common import NEWS_SQL, SCORED_SQL, news, scored_documents
 from asofkit.plans.times import read_times
+from asofkit.plans.timesql import headline_times
 from asofkit.session import table
 
 _COLUMNS = ["date", "title", "content", "summary", "url", "source", "speaker", "section", "quarter", "fiscal_year", "filing_date", "chunk_id"]
@@ -34,12 +34,6 @@ def profile_dates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def observed_volumes(spark: SparkSession, folder: str) -> DataFrame:
-    out = quality.observed_volumes(table(spark, folder, "cluster_news_titles"), F.to_date(strict_time(F.col("seendate"))))
-    return out.select("unit", F.col("period_start").cast("string").alias("period_start"), "rows_seen")
-
-
-def observed_volumes_all_times(spark: SparkSession, folder: str) -> DataFrame:
-    """observed_volumes with days of every notation; its SQL reads two."""
     out = quality.observed_volumes(read_times(spark, folder, "seendate"), F.to_date("ts"))
     return out.select("unit", F.col("period_start").cast("string").alias("period_start"), "rows_seen")
 
@@ -54,8 +48,8 @@ def duplicate_counts(spark: SparkSession, folder: str) -> DataFrame:
     return quality.duplicate_counts(rows, {"all_columns": _COLUMNS, "date+title+url": ["date", "title", "url"], "date+title": ["date", "title"]})
 
 
-def titles_across_days(spark: SparkSession, folder: str, read=strict_news) -> DataFrame:
-    return quality.spread_keys(read(spark, folder), F.col("form"), F.col("day"))
+def titles_across_days(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.spread_keys(news(spark, folder), F.col("form"), F.col("day"))
 
 
 def union_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,7 +72,7 @@ def stable_row_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def group_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    rows = strict_news(spark, folder).select("row_ix", "cluster")
+    rows = news(spark, folder, times=False).select("row_ix", "cluster")
     return quality.with_group_size(rows, ["cluster"], "cluster_size")
 
 
@@ -90,11 +84,11 @@ def cluster_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def duplicate_components(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.duplicate_components(news(spark, folder).drop("title", "domain", "cluster"))
+    return dedup.duplicate_components(news(spark, folder, "title").drop("title", "domain", "cluster"))
 
 
 def sequential_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.sequential_duplicates(news(spark, folder).drop("title", "domain", "cluster"))
+    return dedup.sequential_duplicates(news(spark, folder, "plain").drop("title", "domain", "cluster"))
 
 
 def prepared_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,11 +174,11 @@ def first_seen_documents(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        profile_columns, profile_lengths, profile_dates, observed_volumes, observed_volumes_all_times, ten_k_items, duplicate_counts, titles_across_days, union_dedup, key_conflicts, stable_row_ids, group_sizes, cluster_status,
+        profile_columns, profile_lengths, profile_dates, observed_volumes, ten_k_items, duplicate_counts, titles_across_days, union_dedup, key_conflicts, stable_row_ids, group_sizes, cluster_status,
         duplicate_components, sequential_duplicates, prepared_documents, preparation_counts, quality_flag_counts, consolidation_flags, run_summary, label_shares, confusion, class_metrics, probe_summary,
         repeat_consistency, parsed_answers, first_seen_documents, inventory,
     )
-} | all_times(titles_across_days)
+}
 
 _BLANK = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g')) = ''"
 _ITEM = """SELECT 'Item {0}' AS item, count(*) FILTER (t) AS content_rows, count(*) FILTER (l) AS label_rows, count(*) FILTER (t OR l) AS either_rows FROM (
@@ -207,7 +201,7 @@ ORACLES = {
             count(*) FILTER (n = 0) AS blank_rows FROM n GROUP BY source""",
     "profile_dates": """WITH d AS (SELECT CASE WHEN regexp_full_match(trim(date), '\\d{4}-\\d\\d-\\d\\d') THEN CAST(try_strptime(trim(date), '%Y-%m-%d') AS DATE) END AS d FROM inspect_text_datasets)
         SELECT count(d) AS parsed, count(*) - count(d) AS unparsed, round(count(d) / count(*), 6) AS parse_ratio, CAST(min(d) AS VARCHAR) AS earliest, CAST(max(d) AS VARCHAR) AS latest FROM d""",
-    "observed_volumes": f"""WITH d AS (SELECT CAST({TIME_SQL.format("seendate")} AS DATE) AS d FROM cluster_news_titles)
+    "observed_volumes": f"""WITH {headline_times("seendate")}, d AS (SELECT CAST(ts AS DATE) AS d FROM seendate_times)
         SELECT 'day' AS unit, CAST(d AS VARCHAR) AS period_start, count(*) AS rows_seen FROM d WHERE d IS NOT NULL GROUP BY d
         UNION ALL SELECT 'week', CAST(CAST(date_trunc('week', d) AS DATE) AS VARCHAR), count(*) FROM d WHERE d IS NOT NULL GROUP BY date_trunc('week', d)""",
     "ten_k_items": " UNION ALL ".join(_ITEM.format(i) for i in ("1", "1A", "7", "7A")),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofkit.operators.timestamps import host_of, normalize_timestamps
+from asofkit.plans.timesql import FOUND_SQL, headline_times
 from asofkit.session import table
 
 
@@ -69,4 +70,11 @@ def p5_normalized(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_normalized": p5_normalized, "unread_times": unread_times}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p5_found": FOUND_SQL,
+    "unread_times": " UNION ALL ".join(
+        f"""SELECT * FROM (WITH {headline_times(c)} SELECT '{c}' AS field_name, count(*) AS rows_total, count(*) FILTER (trim(coalesce(v, '')) = '') AS blank, count(ts) AS read,
+            count(*) FILTER (trim(coalesce(v, '')) <> '' AND ts IS NULL) AS unread FROM {c}_times)"""
+        for c in ("seendate", "published_at")
+    ),
+}

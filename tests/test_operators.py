@@ -349,7 +349,6 @@ def test_round_robin_order_has_every_cluster(spark, tmp_path):
     pd.DataFrame({
         "row_ix": range(n), "published_at": [f"{2023 + i % 2}-03-01T00:00:00Z" for i in range(n)], "title": [f"{'shares' if i % 3 else 'gain'} {i}" for i in range(n)], "domain": "a", "url": "", "preliminary_cluster_id": [f"c{i}" for i in range(n)],
     }).to_parquet(tmp_path / "cluster_news_titles.parquet")
-    for name in ("round_robin_order", "round_robin_order_all_times"):
-        got = catalog.queries()[name](spark, str(tmp_path)).collect()
-        assert sorted((r["year"], r["turn"]) for r in got) == [(y, k) for y in (2023, 2024) for k in range(1, n // 2 + 1)]
-        assert {r["cluster"] for r in got} == {f"c{i}" for i in range(n)}
+    got = catalog.queries()["round_robin"](spark, str(tmp_path)).collect()
+    assert sorted((r["year"], r["turn"]) for r in got) == [(y, k) for y in (2023, 2024) for k in range(1, n // 2 + 1)]
+    assert {r["cluster"] for r in got} == {f"c{i}" for i in range(n)}

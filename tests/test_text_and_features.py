@@ -259,6 +259,6 @@ def test_daily_table_has_all_sources_and_years(spark, tmp_path):
     pd.DataFrame({
         "row_ix": range(len(data)), "document_id": "d", "available_date": [d for d, _ in data], "source_type": [s for _, s in data], "sentiment_label": "positive", "sentiment_score": 0.5, "fingpt_error": "", "text": "t",
     }).to_parquet(tmp_path / "pipeline_sentiment.parquet")
-    got = {r["date"]: r for r in catalog.queries()["daily_features_all"](spark, str(tmp_path)).collect()}
+    got = {r["date"]: r for r in catalog.queries()["daily_features"](spark, str(tmp_path)).collect()}
     assert len(got) == (date(2026, 12, 31) - date(2020, 1, 1)).days + 1
     assert {d for d, r in got.items() if all(r[f"{s}_positive_count"] == 1 and r[f"{s}_missing"] == 0 for s in features.SOURCES)} == {"2020-01-01", "2022-05-05", "2026-12-31"}

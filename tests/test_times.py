@@ -162,7 +162,7 @@ def test_found_query_leaves_canonical_values_out(spark, tmp_path):
 
 
 def test_headlines_of_every_notation_are_counted(spark, tmp_path, rows):
-    """Against datetime; the queries with SQL have a whole counterpart, as the SQL reads two notations."""
+    """Against datetime."""
     from datetime import datetime, timezone
     from email.utils import format_datetime
 
@@ -181,10 +181,10 @@ def test_headlines_of_every_notation_are_counted(spark, tmp_path, rows):
     run = lambda name: rows(catalog.queries()[name](spark, str(tmp_path)))
     at[5], at[6], at[7] = (datetime(2024, 1, 2, h, 30, tzinfo=timezone.utc) for h in (6, 7, 8))
     assert run("event_clusters") == [(i, 0) for i in range(8)]
-    assert [r[1] for r in run("cluster_table_all_times")] == [8] and [r[1] for r in run("cluster_table")] == [2]
-    seen = {r[0]: r[1:] for r in run("asof_dissemination_all_times")}
+    assert [r[1] for r in run("cluster_table")] == [8]
+    seen = {r[0]: r[1:] for r in run("asof_dissemination")}
     assert seen[7] == (8, 2, 7.0) and seen[8] == (0, 0, 0.0)
-    assert run("observed_volumes_all_times") == [("day", "2024-01-02", 8), ("week", "2024-01-01", 8)]
+    assert run("observed_volumes") == [("day", "2024-01-02", 8), ("week", "2024-01-01", 8)]
     assert run("unread_times") == [("published_at", 11, 2, 8, 1), ("seendate", 11, 2, 8, 1)]
     from asofkit.plans.common import news
 
