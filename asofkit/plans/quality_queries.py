@@ -62,8 +62,9 @@ def union_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def key_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "pipeline_documents").select("document_id", "date", "available_date", "title", "url", "text").distinct()
-    return dedup.conflicts(rows.filter("document_id IS NOT NULL"), ["document_id"])
+    """Orders that are shipped in different rows on one day."""
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_shipdate", "l_partkey", "l_quantity").distinct()
+    return dedup.conflicts(rows, ["l_orderkey", "l_shipdate"]).withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
 
 
 def stable_row_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,8 +215,8 @@ ORACLES = {
         a AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS rows_in FROM i GROUP BY 1),
         b AS (SELECT month, count(*) AS rows_out FROM (SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m') AS month, o_orderdate FROM i) GROUP BY 1)
         SELECT a.month, rows_in, rows_out, rows_in - rows_out AS removed FROM a JOIN b ON a.month = b.month""",
-    "key_conflicts": """SELECT document_id, count(*) AS rows_of_key FROM (SELECT DISTINCT document_id, date, available_date, title, url, text FROM pipeline_documents WHERE document_id IS NOT NULL)
-        GROUP BY document_id HAVING count(*) > 1""",
+    "key_conflicts": """SELECT l_orderkey, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, count(*) AS rows_of_key FROM (SELECT DISTINCT l_orderkey, l_shipdate, l_partkey, l_quantity FROM lineitem)
+        GROUP BY l_orderkey, l_shipdate HAVING count(*) > 1""",
     "stable_row_ids": """WITH p AS (SELECT row_ix, '{"available_date":"' || coalesce(available_date, '') || '","document_id":"' || coalesce(document_id, '') || '","sentiment_label":"' || coalesce(sentiment_label, '')
             || '","source_type":"' || coalesce(source_type, '') || '"}' AS payload FROM pipeline_sentiment),
         o AS (SELECT row_ix, payload, row_number() OVER (PARTITION BY payload ORDER BY row_ix) AS occurrence FROM p)
