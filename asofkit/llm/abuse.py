@@ -31,9 +31,16 @@ MOST_LABELLED, FOLDS = 20_000, 3
 #: The log-odds of a passage of which nothing is known.
 PRIOR = -3.0
 
-# Identity terms that are swapped for one another, by how they are used in a sentence.
-_PLURAL = "women men girls boys gays lesbians foreigners immigrants refugees muslims jews christians hindus buddhists catholics atheists blacks whites asians africans mexicans indians arabs europeans americans pensioners".split()
-_SINGULAR = "woman man girl boy gay lesbian foreigner immigrant refugee muslim jew christian hindu catholic black white asian african mexican indian arab".split()
+# Identity terms that are swapped for one another, by language and by how they are used in a sentence.
+_POOLS = [x.split() for x in (
+    "women men girls boys gays lesbians foreigners immigrants refugees muslims jews christians hindus buddhists catholics atheists blacks whites asians africans mexicans indians arabs europeans americans pensioners",
+    "woman man girl boy gay lesbian foreigner immigrant refugee muslim jew christian hindu catholic black white asian african mexican indian arab",
+    "frauen männer mädchen jungen ausländer einwanderer flüchtlinge muslime juden christen katholiken schwule lesben türken polen russen araber rentner",
+    "femmes hommes filles garçons étrangers immigrés réfugiés musulmans juifs chrétiens catholiques arabes africains roms retraités",
+    "mujeres hombres niñas niños extranjeros inmigrantes refugiados musulmanes judíos cristianos católicos árabes africanos gitanos jubilados",
+    "女人 男人 女性 男性 移民 难民 老人 外国",
+)]
+_POOL_OF = {w: pool for pool in reversed(_POOLS) for w in pool}
 # Names of peoples are also known by their endings.
 _PEOPLE = re.compile(r"[A-Z][a-z]{3,}(?:ese|ites?|ians?|ish|ans|aris?)$")
 _SENTENCE = re.compile(r"[\n\r]+|(?<=[.!?…])[\"'”’)]*\s+|(?<=[。！？])")
@@ -128,10 +135,10 @@ def word_features(word: str) -> list[int]:
         out.append(_id("hidden", ""))
     if len(word) > 3:
         out.append(_id("b", word[0] + "".join(sorted(word[1:]))))
-    if 3 < len(word) < 12:
+    if len(word) > 3:
         out.append(_id("e", f"{word[0]}{word[-1]}{len(word)}"))
     if len(word) > 4:
-        out += [_id("p", word[i : i + 4]) for i in range(min(len(word), 60) - 3)]
+        out += [_id("p", word[i : i + 4]) for i in range(len(word) - 3)]
     return out
 
 
@@ -144,10 +151,11 @@ def word_number(word: str) -> int:
 
 
 def features(words: list[str]) -> np.ndarray:
+    """The features of a passage, each as often as it occurs."""
     ids = [f for w in words for f in word_features(w)]
     numbers = [*map(word_number, words)]
     ids += [pair_feature(a, b) for a, b in zip(numbers, numbers[1:])]
-    return np.unique(np.array(ids, dtype=np.int64))
+    return np.array(ids, dtype=np.int64)
 
 
 def identity_terms(sentences: list[str]) -> set[str]:
@@ -158,7 +166,7 @@ def identity_terms(sentences: list[str]) -> set[str]:
             w = w.strip(_EDGE)
             if _PEOPLE.fullmatch(w) and not w.isupper():
                 found[w.lower()] += 1
-    return {*_PLURAL, *_SINGULAR} | {w for w, n in found.items() if n >= 2}
+    return {*_POOL_OF} | {w for w, n in found.items() if n >= 2}
 
 
 def swapped(words: list[str], terms: set[str], pool: list[str], chance: np.random.Generator) -> list[str] | None:
@@ -168,7 +176,7 @@ def swapped(words: list[str], terms: set[str], pool: list[str], chance: np.rando
         return None
     other = {}
     for w in sorted(held):
-        same = _PLURAL if w in _PLURAL else _SINGULAR if w in _SINGULAR else pool
+        same = _POOL_OF.get(w, pool)
         other[w] = same[int(chance.integers(len(same)))]
     return [other.get(w, w) for w in words]
 
@@ -180,10 +188,25 @@ class Model:
     known: set[str] = field(default_factory=set)
     threshold: float = 0.5
     held_out: dict = field(default_factory=dict)
+    left_out: np.ndarray | None = None
 
     def __post_init__(self):
-        self._known: dict[str, tuple[list[int], int]] = {}
-        self._seen: dict[str, float] = {}
+        # Of each piece of text its word as it is and with names masked; of each word its weight, number and whether it is a single letter.
+        self._pieces: dict[str, int] = {}
+        self._piece_rows: list[tuple[int, int, bool]] = []
+        self._words: dict[str, int] = {}
+        self._word_rows: list[tuple[float, int, bool]] = []
+        self._arrays: tuple[np.ndarray, np.ndarray] = (np.zeros((0, 3)), np.zeros((0, 3), dtype=np.int64))
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of words and of pieces as arrays, of which only what is new is added."""
+        words, pieces = self._arrays
+        if len(words) < len(self._word_rows):
+            words = np.concatenate((words, np.array(self._word_rows[len(words) :], dtype=float)))
+        if len(pieces) < len(self._piece_rows):
+            pieces = np.concatenate((pieces, np.array(self._piece_rows[len(pieces) :], dtype=np.int64)))
+        self._arrays = words, pieces
+        return self._arrays
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -192,72 +215,119 @@ class Model:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def _word(self, word: str) -> tuple[list[int], int]:
-        found = self._known.get(word)
-        if found is None:
-            if len(self._known) > 300_000:
-                self._known.clear()
-            found = self._known[word] = (word_features(word), word_number(word))
-        return found
-
-    def logit(self, words: list[str]) -> float:
-        """The log-odds of a passage; most passages differ from others by names and numbers alone, which are masked, so they are held."""
-        key = " ".join(words)
-        found = self._seen.get(key)
-        if found is None:
-            if len(self._seen) > 200_000:
-                self._seen.clear()
-            found = self._seen[key] = self._logit(words)
-        return found
-
-    def _logit(self, words: list[str]) -> float:
-        ids: set[int] = set()
-        before = None
-        for w in words:
-            f, n = self._word(w)
-            ids.update(f)
-            if before is not None:
-                ids.add(pair_feature(before, n))
-            before = n
-        weights = self._list
-        return self.bias + sum([weights[i] for i in ids])
-
-    @property
-    def _list(self):
-        held = self.__dict__.get("_as_list")
-        if held is None:
-            held = self.__dict__["_as_list"] = self.weights.tolist()
-        return held
+    def _word(self, word: str) -> int:
+        n = self._words.get(word)
+        if n is None:
+            n = self._words[word] = len(self._word_rows)
+            self._word_rows.append((float(self.weights[word_features(word)].sum()), word_number(word), len(word) == 1 and word != "0"))
+        return n
+
+    def _piece(self, piece: str) -> int:
+        word = undisguised(piece)
+        plain = self._word(word) if word else -1
+        bare = piece.strip(_EDGE)
+        named = word and word not in self.known and word != "0" and bare[:1].isupper() and bare.replace("-", "").replace("'s", "").isalpha()
+        n = self._pieces[piece] = len(self._piece_rows)
+        self._piece_rows.append((plain, self._word(NAME) if named else plain, piece.upper() == piece))
+        return n
+
+    def score_all(self, texts: list[str | None]) -> tuple[np.ndarray, list[str | None]]:
+        """(score from 0 to 1, the worst passage's sentence) of each text; null and blank texts have 0 and no passage.
+
+        Words are looked up once each, what follows is arithmetic on the batch's arrays: a passage's log-odds are a
+        difference of running sums of the weights of words and of pairs.
+        """
+        if len(self._pieces) > 500_000:
+            self.__post_init__()
+        sentences, of, lengths, pieces, odd = [], [], [], [], []
+        known = self._pieces
+        for i, text in enumerate(texts):
+            for sentence in _SENTENCE.split(consistent_lines(text)) if text else ():
+                chunks = sentence.split()
+                if not chunks:
+                    continue
+                if not sentence.isascii() and _HAN.search(sentence):
+                    odd.append(len(sentences))
+                    chunks = []
+                sentences.append(sentence), of.append(i), lengths.append(len(chunks))
+                for c in chunks:
+                    n = known.get(c)
+                    pieces.append(self._piece(c) if n is None else n)
+        best, where = np.full(len(texts), -np.inf), np.full(len(texts), -1, dtype=np.int64)
+        if not sentences:
+            return np.zeros(len(texts)), [None] * len(texts)
+        of, lengths = np.array(of), np.array(lengths)
+        owner = np.repeat(np.arange(len(sentences)), lengths)
+        words_held, pieces_held = self._tables()
+        rows = pieces_held[np.array(pieces, dtype=np.int64)]
+        shouted = (np.bincount(owner, weights=rows[:, 2], minlength=len(sentences)) > 0.6 * lengths) & (lengths > 2)
+        word = np.where(shouted[owner], rows[:, 0], rows[:, 1])
+        owner, word = owner[word >= 0], word[word >= 0]
+        spelled = np.flatnonzero(np.bincount(owner[words_held[word, 2] > 0], minlength=len(sentences)) >= 3)  # letters in a row may be a word
+        odd = np.union1d(np.array(odd, dtype=np.int64), spelled)
+        if len(odd):
+            keep = ~np.isin(owner, odd)
+            extra = [np.array([self._word(w) for w in sentence_words(sentences[k], self.known)], dtype=np.int64) for k in odd]
+            owner = np.concatenate([owner[keep], *(np.full(len(x), k) for k, x in zip(odd, extra))])
+            word = np.concatenate([word[keep], *extra])
+            order = np.argsort(owner, kind="stable")
+            owner, word = owner[order], word[order]
+        if not len(word):
+            return np.zeros(len(texts)), [None] * len(texts)
+        held = self._tables()[0][word]
+        weight, number = held[:, 0], held[:, 1].astype(np.uint64)  # numbers of 32 bits are exact as doubles
+        with np.errstate(over="ignore"):
+            pair = ((number[:-1] * np.uint64(0x9E3779B1) + number[1:] * np.uint64(0x85EBCA6B) + np.uint64(0x27D4EB2F)) >> np.uint64(7)) & np.uint64(DIMENSIONS - 1)
+        sums = np.concatenate(([0.0], np.cumsum(weight)))
+        pairs = np.concatenate(([0.0], np.cumsum(self.weights[pair.astype(np.int64)])))
+        size = np.bincount(owner, minlength=len(sentences))
+        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+        many = np.where(size == 0, 0, np.where(size <= WINDOW + STRIDE, 1, -(-(size - WINDOW + STRIDE) // STRIDE)))
+        sentence = np.repeat(np.arange(len(sentences)), many)
+        place = np.arange(len(sentence)) - np.repeat(np.cumsum(many) - many, many)
+        start = begin[sentence] + place * STRIDE
+        end = np.where(many[sentence] == 1, begin[sentence] + size[sentence], np.minimum(start + WINDOW, begin[sentence] + size[sentence]))
+        z = self.bias + sums[end] - sums[start] + pairs[end - 1] - pairs[start]
+        doc = of[sentence]
+        np.maximum.at(best, doc, z)
+        first = np.flatnonzero(z == best[doc])[::-1]
+        where[doc[first]] = sentence[first]  # the first of the worst
+        scores = np.where(where >= 0, 1 / (1 + np.exp(-np.clip(best, -30, 30))), 0.0)
+        return scores, [sentences[k] if k >= 0 else None for k in where]
 
     def score(self, text: str | None) -> tuple[float, str | None]:
-        """(score from 0 to 1, the worst passage) of a text; null and blank texts have 0 and no passage."""
-        worst, where = -30.0, None
-        for sentence, words in passages(text, self.known) if text else ():
-            if (z := self.logit(words)) > worst:
-                worst, where = z, sentence
-        return (float(1 / (1 + np.exp(-max(-30.0, min(30.0, worst))))), where) if where is not None else (0.0, None)
+        scores, where = self.score_all([text])
+        return float(scores[0]), where[0]
 
 
 def _minimise(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], decay: float, swap: float, steps: int) -> tuple[np.ndarray, float]:
     """Logistic weights by full-batch Adam; `pairs` are the features of a passage and of its swapped form."""
+    sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
     used, flat = np.unique(np.concatenate(rows), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [*map(len, rows)])
-    place = {int(f): i for i, f in enumerate(used)}
-    sides = []
-    for k in (0, 1):
-        ids = [[place[f] for f in p[k].tolist() if f in place] for p in pairs]
-        sides.append((np.array([i for x in ids for i in x], dtype=np.int64), np.repeat(np.arange(len(pairs)), [*map(len, ids)])))
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    full_rows = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[full_rows]
+    by_feature = np.argsort(flat, kind="stable")
+    owner_by_feature, feature_starts = owner[by_feature], np.searchsorted(flat[by_feature], np.arange(len(used)))
+    difference = []  # (pair, feature, 1 or -1)
+    for k, sign in ((0, 1.0), (1, -1.0)):
+        ids = np.concatenate([p[k] for p in pairs]) if pairs else np.array([], dtype=np.int64)
+        of = np.repeat(np.arange(len(pairs)), [len(p[k]) for p in pairs])
+        at = np.searchsorted(used, ids)
+        held = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == ids) if len(ids) else np.array([], dtype=bool)
+        difference.append((of[held], at[held], np.full(int(held.sum()), sign)))
+    pair_of, pair_feature_of, pair_sign = map(np.concatenate, zip(*difference))
     w, b = np.zeros(len(used)), PRIOR
     m, v = np.zeros_like(w), np.zeros_like(w)
     total = weight.sum()
+    z = np.full(len(rows), b)
     for t in range(1, steps + 1):
-        z = np.bincount(owner, weights=w[flat], minlength=len(rows)) + b
+        z[full_rows] = np.add.reduceat(w[flat], starts) + b
         r = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / total
-        g = np.bincount(flat, weights=r[owner], minlength=len(used)) + decay * w
-        if pairs:
-            d = sum(sign * np.bincount(o, weights=w[f], minlength=len(pairs)) for sign, (f, o) in zip((1, -1), sides))
-            for sign, (f, o) in zip((1, -1), sides):
-                g += sign * np.bincount(f, weights=2 * swap * d[o] / len(pairs), minlength=len(used))
+        g = np.add.reduceat(r[owner_by_feature], feature_starts) + decay * w
+        if len(pair_of):
+            d = np.bincount(pair_of, weights=pair_sign * w[pair_feature_of], minlength=len(pairs))
+            g += np.bincount(pair_feature_of, weights=2 * swap / len(pairs) * pair_sign * d[pair_of], minlength=len(used))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         rate = 0.1 * (1 - 0.5 * t / steps)
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -267,7 +337,7 @@ def _minimise(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, pairs:
 
 
 def fit_documents(texts: list[str], labels: list[float], decay: float = 5e-4, swap: float = 0.05, rounds: int = 5, steps: int = 80, seed: int = 0) -> Model:
-    """A model of documents with labels from 0 to 1 (the mean of their annotators)."""
+    """A model of documents with labels from 0 to 1 (the mean of their annotators); `left_out` holds each document's score by fits that left it out."""
     chance = np.random.default_rng(seed)
     # Words written small in several documents are no names; identity terms aren't either.
     small = Counter(w for text in texts for w in {c.strip(_EDGE) for c in consistent_lines(text).split()} if w.islower())
@@ -292,7 +362,7 @@ def fit_documents(texts: list[str], labels: list[float], decay: float = 5e-4, sw
             weights[n] += sure_doc[i]
             docs.append(i), of.append(n)
     if not parts:
-        return Model(np.zeros(DIMENSIONS), PRIOR)
+        return Model(np.zeros(DIMENSIONS), PRIOR, left_out=np.zeros(len(texts)))
     doc_of, row_of = np.array(docs), np.array(of)
     abusive, sure = np.array(abusive_rows), np.minimum(np.array(weights), 50.0)
     common = np.array([(" ".join(w), -1) in numbers for w in parts])
@@ -301,7 +371,7 @@ def fit_documents(texts: list[str], labels: list[float], decay: float = 5e-4, sw
     rows = [features(w) for w in parts]
     counts = Counter(f for r, w in zip(rows, weights) for f in (r.tolist() * min(2, int(np.ceil(w)))))
     rows = [np.array([f for f in r.tolist() if counts[f] > 1], dtype=np.int64) for r in rows]
-    pool = sorted(terms - {*_PLURAL, *_SINGULAR}) or _PLURAL
+    pool = sorted(terms - {*_POOL_OF}) or _POOLS[0]
     pairs, pair_of = [], []
     for i, (words, row) in enumerate(zip(parts, rows)):
         other = swapped(words, terms, pool, chance)
@@ -324,6 +394,8 @@ def fit_documents(texts: list[str], labels: list[float], decay: float = 5e-4, sw
             w, b = fitted(fold != k, pair_fold != k)
             for i in np.flatnonzero(fold == k):
                 z[i] = w[rows[i]].sum() + b
+        left_out = np.full(len(texts), -np.inf)
+        np.maximum.at(left_out, doc_of, z[row_of])
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, doc_of, np.where(common[row_of] & abusive[row_of], -np.inf, z[row_of]))
         # What calm documents reach by chance doesn't make a passage the abusive one; then the document has none.
@@ -333,7 +405,7 @@ def fit_documents(texts: list[str], labels: list[float], decay: float = 5e-4, sw
         # A passage of a calm document that the fit is sure of is likelier a slip of the annotator.
         slip = ~abusive & (z > 2.5) & (sure < 3)
     w, b = fitted(np.ones(len(rows), dtype=bool), np.ones(len(pairs), dtype=bool))
-    return Model(w, b, known)
+    return Model(w, b, known, left_out=1 / (1 + np.exp(-np.clip(left_out, -30, 30))))
 
 
 def _best_threshold(scores: np.ndarray, y: np.ndarray, slack: float = 0.03) -> tuple[float, dict]:
@@ -348,60 +420,61 @@ def _best_threshold(scores: np.ndarray, y: np.ndarray, slack: float = 0.03) -> t
 
 
 def labelled_documents(documents: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
-    """(doc_id, y, text) of at most `most_labelled` labelled documents, those of least hashed id; y is the mean of a document's labels.
+    """(doc_id, y, lang, text) of at most `most_labelled` labelled documents, those of least hashed id; y is the mean of a document's labels.
 
     The ids are chosen from the labels alone and broadcast, at most `most_labelled` of them, so texts aren't shuffled.
     """
     means = labels.filter("abusive IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("abusive").alias("y"))
     chosen = means.orderBy(F.xxhash64(F.lit(0), "doc_id"), "doc_id").limit(most_labelled)
-    return documents.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    lang = F.lower(F.trim("lang")) if "lang" in documents.columns else F.lit(None).cast("string")
+    return documents.filter("text IS NOT NULL").select("doc_id", lang.alias("lang"), "text").join(F.broadcast(chosen), "doc_id")
 
 
-def fit(labelled: DataFrame, folds: int = 3, seed: int = 0) -> Model:
-    """A model of a bounded number of labelled documents, rows of doc_id, y and text.
+def fit(labelled: DataFrame, seed: int = 0) -> Model:
+    """A model of a bounded number of labelled documents, rows of doc_id, y, lang and text, fitted in one task.
 
-    The threshold is found on scores of documents left out of the fit in turn. Without labels nothing is abusive.
+    The threshold is found on the scores of documents by fits that left them out, and so are the figures by language in
+    `held_out`. Without labels nothing is abusive.
     """
-    held = labelled.orderBy("doc_id").toPandas()
-    # The bounded sample goes to one task for each fold and one for the whole fit.
-    sent = labelled.sparkSession.sparkContext.broadcast((held["text"].tolist(), held["y"].tolist()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts, labels = sent.value
-        for frame in frames:
-            for k in frame["id"]:
-                inside = [i for i in range(len(texts)) if i % folds != k]
-                model = fit_documents([texts[i] for i in inside], [labels[i] for i in inside], seed=seed)
-                if k == folds:
-                    yield pd.DataFrame({"doc": [-1], "score": [0.0], "model": [pickle.dumps((model.weights.astype(np.float32), model.bias, model.known))]})
-                else:
-                    out = [i for i in range(len(texts)) if i % folds == k and labels[i] in (0.0, 1.0)]
-                    yield pd.DataFrame({"doc": out, "score": [model.score(texts[i])[0] for i in out], "model": None})
-
-    spark = labelled.sparkSession
-    found = spark.createDataFrame([(k,) for k in range(folds + 1)], "id int").repartitionByRange(folds + 1, "id").mapInPandas(run, "doc int, score double, model binary").collect()
-    weights, bias, known = pickle.loads(next(r["model"] for r in found if r["doc"] < 0))
-    out = Model(weights.astype(np.float64), bias, known)
-    labels = sent.value[1]
-    tried = [r for r in found if r["doc"] >= 0]
-    y = np.array([labels[r["doc"]] == 1.0 for r in tried])
-    if y.any() and not y.all():
-        out.threshold, out.held_out = _best_threshold(np.array([r["score"] for r in tried]), y)
-    return out
+        held = pd.concat(list(frames), ignore_index=True).sort_values("doc_id")
+        model = fit_documents(held["text"].tolist(), held["y"].tolist(), seed=seed)
+        y, sure = held["y"].to_numpy(), held["y"].isin([0.0, 1.0]).to_numpy()
+        lang = held["lang"].fillna("").to_numpy()
+        if (y[sure] == 1).any() and (y[sure] == 0).any():
+            model.threshold, _ = _best_threshold(model.left_out[sure], y[sure] == 1)
+        hit = model.left_out >= model.threshold
+        for name in ["*", *sorted(set(lang))]:
+            own = sure & ((lang == name) | (name == "*"))
+            model.held_out[name] = (int(own.sum()), int((own & (y == 1)).sum()), int((own & hit).sum()), int((own & hit & (y == 1)).sum()))
+        yield pd.DataFrame({"model": [pickle.dumps((model.weights.astype(np.float32), model.bias, model.known, model.threshold, model.held_out))]})
+
+    # At most `most_labelled` texts, of which the driver sees only the model, of a fixed number of weights.
+    found = labelled.coalesce(1).mapInPandas(run, "model binary").collect() if not labelled.isEmpty() else []
+    if not found:
+        return Model(np.zeros(DIMENSIONS), PRIOR)
+    weights, bias, known, threshold, held_out = pickle.loads(found[0]["model"])
+    return Model(weights.astype(np.float64), bias, known, threshold, held_out)
+
+
+def held_out_figures(model: Model, spark) -> DataFrame:
+    """By language ("*" is all): labelled documents on which annotators agree, the abusive ones, those found by fits that left them out, and precision, recall and F1."""
+    rows = [(name, n, pos, found, right, right / found if found else None, right / pos if pos else None, 2 * right / (found + pos) if found + pos else None) for name, (n, pos, found, right) in sorted(model.held_out.items())]
+    return spark.createDataFrame(rows, "lang string, documents long, abusive long, found long, right long, precision double, recall double, f1 double")
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, source, score, abusive, passage (the worst one, null for blank texts) of every document, whole texts."""
+    """doc_id, source, score, abusive, passage (the sentence of the worst one, null for blank texts) of every document, whole texts."""
     sent = documents.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = sent.value
         for frame in frames:
-            found = [own.score(x if isinstance(x, str) else None) for x in frame["text"]]
+            scores, where = own.score_all([x if isinstance(x, str) else None for x in frame["text"]])
             out = frame[["doc_id", "source"]].copy()
-            out["score"] = [s for s, _ in found]
-            out["abusive"] = [s >= own.threshold for s, _ in found]
-            out["passage"] = pd.Series([p for _, p in found], index=out.index, dtype=object)
+            out["score"], out["abusive"] = scores, scores >= own.threshold
+            out["passage"] = pd.Series(where, index=out.index, dtype=object)
             yield out
 
     return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, score double, abusive boolean, passage string")
