@@ -102,7 +102,7 @@ def _limits() -> Column:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.item_lengths(_oversized_tables(spark, folder), ["source_table", "row_ix"]).filter(F.col("length") > _limits()).select("source_table", "row_ix")
+    return pieces.oversized(_oversized_tables(spark, folder), ["source_table", "row_ix"], _limits()).select("source_table", "row_ix")
 
 
 def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:

@@ -167,7 +167,7 @@ def test_ranges_dont_change_what_is_read(seed):
         text = _text(chance, chance.randint(0, 60))
         one = _stitched(text, 1 << 20)
         assert one[0] == _collapsed(text)
-        for width in (128, 256, 1024):
+        for width in (128, 200, 256, 1000, 1024, 3000):
             assert _stitched(text, width) == one
 
 
@@ -213,8 +213,21 @@ def test_split_items_round_trip(spark, width):
 def test_both_widths_cut_alike(spark):
     text = _text(random.Random(9), 400)
     df = spark.createDataFrame([(1, text)], "k int, text string")
-    a, b = (sorted(map(tuple, pieces.split_items(df, ["k"], F.lit(500), 50, w).collect())) for w in (512, 1 << 20))
-    assert a == b
+    whole = sorted(map(tuple, pieces.split_items(df, ["k"], F.lit(500), 50, 1 << 20).collect()))
+    for w in (512, 700):
+        assert sorted(map(tuple, pieces.split_items(df, ["k"], F.lit(500), 50, w).collect())) == whole
+
+
+def test_rows_with_the_same_keys_are_each_cut_at_any_length(spark):
+    chance = random.Random(4)
+    texts = [_text(chance, 200), _text(chance, 200), "short", "short"]
+    df = spark.createDataFrame([(1, t) for t in [*texts, texts[0]]], "k int, text string")
+    for w in (256, 1 << 20):
+        got = [r["piece"] for r in pieces.split_items(df, ["k"], F.lit(300), 40, w).collect()]
+        one = [p for t in texts for p in [r["piece"] for r in pieces.split_items(df.filter(F.col("text") == t).limit(1), ["k"], F.lit(300), 40, w).collect()]]
+        again = [r["piece"] for r in pieces.split_items(df.filter(F.col("text") == texts[0]).limit(1), ["k"], F.lit(300), 40, w).collect()]
+        assert sorted(got) == sorted(one + again)
+        assert sorted(r["pieces"] for r in pieces.oversized(df, ["k"], F.lit(300), 40, w).collect()) == sorted(2 * [len(again)] + [len(one) - len(again) - 2])
 
 
 def test_files_are_split_by_byte_ranges(spark, tmp_path):
