@@ -194,6 +194,7 @@ class Model:
         # Of each piece of text its word as it is and with names masked; of each word its weight, number and whether it is a single letter.
         self._pieces: dict[str, int] = {}
         self._piece_rows: list[tuple[int, int, bool]] = []
+        self._named: list[str | None] = []
         self._words: dict[str, int] = {}
         self._word_rows: list[tuple[float, int, bool]] = []
         self._arrays: tuple[np.ndarray, np.ndarray] = (np.zeros((0, 3)), np.zeros((0, 3), dtype=np.int64))
@@ -224,13 +225,20 @@ class Model:
 
     def _piece(self, piece: str) -> int:
         word = undisguised(piece)
-        plain = self._word(word) if word else -1
         bare = piece.strip(_EDGE)
         named = word and word not in self.known and word != "0" and bare[:1].isupper() and bare.replace("-", "").replace("'s", "").isalpha()
         n = self._pieces[piece] = len(self._piece_rows)
+        plain = -2 if named else self._word(word) if word else -1  # a name's own word counts in sentences in capitals alone
         self._piece_rows.append((plain, self._word(NAME) if named else plain, piece.upper() == piece))
+        self._named.append(word if named else None)
         return n
 
+    def _spell_names(self, numbers: list[int]) -> None:
+        for n in numbers:
+            plain = self._word(self._named[n])
+            self._piece_rows[n] = (plain, *self._piece_rows[n][1:])
+            self._arrays[1][n, 0] = plain
+
     def score_all(self, texts: list[str | None]) -> tuple[np.ndarray, list[str | None]]:
         """(score from 0 to 1, the worst passage's sentence) of each text; null and blank texts have 0 and no passage.
 
@@ -259,8 +267,14 @@ class Model:
         of, lengths = np.array(of), np.array(lengths)
         owner = np.repeat(np.arange(len(sentences)), lengths)
         words_held, pieces_held = self._tables()
-        rows = pieces_held[np.array(pieces, dtype=np.int64)]
+        pieces = np.array(pieces, dtype=np.int64)
+        rows = pieces_held[pieces]
         shouted = (np.bincount(owner, weights=rows[:, 2], minlength=len(sentences)) > 0.6 * lengths) & (lengths > 2)
+        unread = shouted[owner] & (rows[:, 0] == -2)
+        if unread.any():
+            self._spell_names(np.unique(pieces[unread]).tolist())
+            words_held, pieces_held = self._tables()
+            rows = pieces_held[pieces]
         word = np.where(shouted[owner], rows[:, 0], rows[:, 1])
         owner, word = owner[word >= 0], word[word >= 0]
         spelled = np.flatnonzero(np.bincount(owner[words_held[word, 2] > 0], minlength=len(sentences)) >= 3)  # letters in a row may be a word
@@ -369,8 +383,11 @@ def fit_documents(texts: list[str], labels: list[float], decay: float = 5e-4, sw
     owner = np.zeros(len(parts), dtype=np.int64)
     owner[row_of] = doc_of
     rows = [features(w) for w in parts]
-    counts = Counter(f for r, w in zip(rows, weights) for f in (r.tolist() * min(2, int(np.ceil(w)))))
-    rows = [np.array([f for f in r.tolist() if counts[f] > 1], dtype=np.int64) for r in rows]
+    # Features of one passage alone are left out.
+    sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+    flat, times = np.concatenate(rows), np.repeat(np.minimum(np.ceil(np.array(weights)), 2), sizes)
+    kept = np.bincount(flat, weights=times, minlength=DIMENSIONS)[flat] > 1
+    rows = np.split(flat[kept], np.cumsum(np.bincount(np.repeat(np.arange(len(rows)), sizes)[kept], minlength=len(rows)))[:-1])
     pool = sorted(terms - {*_POOL_OF}) or _POOLS[0]
     pairs, pair_of = [], []
     for i, (words, row) in enumerate(zip(parts, rows)):
