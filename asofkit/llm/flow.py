@@ -49,8 +49,11 @@ class Network:
                         queue.append(self.head[k])
         return far
 
-    def send(self, a, b, amount: int) -> int:
-        """Sends up to `amount` from a to b at least cost; the flow that got through. Costs may be negative, cycles of negative cost not."""
+    def send(self, a, b, amount: int, while_gaining: bool = False) -> int:
+        """Sends up to `amount` from a to b at least cost; the flow that got through. Costs may be negative, cycles of negative cost not.
+
+        With `while_gaining` it ends where the next unit would cost 0 or more.
+        """
         start, end, sent = self.node(a), self.node(b), 0
         level = [0.0 if x == float("inf") else x for x in self._potentials(start)]
         while sent < amount:
@@ -71,6 +74,8 @@ class Network:
             if by[end] < 0:
                 break
             level = [p + (d if d < float("inf") else 0.0) for p, d in zip(level, far)]
+            if while_gaining and level[end] - level[start] >= -1e-9:
+                break
             some, y = amount - sent, end
             while y != start:
                 some = min(some, self.room[by[y]])

@@ -78,9 +78,19 @@ def plan(texts: DataFrame, targets: DataFrame) -> list[dict]:
     ]
 
 
+def runs_dry(parts: list[dict], slots: int = SLOTS) -> set[str]:
+    """The sources whose supply may not last for the blocks that the Pfair schedule of the target weights gives them, to within the one block by which it deviates."""
+    total = sum(x["wanted"] for x in parts)
+    plan_ = schedule({x["source"]: x["wanted"] / total for x in parts}, slots) if total else []
+    given = {s: k + 1 for s, k, _ in sorted(plan_, key=lambda x: x[1])}
+    return {x["source"] for x in parts if x["wanted"] > 0 and (given.get(x["source"], 0) + 1) * total / len(plan_) > x["supply"]}
+
+
 def short_sources(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """source of each target that can't be filled, however often its texts may be repeated."""
-    found = [(x["source"],) for x in plan(source_texts(documents, targets), targets) if x["short"]]
+    """source of each target that can't be filled, however often its texts may be repeated: it runs dry before its last scheduled block ends."""
+    parts = plan(source_texts(documents, targets), targets)
+    dry = runs_dry(parts)
+    found = [(x["source"],) for x in parts if x["source"] in dry and x["short"]]
     return documents.sparkSession.createDataFrame(found, "source string")
 
 
