@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from asofkit.session import cut
+
 # Letters that look like the Latin letter written after them, by script.
 _LOOKALIKES = {
     "GREEK": "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX αa γy ιi κk νv οo ρp υu χx ϲc ϳj ϹC ϜF ͿJ",
@@ -147,11 +149,11 @@ def same_reading_pairs(df: DataFrame, row: str = "row_ix", text: str = "title",
     Equal strings are no pair, nulls are in none. Only forms stored in more than one spelling are joined, and both their
     sides are spread over `salts` tasks.
     """
-    rows = with_forms(df.filter(F.col(row).isNotNull() & F.col(text).isNotNull()), {text: "_form"}, [row, text]).select(
-        F.col(row).alias("row"), F.col(text).alias("text"), F.col("_form").alias("form")
-    )
+    # Forms are made once, and named by a digest of theirs.
+    made = with_forms(df.filter(F.col(row).isNotNull() & F.col(text).isNotNull()), {text: "_form"}, [row, text])
+    rows = cut(made.select(F.col(row).alias("row"), F.col(text).alias("text"), F.md5("_form").alias("form")))
     several = rows.groupBy("form").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).filter("lo <> hi").select("form")
-    held = rows.join(several, "form", "left_semi")
+    held = rows.join(several.hint("merge"), "form", "left_semi")
     a = held.select("form", F.col("row").alias("row_a"), F.col("text").alias("text_a"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"))
     b = held.select("form", F.col("row").alias("row_b"), F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return a.join(b, ["form", "salt"]).filter("row_a < row_b AND text_a <> text_b").select("row_a", "row_b")
+    return a.join(b.hint("merge"), ["form", "salt"]).filter("row_a < row_b AND text_a <> text_b").select("row_a", "row_b")
