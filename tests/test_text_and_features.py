@@ -46,6 +46,8 @@ def test_html_bodies():
     assert t.html_body(page) == "One&two\nthree"
     long = "word " * 60
     assert t.html_body(f"<div>side</div><article><h1>T</h1><p>{long}</p></article>").startswith("T\nword") and "side" not in t.html_body(f"<div>side</div><article><p>{long}</p></article>")
+    assert t.html_body("<table><tr><td>Revenue</td><td>100</td></tr><tr><td>Costs</td><td>5</td></tr></table>") == "Revenue 100\nCosts 5"
+    assert t.html_body("<p>one\ntwo</p><nav>x<p>y</nav>z<div hidden>no<br></div>end") == "one\ntwo\nz\nend"
     assert t.html_body("") == "" and t.html_body("<p>unclosed <b>bold") == "unclosed bold"
 
 
