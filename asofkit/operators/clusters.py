@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,23 +24,69 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def causal_pairs(items: DataFrame, threshold: float, hours: float = HOURS, similarity: Column | None = None, veto: Column | None = None) -> DataFrame:
+def _near(frame: pd.DataFrame, threshold: float, width: int) -> pd.DataFrame:
+    """The pairs of two blocks whose vectors' product reaches the threshold, the later item first."""
+    sides = [frame[frame["side"] == k] for k in (0, 1)]
+    sides = [sides[0], sides[1] if len(sides[1]) else sides[0]] if frame["same"].iloc[0] else sides
+    if not len(sides[0]) or not len(sides[1]):
+        return pd.DataFrame({"item_id": [], "up": [], "up_at": [], "similarity": []})
+    a, b = (np.stack(s["vector"].to_numpy()) for s in sides)
+    ids, times = [s["item_id"].to_numpy() for s in sides], [s["at"].to_numpy() for s in sides]
+    close = np.round(a @ b.T, 9)
+    i, j = np.nonzero(close >= threshold)
+    gap = times[0][i] - times[1][j]
+    ahead = (gap > 0) | (gap == 0) & (ids[0][i] > ids[1][j])
+    keep = (np.abs(gap) <= width * 1_000_000) & (ids[0][i] != ids[1][j])
+    if frame["same"].iloc[0]:
+        keep &= ahead
+    i, j, ahead = i[keep], j[keep], ahead[keep]
+    late, early = np.where(ahead, ids[0][i], ids[1][j]), np.where(ahead, ids[1][j], ids[0][i])
+    return pd.DataFrame({"item_id": late, "up": early, "up_at": np.where(ahead, times[1][j], times[0][i]), "similarity": close[i, j]})
+
+
+def causal_pairs(items: DataFrame, threshold: float, hours: float = HOURS, veto: Column | None = None, block: int = 1024) -> DataFrame:
     """item_id, up, up_ts, similarity: each item of (item_id, ts, vector, ...) with the earlier ones it may link to.
 
-    Candidates are earlier items (by ts, then item_id) within `hours`, inclusive, found by an equality on windows of that
-    width, the own and the one before. `similarity` and `veto` are on columns `a` (the item) and `b` (the earlier one),
-    structs of all columns. Items without time are in no pair.
+    Candidates are earlier items (by ts, then item_id) within `hours`, inclusive: those of the own window of that width and
+    the one before. A window's items are divided into blocks, whose number is counted first, and each pair of blocks is one
+    product of matrices in a task of its own, so a dense window spreads over many tasks, and only pairs that reach the
+    threshold leave it. `veto` is on columns `a` (the item) and `b` (the earlier one), structs of all columns but the
+    vector. Items without time are in no pair; item_id must be unique.
     """
     width = int(hours * 3600)
-    held = items.filter("ts IS NOT NULL").select(F.struct(*items.columns).alias("x"), F.floor(F.unix_timestamp("ts") / width).alias("w"))
-    a = held.select(F.col("x").alias("a"), F.explode(F.array(F.col("w"), F.col("w") - 1)).alias("w"))
-    b = held.select(F.col("x").alias("b"), "w")
-    earlier = (F.struct(F.col("b.ts"), F.col("b.item_id")) < F.struct(F.col("a.ts"), F.col("a.item_id"))) & (F.unix_micros("a.ts") - F.unix_micros("b.ts") <= width * 1_000_000)
-    sim = F.round(dot(F.col("a.vector"), F.col("b.vector")), 9) if similarity is None else similarity
-    near = a.join(b, "w").filter(earlier).withColumn("sim", sim).filter(F.col("sim") >= threshold)
-    if veto is not None:
-        near = near.filter(~veto)
-    return near.select(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("up"), F.col("b.ts").alias("up_ts"), F.col("sim").alias("similarity"))
+    held = items.filter("ts IS NOT NULL").select("item_id", F.unix_micros("ts").alias("at"), "vector", F.floor(F.unix_timestamp("ts") / width).alias("w"))
+    # One row per window: their number is bounded by time.
+    counts = held.groupBy("w").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    near = [F.broadcast(counts.select((F.col("w") + d).alias("w"), F.col("k").alias(name))) for d, name in ((0, "k"), (1, "before"), (-1, "after"))]
+    placed = held.join(near[0], "w").join(near[1], "w", "left").join(near[2], "w", "left").withColumn("own", F.pmod(F.xxhash64("item_id"), F.col("k")).cast("int"))
+    to = lambda low, high: F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    none = F.lit(0)
+    cell = lambda w, i, j, step, side: F.struct(w.alias("w"), i.alias("i"), j.alias("j"), F.lit(step).alias("step"), F.lit(side).alias("side"))
+    own = F.col("own")
+    cells = F.concat(
+        F.transform(to(own, F.col("k") - 1), lambda j: cell(F.col("w"), own, j, 0, 0)), F.transform(to(none, own - 1), lambda i: cell(F.col("w"), i, own, 0, 1)),
+        F.transform(to(none, F.coalesce("before", none) - 1), lambda j: cell(F.col("w"), own, j, 1, 0)), F.transform(to(none, F.coalesce("after", none) - 1), lambda i: cell(F.col("w") + 1, i, own, 1, 1)),
+    )
+    sent = placed.withColumn("c", F.explode(cells)).select("c.*", "item_id", "at", "vector", ((F.col("c.step") == 0) & (F.col("c.i") == F.col("c.j"))).alias("same"))
+    types = dict(items.dtypes)["item_id"]
+    found = sent.groupBy("w", "i", "j", "step").applyInPandas(lambda frame: _near(frame, threshold, width), f"item_id {types}, up {types}, up_at long, similarity double")
+    pairs = found.select("item_id", "up", F.timestamp_micros("up_at").alias("up_ts"), "similarity")
+    if veto is None:
+        return pairs
+    rest = F.struct(*[c for c in items.columns if c != "vector"])
+    a, b = items.select("item_id", rest.alias("a")), items.select(F.col("item_id").alias("up"), rest.alias("b"))
+    return pairs.join(a.hint("merge"), "item_id").join(b.hint("merge"), "up").filter(~veto).select("item_id", "up", "up_ts", "similarity")
+
+
+def examined_pairs(items: DataFrame, hours: float = HOURS) -> DataFrame:
+    """items, all_pairs and window_pairs: how many pairs there are, and how many of them lie in one or two neighbouring windows, which are all that are compared."""
+    width = int(hours * 3600)
+    counts = items.filter("ts IS NOT NULL").groupBy(F.floor(F.unix_timestamp("ts") / width).alias("w")).agg(F.count("*").alias("n"))
+    before = counts.select((F.col("w") + 1).alias("w"), F.col("n").alias("m"))
+    n = F.col("n")
+    return counts.join(before, "w", "left").agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("items"), (F.sum(n) * (F.sum(n) - 1) / 2).cast("long").alias("all_pairs"), F.sum(n * (n - 1) / 2 + n * F.coalesce("m", F.lit(0))).cast("long").alias("window_pairs")
+    )
 
 
 def best_links(items: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -47,12 +95,12 @@ def best_links(items: DataFrame, pairs: DataFrame) -> DataFrame:
     return items.select("item_id").join(best.select("item_id", (-F.col("m.i")).alias("parent_id"), F.col("m.s").alias("link_similarity")), "item_id", "left")
 
 
-def causal_links(items: DataFrame, threshold: float, hours: float = HOURS, similarity: Column | None = None, veto: Column | None = None) -> DataFrame:
+def causal_links(items: DataFrame, threshold: float, hours: float = HOURS, veto: Column | None = None) -> DataFrame:
     """item_id, parent_id, link_similarity: the link of each item, null parent where none.
 
     The choice depends only on times, vectors and titles, never on earlier choices, so all are made at once.
     """
-    return best_links(items, causal_pairs(items, threshold, hours, similarity, veto))
+    return best_links(items, causal_pairs(items, threshold, hours, veto))
 
 
 def title_veto(a: str = "a.title", b: str = "b.title") -> Column:

@@ -32,6 +32,11 @@ def causal_links(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("item_id", "parent_id", F.round("link_similarity", 6).alias("link_similarity"))
 
 
+def causal_examined(spark: SparkSession, folder: str) -> DataFrame:
+    """How many pairs of items the causal links compare, of all there are."""
+    return clusters.examined_pairs(_items(spark, folder))
+
+
 def causal_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return _links(spark, folder).select("item_id", F.concat(F.lit("cluster_"), F.col("root_id").cast("string")).alias("cluster_id"))
 
@@ -187,7 +192,8 @@ def html_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """Pages made of documents, and their bodies read again."""
     d = table(spark, folder, "pipeline_documents").filter("text IS NOT NULL")
     safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    lines = F.concat_ws("", F.transform(F.split(safe, "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))))
+    row = lambda x: F.concat(F.lit("<table><tr><td>"), F.replace(x, F.lit("  "), F.lit("</td><td>")), F.lit("</td></tr></table>"))
+    lines = F.concat_ws("", F.transform(F.split(safe, "\n"), lambda x: F.when(F.contains(x, F.lit("  ")), row(x)).otherwise(F.concat(F.lit("<p>"), x, F.lit("</p>")))))
     page = F.concat(F.lit("<html><head><title>t</title></head><body><nav>Menu Home</nav><script>x = 1</script><div>"), lines, F.lit("</div><footer>Footer</footer></body></html>"))
     return d.select("row_ix", html_body_udf(page).alias("body"))
 
@@ -273,7 +279,7 @@ def stream_daily_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        causal_links, causal_clusters, cluster_representatives, fetch_ranks, cluster_sizes_asof, threshold_sensitivity, review_sample, event_clusters, opposed_clusters, cluster_table, split_crossings,
+        causal_links, causal_examined, causal_clusters, cluster_representatives, fetch_ranks, cluster_sizes_asof, threshold_sensitivity, review_sample, event_clusters, opposed_clusters, cluster_table, split_crossings,
         address_slots, size_distribution, strata, round_robin, quota_sample, counts_by_split, cross_split_pairs, similar_titles, trust_tiers, title_forms, document_ids, html_bodies, chunk_scores, unscored,
         source_sample, extraction_check, multidimensional_means, annotation_check, candidate_softmax, previews, stream_daily_counts,
     )
@@ -304,6 +310,9 @@ _EXTRACTED = rf"""WITH {SCORED_SQL}, x AS (SELECT row_ix, CASE lower(label) WHEN
 
 ORACLES = {
     "causal_links": f"WITH {_LINKS.format(n='', t=THRESHOLD)} SELECT vec_id AS item_id, b AS parent_id, round(sim, 6) AS link_similarity FROM embeddings LEFT JOIN l ON vec_id = a",
+    "causal_examined": """WITH i AS (SELECT vec_id, (1704067200 + vec_id * 3600) // 259200 AS w FROM embeddings)
+        SELECT (SELECT count(*) FROM i) AS items, (SELECT CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) FROM i) AS all_pairs,
+            (SELECT count(*) FROM i a JOIN i b ON b.vec_id < a.vec_id AND a.w - b.w BETWEEN 0 AND 1) AS window_pairs""",
     "causal_clusters": f"{_CLUSTERS} SELECT item_id, 'cluster_' || root_id AS cluster_id FROM c",
     "cluster_representatives": f"""{_CLUSTERS}, m AS (SELECT root_id AS cluster_id, item_id, e FROM c JOIN u ON c.item_id = u.vec_id),
         x AS (SELECT cluster_id, i, sum(e[i]) AS s FROM m, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), z AS (SELECT cluster_id, list(s ORDER BY i) AS z FROM x GROUP BY cluster_id),

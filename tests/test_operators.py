@@ -144,6 +144,7 @@ def test_causal_clusters_against_a_sequential_pass(spark):
     data = [(i, T0 + timedelta(hours=chance.randrange(300)), [chance.gauss(0, 1) for _ in range(3)], "t") for i in range(90)] + [(90, None, [1.0, 0.0, 0.0], "t")]
     items = _items(spark, data)
     got = {r["item_id"]: r["root_id"] for r in clusters.roots(clusters.causal_links(items, 0.8)).collect()}
+    assert sorted(map(tuple, clusters.causal_pairs(items, 0.5, block=4).collect())) == sorted(map(tuple, clusters.causal_pairs(items, 0.5).collect()))
     unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, _, v, _ in data}
     root, active = {90: 90}, []
     for i, t, _, _ in sorted((d for d in data if d[1]), key=lambda d: (d[1], d[0])):
