@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from asofkit.functions.ids import seeded_id
 from asofkit.functions.text import jaccard, letters_and_digits, sequence_ratio, split_of_year, stratum, tokens, trust_tier
+from asofkit.operators.totals import running_total
 from asofkit.session import cut
 
 
@@ -58,12 +59,20 @@ def address_slots(rows: DataFrame, clusters: DataFrame, most: int = 3) -> DataFr
 def round_robin(clusters: DataFrame, seed: int = 42) -> DataFrame:
     """clusters with stratum and `turn`, their place in their year: the strata of a year take turns in order, each drawing by hash.
 
-    Ranks within a stratum are counted in hash order.
+    A cluster's rank in its stratum is a running count over ranges of the hash, and its turn follows from the rank and the
+    sizes of the year's strata (a table of fixed width): all rounds before, in which each stratum takes part as long as it
+    lasts, and those before it in its own. So no task holds a year or a stratum. Clusters without a year are left out.
     """
     held = clusters.withColumn("stratum", stratum(F.col("cluster_size"), F.col("form"), F.col("title"))).withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("cluster").cast("string")), 256))
-    rank = F.row_number().over(Window.partitionBy("year", "stratum").orderBy("_h", "cluster"))
-    held = held.withColumn("_rank", rank)
-    return held.withColumn("turn", F.row_number().over(Window.partitionBy("year").orderBy("_rank", "stratum"))).drop("_h", "_rank")
+    held = cut(held.select("_h", "cluster", *(c for c in held.columns if c not in ("_h", "cluster"))))
+    # The first 60 bits of the hash, spread over all longs; ties by the whole hash, then the cluster.
+    order = (F.conv(F.substring("_h", 1, 15), 16, 10).cast("decimal(20,0)") * 16 - F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
+    ranked = running_total(held, ["year", "stratum"], order, F.lit(1), name="_before").withColumn("_rank", F.col("_before") + 1)
+    sizes = held.groupBy("year", "stratum").agg(F.count("*").alias("n")).groupBy("year").agg(F.collect_list(F.struct("stratum", "n")).alias("_strata"))
+    told = ranked.join(F.broadcast(sizes), "year")  # years by strata
+    rounds = F.aggregate("_strata", F.lit(0).cast("long"), lambda s, x: s + F.least(x["n"], F.col("_rank") - 1))
+    this = F.aggregate("_strata", F.lit(0).cast("long"), lambda s, x: s + F.when((x["n"] >= F.col("_rank")) & (x["stratum"] <= F.col("stratum")), 1).otherwise(0))
+    return told.select(*clusters.columns, "stratum", (rounds + this).cast("int").alias("turn"))
 
 
 def _lcs(where: dict[str, int], size: int, other: str) -> int:
