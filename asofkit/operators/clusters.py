@@ -198,6 +198,15 @@ def sensitivity(members: DataFrame, by: list[str], candidates: DataFrame | None
     return out
 
 
+def at_threshold(rows: DataFrame, threshold: float, column: str = "threshold", most: float = 1e-9) -> DataFrame:
+    """The rows of one threshold, which may differ in its last digits; an error if there is none or more than one."""
+    found = rows.filter(F.abs(F.col(column) - threshold) < most)
+    held = [r[0] for r in found.select(column).distinct().limit(2).collect()]
+    if len(held) != 1:
+        raise ValueError(f"{len(held) or 'no'} thresholds at {threshold}")
+    return found
+
+
 def opposed_clusters(rows: DataFrame, cluster: str, row: str, title: str) -> DataFrame:
     """Clusters in which two different rows have titles with the two sides of a pair of opposite words.
 

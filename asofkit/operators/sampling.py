@@ -56,6 +56,18 @@ def address_slots(rows: DataFrame, clusters: DataFrame, most: int = 3) -> DataFr
     return picked.select("cluster", "slot", "row_ix", "url")
 
 
+def address_statistics(rows: DataFrame, clusters: DataFrame, by: str = "split") -> DataFrame:
+    """Per `by`: clusters, those with any address, with one of the representative, with a second, and with one of another domain than the representative's."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    best = clusters.select("cluster", by, "representative_row", plain(F.col("domain")).alias("_own"))
+    held = rows.select("cluster", "row_ix", F.trim(F.coalesce("url", F.lit(""))).alias("_url"), plain(F.col("domain")).alias("_domain")).join(best.hint("merge"), "cluster")
+    there = F.col("_url") != ""
+    each = held.groupBy("cluster", by).agg(
+        F.count_distinct(F.when(there, F.col("_url"))).alias("urls"), F.max(there & (F.col("row_ix") == F.col("representative_row"))).alias("own"), F.max(there & (F.col("_domain") != F.col("_own"))).alias("other")
+    )
+    return each.groupBy(by).agg(F.count("*").alias("clusters"), F.count_if(F.col("urls") > 0).alias("with_address"), F.count_if("own").alias("with_own"), F.count_if(F.col("urls") > 1).alias("with_second"), F.count_if("other").alias("with_other_domain"))
+
+
 def round_robin(clusters: DataFrame, seed: int = 42) -> DataFrame:
     """clusters with stratum and `turn`, their place in their year: the strata of a year take turns in order, each drawing by hash.
 

@@ -231,11 +231,35 @@ def extraction_check(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("row_ix", "sentiment", "event_type", "error")
 
 
+def _extracted(spark: SparkSession, folder: str) -> DataFrame:
+    """Model answers with every dimension and event, made of scored documents; one in eleven has an unknown event."""
+    d = scored_documents(spark, folder).filter("text IS NOT NULL")
+    level = lambda low, high, k: ((F.col("row_ix") * k) % (high - low + 1) + low).cast("int")
+    fields = {name: level(low, high, k) for k, (name, (low, high)) in enumerate(validate.RANGES.items(), 1)} | {
+        "event_type": F.when(F.col("row_ix") % 11 == 0, "rumour").otherwise(F.element_at(F.array(*map(F.lit, validate.EVENTS)), (F.col("row_ix") % len(validate.EVENTS) + 1).cast("int"))),
+        "positive_factors": F.array().cast("array<string>"), "potential_concerns": F.array().cast("array<string>"), "summary": F.lit("One. Two."), "evidence": F.array(F.trim(F.substring("text", 1, 20))),
+    }
+    answers = d.withColumn("answer", F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))))
+    return validate.extractions(answers, "row_ix", "answer", "text")
+
+
 def multidimensional_means(spark: SparkSession, folder: str) -> DataFrame:
-    """Means over valid records alone, and counts of the event types."""
-    r = extraction_check(spark, folder)
+    """The mean of every dimension and the count of every event type, over valid records alone."""
     ok = F.col("error") == ""
-    return r.agg(F.count("*").alias("records"), F.count_if(ok).alias("valid"), F.round(F.avg(F.when(ok, F.col("sentiment"))), 6).alias("mean_sentiment"), F.count_if(ok & (F.col("event_type") == "other")).alias("other_events"))
+    means = [F.round(F.avg(F.when(ok, F.col(k))), 6).alias(f"mean_{k}") for k in validate.RANGES]
+    events = [F.count_if(ok & (F.col("event_type") == e)).alias(f"events_{e}") for e in validate.EVENTS]
+    return _extracted(spark, folder).agg(F.count("*").alias("records"), F.count_if(ok).alias("valid"), *means, *events)
+
+
+def threshold_select(spark: SparkSession, folder: str) -> DataFrame:
+    """The row of threshold_sensitivity for a threshold that arithmetic made."""
+    return clusters.at_threshold(threshold_sensitivity(spark, folder), 0.1 + 0.2)
+
+
+def address_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters with an address, with a representative one, with a second, and with one of another domain to fall back on, by split."""
+    rows = cut(news(spark, folder).filter("cluster IS NOT NULL AND ts IS NOT NULL"))
+    return sampling.address_statistics(rows, sampling.cluster_table(rows))
 
 
 def annotation_check(spark: SparkSession, folder: str) -> DataFrame:
@@ -281,7 +305,7 @@ QUERIES = {
     for f in (
         causal_links, causal_examined, causal_clusters, cluster_representatives, fetch_ranks, cluster_sizes_asof, threshold_sensitivity, review_sample, event_clusters, opposed_clusters, cluster_table, split_crossings,
         address_slots, size_distribution, strata, round_robin, quota_sample, counts_by_split, cross_split_pairs, similar_titles, trust_tiers, title_forms, document_ids, html_bodies, chunk_scores, unscored,
-        source_sample, extraction_check, multidimensional_means, annotation_check, candidate_softmax, previews, stream_daily_counts,
+        source_sample, extraction_check, multidimensional_means, threshold_select, address_statistics, annotation_check, candidate_softmax, previews, stream_daily_counts,
     )
 }
 
@@ -308,6 +332,18 @@ _STRATA = f"""{_TABLE}, themed AS (SELECT *, regexp_matches(form, '\\b(raise[sd]
 _EXTRACTED = rf"""WITH {SCORED_SQL}, x AS (SELECT row_ix, CASE lower(label) WHEN 'positive' THEN 2 WHEN 'negative' THEN -2 ELSE 0 END AS sentiment,
     concat_ws('; ', CASE WHEN row_ix % 7 = 0 THEN 'event_type' END, CASE WHEN regexp_full_match(substr(text, 1, 20), '\s*') THEN 'evidence' END) AS error FROM scored WHERE text IS NOT NULL)"""
 
+_SENSITIVITY = (
+    "WITH RECURSIVE "
+    + _LINKS.format(n=0, t=THRESHOLDS[0])
+    + "".join(f", l{n} AS (SELECT a, b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM s WHERE sim >= {t}) WHERE r = 1)" for n, t in enumerate(THRESHOLDS) if n)
+    + "".join(f", {_TREE.format(n=n)}, z{n} AS (SELECT root_id, count(*) AS n FROM c{n} GROUP BY root_id)" for n in range(len(THRESHOLDS)))
+    + " UNION ALL ".join(
+        f""" SELECT CAST({t} AS DOUBLE) AS threshold, CAST(sum(n) AS BIGINT) AS items, count(*) AS clusters, count(*) FILTER (n = 1) AS singletons, round(count(*) FILTER (n = 1) / count(*), 6) AS singleton_ratio,
+            count(*) FILTER (n BETWEEN 2 AND 3) AS clusters_2_3, count(*) FILTER (n >= 4) AS clusters_4_plus, max(n) AS largest, round(avg(n), 6) AS mean_size, CAST(sum(n) AS BIGINT) - count(*) AS near_duplicates FROM z{n}"""
+        for n, t in enumerate(THRESHOLDS)
+    )
+)
+
 ORACLES = {
     "causal_links": f"WITH {_LINKS.format(n='', t=THRESHOLD)} SELECT vec_id AS item_id, b AS parent_id, round(sim, 6) AS link_similarity FROM embeddings LEFT JOIN l ON vec_id = a",
     "causal_examined": """WITH i AS (SELECT vec_id, (1704067200 + vec_id * 3600) // 259200 AS w FROM embeddings)
@@ -319,15 +355,8 @@ ORACLES = {
         y AS (SELECT m.cluster_id, item_id, round(list_dot_product(e, z) / sqrt(list_dot_product(z, z)), 9) AS score FROM m JOIN z USING (cluster_id))
         SELECT cluster_id, item_id AS representative_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, item_id) AS r FROM y) WHERE r = 1""",
     "cluster_sizes_asof": f"{_CLUSTERS} SELECT item_id, count(*) OVER (PARTITION BY root_id ORDER BY item_id) AS size_asof FROM c",
-    "threshold_sensitivity": "WITH RECURSIVE "
-    + _LINKS.format(n=0, t=THRESHOLDS[0])
-    + "".join(f", l{n} AS (SELECT a, b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM s WHERE sim >= {t}) WHERE r = 1)" for n, t in enumerate(THRESHOLDS) if n)
-    + "".join(f", {_TREE.format(n=n)}, z{n} AS (SELECT root_id, count(*) AS n FROM c{n} GROUP BY root_id)" for n in range(len(THRESHOLDS)))
-    + " UNION ALL ".join(
-        f""" SELECT CAST({t} AS DOUBLE) AS threshold, CAST(sum(n) AS BIGINT) AS items, count(*) AS clusters, count(*) FILTER (n = 1) AS singletons, round(count(*) FILTER (n = 1) / count(*), 6) AS singleton_ratio,
-            count(*) FILTER (n BETWEEN 2 AND 3) AS clusters_2_3, count(*) FILTER (n >= 4) AS clusters_4_plus, max(n) AS largest, round(avg(n), 6) AS mean_size, CAST(sum(n) AS BIGINT) - count(*) AS near_duplicates FROM z{n}"""
-        for n, t in enumerate(THRESHOLDS)
-    ),
+    "threshold_sensitivity": _SENSITIVITY,
+    "threshold_select": "SELECT * FROM (" + _SENSITIVITY + f") WHERE abs(threshold - {0.1 + 0.2!r}) < 1e-9",
     "cluster_table": f"""WITH {_TABLE} SELECT cluster, cluster_size, strftime(first_at, '%Y-%m-%d %H:%M:%S') AS first_at, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_at,
         round((epoch(last_at) - epoch(first_at)) / 3600, 6) AS span_hours, domain_count, representative_row, year, split, coalesce(split <> last_split, false) AS crosses_splits FROM part""",
     "split_crossings": f"WITH {_TABLE} SELECT split, count(*) AS clusters, count(*) FILTER (coalesce(split <> last_split, false)) AS crossing FROM part GROUP BY split",
@@ -361,6 +390,26 @@ ORACLES = {
     "html_bodies": r"""SELECT row_ix, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS body
         FROM pipeline_documents WHERE text IS NOT NULL""",
     "extraction_check": f"{_EXTRACTED} SELECT row_ix, CASE WHEN error = '' THEN sentiment END AS sentiment, CASE WHEN error = '' THEN 'other' END AS event_type, error FROM x",
-    "multidimensional_means": f"""{_EXTRACTED} SELECT count(*) AS records, count(*) FILTER (error = '') AS valid, round(avg(sentiment) FILTER (error = ''), 6) AS mean_sentiment,
-        count(*) FILTER (error = '') AS other_events FROM x""",
+    "multidimensional_means": f"""WITH {SCORED_SQL}, x AS (SELECT row_ix, NOT regexp_full_match(substr(text, 1, 20), '\\s*') AND row_ix % 11 <> 0 AS ok FROM scored WHERE text IS NOT NULL)
+        SELECT count(*) AS records, count(*) FILTER (ok) AS valid, """
+    + ", ".join(f"round(avg((row_ix * {k}) % {high - low + 1} + {low}) FILTER (ok), 6) AS mean_{name}" for k, (name, (low, high)) in enumerate(validate.RANGES.items(), 1))
+    + ", "
+    + ", ".join(f"count(*) FILTER (ok AND row_ix % {len(validate.EVENTS)} = {i}) AS events_{e}" for i, e in enumerate(validate.EVENTS))
+    + " FROM x",
+    "address_statistics": f"""WITH {_TABLE}, a AS (SELECT p.cluster, p.split, count(DISTINCT nullif(trim(h.url), '')) AS urls, bool_or(h.row_ix = p.representative_row AND trim(h.url) <> '') AS own,
+        bool_or(trim(h.url) <> '' AND coalesce(lower(trim(h.domain)), '') <> coalesce((SELECT lower(trim(d.domain)) FROM cluster_news_titles d WHERE d.row_ix = p.representative_row), '')) AS other
+        FROM part p JOIN held h ON h.cluster = p.cluster GROUP BY p.cluster, p.split, p.representative_row)
+        SELECT split, count(*) AS clusters, count(*) FILTER (urls > 0) AS with_address, count(*) FILTER (own) AS with_own, count(*) FILTER (urls > 1) AS with_second, count(*) FILTER (other) AS with_other_domain FROM a GROUP BY split""",
+    "fetch_ranks": f"""{_CLUSTERS}, m AS (SELECT c.root_id AS cluster_id, c.item_id, u.e FROM c JOIN u ON c.item_id = u.vec_id),
+        x AS (SELECT cluster_id, i, sum(e[i]) AS s FROM m, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), z AS (SELECT cluster_id, list(s ORDER BY i) AS z FROM x GROUP BY cluster_id),
+        y AS (SELECT m.cluster_id, item_id, e, round(list_dot_product(e, z) / sqrt(list_dot_product(z, z)), 9) AS score FROM m JOIN z USING (cluster_id)),
+        rep AS (SELECT cluster_id, item_id AS rid, e AS re FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, item_id) AS r FROM y) WHERE r = 1),
+        h AS (SELECT y.cluster_id, item_id, 'https://' || coalesce(d.source, 'x') || '/' || d.ticker AS url, lower(trim(coalesce(d.source, ''))) AS domain,
+            row_number() OVER (PARTITION BY y.cluster_id ORDER BY item_id <> rid, round(list_dot_product(e, re), 6) DESC, item_id) AS o
+            FROM y JOIN rep USING (cluster_id) LEFT JOIN documents d ON d.doc_id = item_id WHERE d.ticker IS NOT NULL),
+        one AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY o) = 1),
+        two AS (SELECT h.* FROM h JOIN one USING (cluster_id) WHERE h.url <> one.url AND h.domain <> one.domain QUALIFY row_number() OVER (PARTITION BY h.cluster_id ORDER BY h.o) = 1),
+        three AS (SELECT h.* FROM h JOIN one USING (cluster_id) JOIN two USING (cluster_id) WHERE h.url NOT IN (one.url, two.url) AND h.domain NOT IN (one.domain, two.domain)
+            QUALIFY row_number() OVER (PARTITION BY h.cluster_id ORDER BY h.o) = 1)
+        SELECT cluster_id, item_id, 1 AS fetch_rank FROM one UNION ALL SELECT cluster_id, item_id, 2 FROM two UNION ALL SELECT cluster_id, item_id, 3 FROM three""",
 }

@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from asofkit.operators.dedup import same_frame
 from asofkit.operators.metrics import latest_of
+from asofkit.session import cut
 
 
 def write_verified(df: DataFrame, path: str) -> DataFrame:
     """Writes to a staging folder beside `path`, reads it again, compares all rows both ways, and only then takes its place; the last version stays as `.backup`."""
-    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    df, staging = cut(df), f"{path}.staging-{uuid.uuid4().hex}"  # made once, as what is not deterministic would differ
     df.write.parquet(staging)
     spark = df.sparkSession
     if not same_frame(spark.read.parquet(staging), df):

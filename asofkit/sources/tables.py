@@ -44,13 +44,13 @@ def read_copies(spark: SparkSession, active: str, archives: list[str]) -> DataFr
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no from 1, value: the lines of a text file, blank ones too. Files that are split keep their order by byte offset."""
-    text = spark.read.text(path, wholetext=False).withColumn("_i", F.monotonically_increasing_id())
-    # Ids grow with the partition and the place in it; a line's number is its place among its partition's, plus those before.
-    parts = text.withColumn("_p", F.spark_partition_id())
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_least"))
-    bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return parts.join(F.broadcast(bases), "_p").select((F.col("_base") + F.col("_i") - F.col("_least") + 1).alias("line_no"), "value")
+    """line_no from 1, value: the lines of the text files, blank ones too, in the order of file names and of the splits of each file."""
+    text = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"))
+    # Within a split ids grow line by line; a line's number is its place in its split, plus the lines of all splits before: one row per split.
+    counts = text.groupBy("_file", "_at").agg(F.count("*").alias("_n"), F.min("_i").alias("_least"))
+    before = Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return text.join(bases, ["_file", "_at"]).select((F.col("_base") + F.col("_i") - F.col("_least") + 1).alias("line_no"), "value")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

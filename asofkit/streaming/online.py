@@ -26,6 +26,9 @@ def first_seen(stream: DataFrame, keys: list[str], ts: str, late: str = "3 days"
 def running_sizes(stream: DataFrame, group: str, ts: str, idle: str = "3 days") -> DataFrame:
     """Per group and batch the number of records so far and the last time; state of a group idle beyond the watermark is dropped."""
 
+    held = stream.withWatermark(ts, idle).select(F.col(group).cast("string").alias("g"), F.col(ts), F.unix_millis(ts).alias("t"))
+    wait = int(stream.sparkSession.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + INTERVAL {idle})")).first()[0])
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -35,10 +38,9 @@ def running_sizes(stream: DataFrame, group: str, ts: str, idle: str = "3 days")
             n += len(f)
             last = max(last, int(f["t"].max()))
         state.update((n, last))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 3 * 86_400_000)
-        yield pd.DataFrame({"g": [str(key[0])], "n": [n], "last_ms": [last]})
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait)
+        yield pd.DataFrame({"g": [None if key[0] is None else str(key[0])], "n": [n], "last_ms": [last]})
 
-    held = stream.withWatermark(ts, idle).select(F.col(group).cast("string").alias("g"), F.col(ts), F.unix_millis(ts).alias("t"))
     return held.groupBy("g").applyInPandasWithState(step, "g string, n long, last_ms long", "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
