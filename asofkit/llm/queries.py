@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofkit.llm import abuse, lookalikes, mainbody, mixing, near_duplicates, pieces, quotas, splits, tokens
-from asofkit.session import table
+from asofkit.session import cut, table
 
 
 def _pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +134,36 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(_scored(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_main, p1_votes, p1_paths, p2_found, p2_sample, p2_report, p3_found, p3_groups, p4_found, p4_pieces, p6_found, p6_splits, p6_report, p7_found, p7_normalized, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_rates, p10_held_out)}
+def p2_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the sample is as large as is wanted or there is, has each sample_id once, and takes from no cell more than is there or less than its floor where there is as much."""
+    sample, cells = p2_sample(spark, folder), p2_report(spark, folder)
+    taken = cells.join(sample.groupBy(*quotas.CELL).agg(F.count("*").alias("taken")), quotas.CELL, "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    wrong = (F.col("taken") > F.col("available")) | (F.col("taken") < F.least("min_rows", "available")) | (F.col("taken") != F.col("quota"))
+    return sample.agg(F.count("*").alias("rows_drawn"), F.count_distinct("sample_id").alias("ids_drawn")).crossJoin(taken.agg(F.count_if(wrong).alias("wrong_cells")))
+
+
+def p4_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each item the length its pieces cover, overlaps aside, and whether all pieces are within the limit and overlap by 200 characters."""
+    found = p4_pieces(spark, folder).withColumn("_limit", _limits())
+    each = found.groupBy("source_table", "row_ix").agg(
+        (F.sum(F.length("piece")) - 200 * (F.count("*") - 1)).alias("covered"), F.max(F.length("piece") > F.col("_limit")).alias("over"),
+        F.max(F.length("piece") != F.col("end") - F.col("start")).alias("off"), (F.max("end") - F.sum(F.col("end") - F.col("start")) + 200 * (F.count("*") - 1) != 0).alias("gap"),
+    )
+    return each.select("source_table", "row_ix", "covered", (~F.col("over") & ~F.col("off") & ~F.col("gap")).alias("as_asked"))
+
+
+def p6_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that got a split, stories and addresses in more than one split, and splits further than a hundredth of all records from their share."""
+    got = p6_splits(spark, folder).select("row_ix", "new_split")
+    rows = table(spark, folder, "select_news_pilot").select("row_ix", F.nullif(F.lower(F.trim("preliminary_cluster_id")), F.lit("")).alias("story"), F.nullif(F.trim("representative_url"), F.lit("")).alias("address"))
+    held = cut(rows.join(got.hint("merge"), "row_ix"))
+    torn = [held.filter(F.col(c).isNotNull()).groupBy(c).agg((F.min("new_split") < F.max("new_split")).alias("torn")).agg(F.count_if("torn").alias(n)) for c, n in (("story", "torn_stories"), ("address", "torn_addresses"))]
+    sizes = table(spark, folder, "split_targets").join(held.groupBy(F.col("new_split").alias("split")).agg(F.count("*").alias("n")), "split", "left").crossJoin(held.agg(F.count("*").alias("total")))
+    off = sizes.agg(F.count_if(F.abs(F.coalesce("n", F.lit(0)) - F.col("target_share") * F.col("total")) > 0.01 * F.col("total")).alias("splits_off"))
+    return held.agg(F.count("new_split").alias("records")).crossJoin(torn[0]).crossJoin(torn[1]).crossJoin(off)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_main, p1_votes, p1_paths, p2_found, p2_sample, p2_report, p2_check, p3_found, p3_groups, p4_found, p4_pieces, p4_check, p6_found, p6_splits, p6_report, p6_check, p7_found, p7_normalized, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_scores, p10_rates, p10_held_out)}
 _CATEGORY = "nullif(lower(trim({0})), '')"
 
 ORACLES: dict[str, str] = {
@@ -152,6 +181,15 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT 'inspect_text_datasets', row_ix FROM inspect_text_datasets
         WHERE length(trim(regexp_replace(content, '[ \\t\\r\\n]+', ' ', 'g'))) > 4000""",
+    "p2_check": f"""
+        WITH pool AS (SELECT {_CATEGORY.format("split")} AS split, year(try_cast(nullif(trim(published_at), '') AS TIMESTAMPTZ) AT TIME ZONE 'UTC') AS pub_year, {_CATEGORY.format("selection_reason")} AS selection_reason, sample_id FROM select_news_pilot),
+        there AS (SELECT count(DISTINCT sample_id) AS n FROM pool JOIN pilot_targets t ON pool.split = {_CATEGORY.format("t.split")} AND pool.pub_year = t.pub_year AND pool.selection_reason = {_CATEGORY.format("t.selection_reason")}),
+        wanted AS (SELECT least(n, (SELECT max(sample_rows) FROM pilot_targets)) AS n FROM there) SELECT CAST(n AS BIGINT) AS rows_drawn, CAST(n AS BIGINT) AS ids_drawn, CAST(0 AS BIGINT) AS wrong_cells FROM wanted""",
+    "p4_check": """
+        WITH c AS (SELECT 'pipeline_sentiment' AS source_table, row_ix, length(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) AS covered FROM pipeline_sentiment
+            UNION ALL SELECT 'inspect_text_datasets', row_ix, length(trim(regexp_replace(content, '[ \\t\\r\\n]+', ' ', 'g'))) FROM inspect_text_datasets)
+        SELECT source_table, row_ix, covered, true AS as_asked FROM c WHERE covered > 0""",
+    "p6_check": "SELECT count(*) AS records, CAST(0 AS BIGINT) AS torn_stories, CAST(0 AS BIGINT) AS torn_addresses, CAST(0 AS BIGINT) AS splits_off FROM select_news_pilot",
     "p6_found": """
         WITH RECURSIVE r AS (SELECT row_ix, nullif(lower(trim(split)), '') AS s, nullif(lower(trim(preliminary_cluster_id)), '') AS c, nullif(trim(representative_url), '') AS u FROM select_news_pilot),
         n AS (SELECT row_ix, 'c' || c AS node FROM r WHERE c IS NOT NULL UNION ALL SELECT row_ix, 'u' || u FROM r WHERE u IS NOT NULL),

@@ -20,7 +20,9 @@ from asofkit.operators.components import connected_components
 from asofkit.operators.joins import lookup
 from asofkit.session import cut
 
-LARGE, GROUP, STARTS, LABELS = 2000, 5000, 4, 64
+LARGE, GROUP, STARTS = 2000, 5000, 4
+#: So many labels have goals of their own, the commonest, and so many hashed groups of the rarer ones; so many annealing steps a component, at least `LEAST_STEPS`.
+LABELS, RARE_GROUPS, STEPS_EACH, LEAST_STEPS = 64, 16, 12, 2_000
 _LABEL_WEIGHT = 0.5
 
 
@@ -88,7 +90,7 @@ def anneal(parts: list[tuple[int, list[tuple[int, int]]]], start: list[int], siz
     cost = (sum(map(off, sizes, size_goal)) + _LABEL_WEIGHT * sum(off(x, g) for t, goal in zip(tables, label_goal) for x, g in zip(t, goal))) / scale
     best, kept = cost, list(at)
     if n and k > 1:
-        steps = min(60_000, 2_000 + 12 * n)
+        steps = LEAST_STEPS + STEPS_EACH * n  # n is bounded: a group's components, or the large ones
         heat, cool = 2.0 / scale, (0.01) ** (1 / steps)
         for _ in range(steps):
             i = chance.randrange(n)
@@ -123,25 +125,29 @@ def _hashed(component: int, shares: list[float], seed: int) -> int:
     return len(shares) - 1
 
 
-def assigned(records: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
+def assigned(records: DataFrame, targets: DataFrame, seed: int = 0, labels: int = LABELS) -> DataFrame:
     """row_ix, component, new_split: one row per record, each component in one split, sizes and labels near the targets' shares.
 
-    Labels are the values of `selection_reason`, the rarer ones beyond `LABELS` as one. An empty table gives no rows.
+    Labels are the values of `selection_reason`; beyond the `labels` commonest they share `RARE_GROUPS` goals by hash, so the
+    shares of rarer ones are kept in groups. An empty table gives no rows.
     """
     spark = records.sparkSession
     rows = cut(with_components(records))
     goal = [(r["split"], float(r["target_share"] or 0)) for r in targets.filter("split IS NOT NULL").orderBy("split").collect()]
     names, shares = [s for s, _ in goal], [w / sum(w for _, w in goal) for _, w in goal]
     k = len(names)
-    common = {r["label"]: (i, r["n"]) for i, r in enumerate(rows.groupBy(F.coalesce("label", F.lit("")).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect())}
+    common = {r["label"]: (i, r["n"]) for i, r in enumerate(rows.groupBy(F.coalesce("label", F.lit("")).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(labels).collect())}
     total = rows.count()
-    other = len(common)
+    other, width = len(common), len(common) + RARE_GROUPS
     in_label = [n for _, n in sorted(common.values())]
-    in_label.append(total - sum(in_label))
     ids = spark.createDataFrame([(label, i) for label, (i, _) in common.items()], "label string, label_no int")
     counted = rows.select("component", F.coalesce("label", F.lit("")).alias("label")).join(F.broadcast(ids), "label", "left")
-    counted = counted.groupBy("component", F.coalesce("label_no", F.lit(other)).alias("label_no")).agg(F.count("*").alias("n"))
-    parts = counted.groupBy("component").agg(F.sum("n").alias("size"), F.collect_list(F.struct("label_no", "n")).alias("labels"))  # at most LABELS + 1 a component
+    rare = F.lit(other) + F.pmod(F.xxhash64("label"), F.lit(RARE_GROUPS)).cast("int")
+    counted = counted.withColumn("label_no", F.coalesce("label_no", rare))
+    rarer = {r["label_no"]: r["n"] for r in counted.filter(F.col("label_no") >= other).groupBy("label_no").agg(F.count("*").alias("n")).collect()}  # at most RARE_GROUPS
+    in_label += [rarer.get(i, 0) for i in range(other, other + RARE_GROUPS)]
+    counted = counted.groupBy("component", "label_no").agg(F.count("*").alias("n"))
+    parts = counted.groupBy("component").agg(F.sum("n").alias("size"), F.collect_list(F.struct("label_no", "n")).alias("labels"))  # at most labels + RARE_GROUPS a component
     parts = cut(parts)
     # Fewer than LARGE components can hold more than 1/LARGE of all records each.
     bound = max(total // LARGE, 20)
@@ -156,8 +162,8 @@ def assigned(records: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame
     left_label = [[max(0.0, x - sum(c for b, p in zip(big, placed) if p == s for label, c in b[1] if label == i)) for i, x in enumerate(label_goal[s])] for s in range(k)]
     left = sum(left_size) or 1.0
     size_shares = [x / left for x in left_size] if sum(left_size) else shares
-    column = [sum(t[i] for t in left_label) for i in range(other + 1)]
-    label_shares = [[t[i] / column[i] if column[i] else size_shares[s] for i in range(other + 1)] for s, t in enumerate(left_label)]
+    column = [sum(t[i] for t in left_label) for i in range(len(in_label))]
+    label_shares = [[t[i] / column[i] if column[i] else size_shares[s] for i in range(len(in_label))] for s, t in enumerate(left_label)]
     small = parts.filter(F.col("size") <= bound)
     groups = max(1, math.ceil(small.count() / GROUP))
 
@@ -166,7 +172,7 @@ def assigned(records: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame
         start = int(frame["start"].iloc[0])
         own = [(int(n), [(int(x["label_no"]), int(x["n"])) for x in labels]) for n, labels in zip(frame["size"], frame["labels"])]
         size = sum(n for n, _ in own)
-        table = [0] * (other + 1)
+        table = [0] * width
         for _, labels in own:
             for label, n in labels:
                 table[label] += n
