@@ -40,6 +40,14 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(value).alias("_v")).select("_v._row.*")
 
 
+def with_retained(rows: DataFrame, exact: str = "exact_duplicate", of: str = "duplicate_of_row_id", row_id: str = "original_row_id") -> DataFrame:
+    """rows with retained_in_b, duplicate_reason and canonical_row_id: a row marked as an exact duplicate is left out of set B and stands for the row it repeats; a null mark is none."""
+    marked = F.lower(F.coalesce(F.col(exact).cast("string"), F.lit(""))) == "true"
+    # Fixed value: the reason as the manifests name it.
+    reason = F.when(marked, "same-day-title-or-exact-repeat").otherwise("")
+    return rows.select("*", (~marked).alias("retained_in_b"), reason.alias("duplicate_reason"), F.when(marked, F.coalesce(of, F.lit(""))).otherwise(F.col(row_id)).alias("canonical_row_id"))
+
+
 def duplicate_edges(rows: DataFrame, threshold: float = 0.85, hours: float = HOURS) -> DataFrame:
     """Edges between records of (row_ix, url, form, words, ts, day) that are one article: the same non-blank url with the same
     form, or with a word similarity of `threshold` within `hours`; or the same form on the same UTC day.

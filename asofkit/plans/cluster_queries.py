@@ -400,6 +400,13 @@ ORACLES = {
         bool_or(trim(h.url) <> '' AND coalesce(lower(trim(h.domain)), '') <> coalesce((SELECT lower(trim(d.domain)) FROM cluster_news_titles d WHERE d.row_ix = p.representative_row), '')) AS other
         FROM part p JOIN held h ON h.cluster = p.cluster GROUP BY p.cluster, p.split, p.representative_row)
         SELECT split, count(*) AS clusters, count(*) FILTER (urls > 0) AS with_address, count(*) FILTER (own) AS with_own, count(*) FILTER (urls > 1) AS with_second, count(*) FILTER (other) AS with_other_domain FROM a GROUP BY split""",
+    "address_slots": f"""WITH {_TABLE}, h AS (SELECT cluster, row_ix, trim(url) AS url, lower(trim(coalesce(domain, ''))) AS domain, row_number() OVER (PARTITION BY cluster ORDER BY tier, ts, q DESC, row_ix) AS o FROM held WHERE trim(url) <> ''),
+        one AS (SELECT h.* FROM part p JOIN h ON h.cluster = p.cluster AND h.row_ix = p.representative_row),
+        two AS (SELECT h.* FROM h LEFT JOIN one ON h.cluster = one.cluster WHERE h.url IS DISTINCT FROM one.url
+            QUALIFY row_number() OVER (PARTITION BY h.cluster ORDER BY h.domain IS NOT DISTINCT FROM one.domain, h.o) = 1),
+        three AS (SELECT h.* FROM h JOIN two USING (cluster) LEFT JOIN one ON h.cluster = one.cluster WHERE h.url <> two.url AND h.url IS DISTINCT FROM one.url
+            QUALIFY row_number() OVER (PARTITION BY h.cluster ORDER BY h.domain = two.domain OR h.domain IS NOT DISTINCT FROM one.domain, h.o) = 1)
+        SELECT cluster, 1 AS slot, row_ix, url FROM one UNION ALL SELECT cluster, 2, row_ix, url FROM two UNION ALL SELECT cluster, 3, row_ix, url FROM three""",
     "fetch_ranks": f"""{_CLUSTERS}, m AS (SELECT c.root_id AS cluster_id, c.item_id, u.e FROM c JOIN u ON c.item_id = u.vec_id),
         x AS (SELECT cluster_id, i, sum(e[i]) AS s FROM m, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), z AS (SELECT cluster_id, list(s ORDER BY i) AS z FROM x GROUP BY cluster_id),
         y AS (SELECT m.cluster_id, item_id, e, round(list_dot_product(e, z) / sqrt(list_dot_product(z, z)), 9) AS score FROM m JOIN z USING (cluster_id)),

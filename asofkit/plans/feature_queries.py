@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from asofkit.functions.text import split_of_year
 from asofkit.functions.times import as_of_latest, checked_calendar, checked_prices, forward_returns, market_day, next_calendar_day, week_ending_sunday, weekday_calendar
-from asofkit.operators import clusters, features
+from asofkit.operators import clusters, dedup, features
 from asofkit.plans.common import END, NEWS_SQL, SCORED_SQL, START, news, scored_documents, text_time
 from asofkit.session import table
 
@@ -137,6 +137,20 @@ def snapshot_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def row_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """The four row sets: all headlines (A), those retained (B), their clusters (C), and the snapshots of clusters by trading date (D), with D's means and largest."""
+    marks = dedup.with_retained(table(spark, folder, "cluster_news_titles").select("row_ix", "exact_duplicate", "duplicate_of_row_id", "original_row_id"))
+    kept = marks.filter("retained_in_b").select("row_ix")
+    counts = marks.agg(F.count("*").alias("rows_a"), F.count_if("retained_in_b").alias("rows_b"))
+    clusters_ = news(spark, folder, times=False).join(kept.hint("merge"), "row_ix", "left_semi").agg(F.count_distinct("cluster").alias("rows_c"))
+    aligned = _aligned(spark, folder).withColumnRenamed("effective_trading_date", "trading_date").filter("cluster IS NOT NULL AND trading_date IS NOT NULL")
+    d = features.snapshots(aligned.join(kept.hint("merge"), "row_ix", "left_semi"))
+    named = (("cluster_size", "cluster_size"), ("domain_count", "domain_count"), ("span_hours", "dissemination_span"))
+    told = d.agg(F.count("*").alias("rows_d"), *(f(c).alias(f"{n}_{k}") for c, n in named for f, k in ((F.avg, "mean"), (F.max, "max"))))
+    one = counts.crossJoin(clusters_).crossJoin(told)  # one row each
+    return one.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in one.dtypes))
+
+
 def weekly_text(spark: SparkSession, folder: str) -> DataFrame:
     rows = scored_documents(spark, folder).select(F.col("available_date").alias("date"), "label", F.col("score").cast("decimal(18,6)").alias("score"), F.abs("score").cast("decimal(18,6)").alias("confidence"))
     out = features.weekly_text(rows)
@@ -158,7 +172,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flagship, weekly_features, daily_features, trend_asof, future_label, temporal_split, scaling, lookback_windows, trading_dates, asof_dissemination, daily_dissemination, daily_sentiment,
-        sentiment_with_dissemination, snapshots, snapshot_summary, weekly_text, daily_text, split_counts,
+        sentiment_with_dissemination, snapshots, snapshot_summary, row_sets, weekly_text, daily_text, split_counts,
     )
 }
 
@@ -241,6 +255,11 @@ ORACLES = {
         FROM aligned WHERE cluster IS NOT NULL GROUP BY cluster, trading_date""",
     "snapshot_summary": f"""WITH {NEWS_SQL}, {_MARKET}, d AS (SELECT cluster, count(*) AS n, count(DISTINCT trim(coalesce(domain, ''))) AS k FROM aligned WHERE cluster IS NOT NULL GROUP BY cluster, trading_date)
         SELECT CAST(sum(n) AS BIGINT) AS rows_total, count(DISTINCT cluster) AS clusters, count(*) AS snapshots, round(avg(n), 6) AS mean_size, max(n) AS largest, max(k) AS most_domains FROM d""",
+    "row_sets": f"""WITH {NEWS_SQL}, {_MARKET}, kept AS (SELECT row_ix FROM cluster_news_titles WHERE NOT coalesce(exact_duplicate, false)),
+        d AS (SELECT count(*) AS n, count(DISTINCT trim(coalesce(domain, ''))) AS k, (epoch(max(ts)) - epoch(min(ts))) / 3600 AS h FROM aligned JOIN kept USING (row_ix) WHERE cluster IS NOT NULL AND trading_date IS NOT NULL
+            GROUP BY cluster, trading_date)
+        SELECT (SELECT count(*) FROM news) AS rows_a, (SELECT count(*) FROM kept) AS rows_b, (SELECT count(DISTINCT cluster) FROM news JOIN kept USING (row_ix)) AS rows_c, count(*) AS rows_d,
+            round(avg(n), 6) AS cluster_size_mean, max(n) AS cluster_size_max, round(avg(k), 6) AS domain_count_mean, max(k) AS domain_count_max, round(avg(h), 6) AS dissemination_span_mean, round(max(h), 6) AS dissemination_span_max FROM d""",
     "weekly_text": f"""WITH {SCORED_SQL} SELECT CAST(CAST(date_trunc('week', available_date) AS DATE) AS VARCHAR) AS week_start, CAST(CAST(date_trunc('week', available_date) AS DATE) + 6 AS VARCHAR) AS week_end,
         count(label) AS item_count, count(*) FILTER (label = 'negative') AS negative_count, count(*) FILTER (label = 'neutral') AS neutral_count, count(*) FILTER (label = 'positive') AS positive_count,
         round(CAST(sum(CAST(score AS DECIMAL(18,6))) AS DOUBLE), 4) AS score_sum FROM scored WHERE available_date IS NOT NULL GROUP BY date_trunc('week', available_date)""",

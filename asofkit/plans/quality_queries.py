@@ -92,6 +92,12 @@ def sequential_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.sequential_duplicates(news(spark, folder, "plain").drop("title", "domain", "cluster"))
 
 
+def retained_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Which headlines are in row set B, why the others aren't, and which they repeat."""
+    rows = table(spark, folder, "cluster_news_titles").select("row_ix", "original_row_id", "exact_duplicate", "duplicate_of_row_id")
+    return dedup.with_retained(rows).select("row_ix", "retained_in_b", "duplicate_reason", "canonical_row_id")
+
+
 def prepared_documents(spark: SparkSession, folder: str) -> DataFrame:
     raw = table(spark, folder, "inspect_text_datasets").withColumnRenamed("source", "source_type")
     return prepared(raw, "NVDA", "2021-01-01", "2025-12-31").select("source_type", "date", "title", "url", "available_date", "date_status", "text_origin", "quality_flags", "preparation_error", F.length("text").alias("characters"))
@@ -176,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         profile_columns, profile_lengths, profile_dates, observed_volumes, ten_k_items, duplicate_counts, titles_across_days, union_dedup, key_conflicts, stable_row_ids, group_sizes, cluster_status,
-        duplicate_components, sequential_duplicates, prepared_documents, preparation_counts, quality_flag_counts, consolidation_flags, run_summary, label_shares, confusion, class_metrics, probe_summary,
+        duplicate_components, sequential_duplicates, retained_rows, prepared_documents, preparation_counts, quality_flag_counts, consolidation_flags, run_summary, label_shares, confusion, class_metrics, probe_summary,
         repeat_consistency, parsed_answers, first_seen_documents, inventory,
     )
 }
@@ -224,6 +230,8 @@ ORACLES = {
     "group_sizes": f"WITH {NEWS_SQL} SELECT row_ix, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM news",
     "cluster_status": """SELECT status, count(*) AS n FROM (SELECT CASE WHEN exact_duplicate THEN 'exact_duplicate' WHEN count(*) OVER (PARTITION BY preliminary_cluster_id) = 1 THEN 'canonical_singleton'
         ELSE 'canonical_clustered' END AS status FROM cluster_news_titles) GROUP BY status""",
+    "retained_rows": """SELECT row_ix, NOT coalesce(exact_duplicate, false) AS retained_in_b, CASE WHEN exact_duplicate THEN 'same-day-title-or-exact-repeat' ELSE '' END AS duplicate_reason,
+        CASE WHEN exact_duplicate THEN coalesce(duplicate_of_row_id, '') ELSE original_row_id END AS canonical_row_id FROM cluster_news_titles""",
     "prepared_documents": """WITH f AS (SELECT DISTINCT coalesce(source, '') AS source_type, coalesce(date, '') AS date, coalesce(title, '') AS title, coalesce(url, '') AS url, coalesce(content, '') AS content FROM inspect_text_datasets),
         r AS (SELECT *, trim(content, ' ') AS body FROM f WHERE regexp_full_match(trim(date), '\\d{4}-\\d\\d-\\d\\d') AND CAST(try_strptime(trim(date), '%Y-%m-%d') AS DATE) BETWEEN DATE '2021-01-01' AND DATE '2025-12-31'),
         c AS (SELECT *, source_type = 'earnings_call' AND contains(title, 'CFO Commentary') AS u, body = '' AND source_type = 'news' AS t, body = '' AND source_type <> 'news' AS b,
