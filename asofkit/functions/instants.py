@@ -131,7 +131,7 @@ def interpretations(value: str | None, zone: str | None = None, slashes: str = "
 
     A time without zone is read on `zone`'s wall clock and has no reading where that is unknown, or where the clock
     skipped or repeated it. A date alone is 00:00 UTC. `slashes` is "mdy", "dmy" or "both" for dates such as 03/04/2024.
-    Null, blank, impossible and relative times have no reading.
+    Null, blank, impossible and relative times have no reading. A date such as 04/04/2024 has both notations and one instant.
     """
     value = (value or "").strip()
     if not value:
@@ -146,7 +146,7 @@ def interpretations(value: str | None, zone: str | None = None, slashes: str = "
                     out.append((name, us))
             if name == "mdy_slash" and slashes != "mdy":
                 m = _DAY_FIRST.fullmatch(value)
-                if m and (us := _read(m.groupdict(), zone)) is not None and (name, us) not in out and ("mdy_slash", us) not in out:
+                if m and (us := _read(m.groupdict(), zone)) is not None:
                     out.append(("dmy_slash", us))
             break
     return out

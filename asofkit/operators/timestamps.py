@@ -25,6 +25,8 @@ from asofkit.functions.instants import interpretations, iso
 from asofkit.session import cut
 
 SWITCH_COST, BACK_COST, DAY_US = 2.0, 1.0, 86_400_000_000
+#: A source rarely changes what comes first in its dates, whatever else it writes in between.
+ORDER_COST, ORDERS = 12.0, {"mdy_slash", "dmy_slash"}
 _EPOCH, _MICRO = datetime(1970, 1, 1, tzinfo=timezone.utc), timedelta(microseconds=1)
 CANONICAL = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ|\d{8}T\d{6}Z")
 
@@ -36,7 +38,8 @@ def _step(a: Reading | None, b: Reading) -> float:
     if a is None:
         return 0.0
     gap = b[1] - a[1]
-    return SWITCH_COST * (a[0] != b[0]) + (BACK_COST * math.log1p(-gap / DAY_US) if gap < 0 else 0.1 * math.log1p(gap / DAY_US))
+    switch = 0.0 if a[0] == b[0] else ORDER_COST if {a[0], b[0]} == ORDERS else SWITCH_COST
+    return switch + (BACK_COST * math.log1p(-gap / DAY_US) if gap < 0 else 0.1 * math.log1p(gap / DAY_US))
 
 
 def _cost(a: Reading | None, b: Reading) -> int:
@@ -93,7 +96,7 @@ def _decode(frames: Iterator[pd.DataFrame], slashes: str) -> Iterator[pd.DataFra
     known: dict[tuple, list] = {}
 
     def told(row, found, chosen, done=False, segment=None):
-        return (*row, iso(chosen[1]) if chosen else None, chosen[0] if chosen else None, len(found), done, segment, [x[0] for x in found] if segment is not None else None, [x[1] for x in found] if segment is not None else None)
+        return (*row, iso(chosen[1]) if chosen else None, chosen[0] if chosen else None, len({x[1] for x in found}), done, segment, [x[0] for x in found] if segment is not None else None, [x[1] for x in found] if segment is not None else None)
 
     def edge():
         """The pinned value last in a block and the open run after it; without any, the whole block."""
@@ -204,7 +207,7 @@ def _fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, rows = [x["found"] for x in held], [x["row_ix"] or 0 for x in held]
         start = [t if k == held[0]["entry"] else 1 << 200 for k, t in enumerate(_ties(run[0], rows[0]))]
         path = _path(int(held[0]["leave"]), _forward(start, run, rows)[1])
-        out = [(stream, x["row_ix"], x["value"], iso(f[k][1]), f[k][0], len(f)) for x, f, k in zip(held, run, path) if len(f) > 1]
+        out = [(stream, x["row_ix"], x["value"], iso(f[k][1]), f[k][0], len({r[1] for r in f})) for x, f, k in zip(held, run, path) if len(f) > 1]
         yield pd.DataFrame(out, columns=["stream", "row_ix", "value", "utc_at", "notation", "readings"]).astype({"row_ix": "Int64"})
 
 
@@ -226,8 +229,10 @@ def normalize_timestamps(
     without instant, are left out. Columns of df other than those named don't matter, repeated rows are kept, and an empty
     df gives an empty result. Null sources share one stream of records.
     """
+    # Where their order is open, a source's slashed dates are a sequence of their own, so that other notations between them don't hide it.
+    apart = F.when(value.rlike(r"^\s*\d{1,2}/\d{1,2}/\d{4}"), "/").otherwise("") if slashes == "both" else F.lit("")
     rows = df.select(
-        stream.alias("_stream"), F.coalesce(source, F.lit("")).alias("_source"), F.coalesce(F.floor(order / block_rows), F.lit(-1)).alias("_block"), order.alias("_row"),
+        stream.alias("_stream"), F.concat(F.coalesce(source, F.lit("")), apart).alias("_source"), F.coalesce(F.floor(order / block_rows), F.lit(-1)).alias("_block"), order.alias("_row"),
         value.alias("_value"), zone.alias("_zone"), F.lit(dates_done).alias("_dates_done") if isinstance(dates_done, bool) else dates_done.alias("_dates_done"),
     )
     ordered = rows.repartition("_stream", "_source", "_block").sortWithinPartitions("_stream", "_source", "_block", "_row", "_value")
@@ -241,7 +246,7 @@ def normalize_timestamps(
     if only_changed:
         settled = settled.filter("NOT done AND utc_at IS NOT NULL")
     out, open_ = settled.select(*names), told.filter("segment IS NOT NULL")
-    if open_.filter("readings > 1").isEmpty():
+    if open_.filter("size(kinds) > 1").isEmpty():
         return out
     keys = ["stream", "source", "segment"]
     laid = open_.select(*keys, "row_ix", "value", "kinds", "instants")

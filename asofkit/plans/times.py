@@ -69,7 +69,14 @@ def p5_normalized(spark: SparkSession, folder: str) -> DataFrame:
     return _normalized(spark, folder, False)
 
 
-QUERIES = {"p5_found": p5_found, "p5_normalized": p5_normalized, "unread_times": unread_times}
+def p5_open_slashes(spark: SparkSession, folder: str) -> DataFrame:
+    """How the Viterbi pass reads slashed dates when nobody says what comes first, by field: values with two readings, and those read with the month first, as they are written."""
+    rows = stacked_times(spark, folder)
+    out = normalize_timestamps(rows, F.col("value"), F.col("outlet"), F.col("row_ix"), F.col("zone"), F.col("stream"), slashes="both").filter("readings > 1")
+    return out.groupBy(F.split("stream", r"\|")[1].alias("field_name")).agg(F.count("*").alias("open_values"), F.count_if(F.col("notation") == "mdy_slash").alias("month_first"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_normalized": p5_normalized, "p5_open_slashes": p5_open_slashes, "unread_times": unread_times}
 ORACLES = {
     "p5_found": FOUND_SQL,
     "unread_times": " UNION ALL ".join(
