@@ -51,7 +51,7 @@ MENU, TICKER, PROSE, TURN, TABLE, LINK, SHORT, TITLE, ASK = range(9)
 CLASSES = ("menu", "ticker", "prose", "turn", "table", "link", "short", "title", "question")
 _TEXT = frozenset((PROSE, TURN, TABLE, ASK))
 #: A path of so many different pages, whose spread over hosts exceeds chance by so many deviations, and by this share, is bound to its hosts.
-LEAST_PAGES, LEAST_DEVIATIONS, LEAST_BOUND = 20, 6.0, 0.45
+LEAST_PAGES, LEAST_DEVIATIONS, LEAST_BOUND = 20, 6.0, 0.4
 #: Fragments with a path of so many pages and so good a score need no text after them.
 KNOWN_PAGES, KNOWN_SCORE = 10, 0.15
 

@@ -135,11 +135,13 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_check(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether the sample is as large as is wanted or there is, has each sample_id once, and takes from no cell more than is there or less than its floor where there is as much."""
+    """Whether the sample is as large as is wanted or there is, has each sample_id once, and takes from no cell more than is there, nor, if all floors fit in the sample, less than its floor where there is as much."""
     sample, cells = p2_sample(spark, folder), p2_report(spark, folder)
     taken = cells.join(sample.groupBy(*quotas.CELL).agg(F.count("*").alias("taken")), quotas.CELL, "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
-    wrong = (F.col("taken") > F.col("available")) | (F.col("taken") < F.least("min_rows", "available")) | (F.col("taken") != F.col("quota"))
-    return sample.agg(F.count("*").alias("rows_drawn"), F.count_distinct("sample_id").alias("ids_drawn")).crossJoin(taken.agg(F.count_if(wrong).alias("wrong_cells")))
+    wrong, short, floor = (F.col("taken") > F.col("available")) | (F.col("taken") != F.col("quota")), F.col("taken") < F.least("min_rows", "available"), F.least("min_rows", "available")
+    counts = taken.agg(F.count_if(wrong).alias("wrong"), F.count_if(short).alias("short"), F.sum(floor).alias("floors"))
+    drawn = sample.agg(F.count("*").alias("rows_drawn"), F.count_distinct("sample_id").alias("ids_drawn")).crossJoin(counts)  # one row each
+    return drawn.select("rows_drawn", "ids_drawn", (F.col("wrong") + F.when(F.col("floors") <= F.col("rows_drawn"), F.col("short")).otherwise(0)).alias("wrong_cells"))
 
 
 def p4_check(spark: SparkSession, folder: str) -> DataFrame:
