@@ -90,11 +90,10 @@ def event_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Headlines linked to the most similar earlier one within 72 hours by words, without opposite directions."""
     rows = news(spark, folder, "plain").filter("ts IS NOT NULL").select("row_ix", "ts", "title", "form", F.array_distinct(F.split("form", r"\s+")).alias("words"))
     items = cut(rows)
-    near = F.abs(F.unix_micros("a.ts") - F.unix_micros("b.ts")) <= clusters.HOURS * 3_600_000_000
     # Equal word sets are held once per time, as a set join needs distinct sets.
-    keyed = items.groupBy(F.array_sort("words").alias("words"), "ts").agg(F.min("row_ix").alias("key"), F.min("title").alias("title"))
-    pairs = setjoin.similar_sets(keyed, "key", "words", 0.9, near=near & ~clusters.title_veto())
-    times = keyed.select(F.col("key"), F.col("ts"))
+    keyed = cut(items.groupBy(F.array_sort("words").alias("words"), "ts").agg(F.min("row_ix").alias("key"), F.min("title").alias("title")))
+    pairs = setjoin.similar_sets(keyed, "key", "words", 0.9, near=~clusters.title_veto(), time="ts", hours=clusters.HOURS)
+    times = keyed.select(F.col("key"), F.col("ts")).hint("merge")
     a, b = (times.select(F.col("key").alias(f"key_{s}"), F.col("ts").alias(f"ts_{s}")) for s in "ab")
     timed = pairs.join(a, "key_a").join(b, "key_b")
     later = F.struct("ts_a", "key_a") > F.struct("ts_b", "key_b")
